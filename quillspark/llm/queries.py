@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import exact_dedup
+from quillspark.llm import exact_dedup, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op7_packing": packing.op7_packing,
     }
 
 
