@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import exact_dedup, packing
+from quillspark.llm import exact_dedup, jaccard_join, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_ngram_jaccard_join": jaccard_join.op2_ngram_jaccard_join,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op7_packing": packing.op7_packing,
     }
@@ -18,5 +19,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_ngram_jaccard_join": jaccard_join.OP2_SQL,
         "op4_exact_dedup": exact_dedup.OP4_SQL,
     }
