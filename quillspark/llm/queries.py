@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import exact_dedup, jaccard_join, packing
+from quillspark.llm import exact_dedup, jaccard_join, minhash, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_ngram_jaccard_join": jaccard_join.op2_ngram_jaccard_join,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op6_document_fingerprints": minhash.op6_document_fingerprints,
         "op7_packing": packing.op7_packing,
     }
 
