@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import exact_dedup, jaccard_join, minhash, packing
+from quillspark.llm import exact_dedup, jaccard_join, minhash, packing, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op6_document_fingerprints": minhash.op6_document_fingerprints,
         "op7_packing": packing.op7_packing,
+        "op8_toxicity": toxicity.op8_toxicity,
     }
 
 
