@@ -87,22 +87,29 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tu
             at = to
 
 
+def array_blocks(col: pa.Array) -> Iterator[list[bytes]]:
+    """The texts of an Arrow column in blocks, as blocks() has them."""
+    batch = pa.RecordBatch.from_arrays([col], names=["text"])
+    for _, texts in blocks([batch]):
+        yield texts
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Lower-cased (A-Z) words: bytes.lower() and bytes.split() know ASCII only, which is just what is asked for."""
     return text.lower().split()
 
 
-def word_ids(texts: list[bytes], end: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def word_ids(texts: list[bytes], end: bool = False, lower: bool = True) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct words, the words of all texts as places in them, and where each text starts (one more at the end).
 
-    With ``end``, each text is closed by the empty word.
+    With ``end``, each text is closed by the empty word; without ``lower``, words keep their case.
     """
     known: dict[bytes, int] = {}
     ids: list[int] = []
     starts = np.zeros(len(texts) + 1, dtype=np.int64)
     put = known.setdefault
     for i, text in enumerate(texts):
-        ids += [put(w, len(known)) for w in words_of(text)]
+        ids += [put(w, len(known)) for w in (words_of(text) if lower else text.split())]
         if end:
             ids.append(put(b"", len(known)))
         starts[i + 1] = len(ids)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import exact_dedup, jaccard_join, minhash, packing, toxicity
+from quillspark.llm import exact_dedup, jaccard_join, kneser_ney, minhash, packing, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_document_fingerprints": minhash.op6_document_fingerprints,
         "op7_packing": packing.op7_packing,
         "op8_toxicity": toxicity.op8_toxicity,
+        "op9_quality_classifier": kneser_ney.op9_quality_classifier,
     }
 
 
