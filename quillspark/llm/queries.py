@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import exact_dedup, jaccard_join, kneser_ney, minhash, packing, toxicity
+from quillspark.llm import exact_dedup, jaccard_join, kneser_ney, lbl_lm, minhash, packing, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_ngram_jaccard_join": jaccard_join.op2_ngram_jaccard_join,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_lm_scoring": lbl_lm.op5_lm_scoring,
         "op6_document_fingerprints": minhash.op6_document_fingerprints,
         "op7_packing": packing.op7_packing,
         "op8_toxicity": toxicity.op8_toxicity,
