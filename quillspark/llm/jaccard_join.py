@@ -14,9 +14,12 @@ Equal sets are one class first. Each list then tries its members against its lea
 a second step tries only pairs of a list that are still in different components. So thousands of near copies cost a few
 checks each, while any link between two components is found. All candidates are checked on the whole texts.
 
-The order uses counts of frequent shingles: those seen thrice or more in 4 million, of which the 2^18 most frequent are
+The order uses counts of frequent shingles: those seen twice or more in 4 million, of which the 2^19 most frequent are
 sent to executors. It changes how many candidates there are, never the result.
 
+Before texts move, candidates are tried by the parities of their sets: each shingle flips one of 1024 bits, so bits that
+differ are a lower bound of shingles that differ. What that bound rules out is no link for certain.
+
 Nulls and empty texts: an empty set, linked with nothing, its own component. A null doc_id belongs to the component of
 its equals (null if all of these are null). Repeated rows are equal sets. Empty tables give empty results. Texts of any
 length are taken whole; extra columns are not read.
@@ -37,8 +40,10 @@ from quillspark.llm.components import components
 
 #: Shingles that are counted together in one task before the frequent ones are handed on.
 CHUNK = 4_000_000
-LEAST_COUNT = 3
-FREQUENT = 1 << 18
+LEAST_COUNT = 2
+FREQUENT = 1 << 19
+#: Bits of the parity of a set: two sets differ in at least as many shingles as their parities in bits.
+PARITY = 1024
 #: Ids that may be broadcast: 16 MB.
 SMALL = 1_000_000
 
@@ -53,16 +58,22 @@ def signature(shingles: np.ndarray) -> tuple[int, int]:
     return (x >> 64) - (1 << 63), (x & ((1 << 64) - 1)) - (1 << 63)
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    bits = np.bincount((shingles & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def profiles(docs: DataFrame, width: int) -> DataFrame:
-    """kind 0: (doc_id, n, s1, s2) of each document; 1: (n: count, s1: shingle); 2: (n: shingles, s1: distinct ones)."""
+    """kind 0: (doc_id, n, s1, s2, bits) of a document; 1: (n: count, s1: shingle); 2: (n: shingles, s1: distinct ones)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         id_type = None
         held: list[np.ndarray] = []
         size = 0
 
-        def rows(k, ids, n, s1, s2):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k, dtype=np.int32)), ids, *(pa.array(x, pa.int64()) for x in (n, s1, s2))], names=["kind", "doc_id", "n", "s1", "s2"])
+        def rows(k, ids, n, s1, s2, bits=None):
+            bits = pa.nulls(len(n), pa.list_(pa.int64())) if bits is None else pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * (PARITY // 64), np.concatenate(bits))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k, dtype=np.int32)), ids, *(pa.array(x, pa.int64()) for x in (n, s1, s2)), bits], names=["kind", "doc_id", "n", "s1", "s2", "bits"])
 
         def flush():
             found, count = np.unique(np.concatenate(held), return_counts=True)
@@ -73,13 +84,14 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
 
         for block, texts in blocks(batches):
             id_type = block.schema.field(0).type
-            n, signs = [], []
+            n, signs, bits = [], [], []
             for s in block_shingles(texts, width):
                 n.append(len(s))
                 signs.append(signature(s))
+                bits.append(parity(s))
                 held.append(s)
                 size += len(s)
-            yield rows(0, block.column(0), n, [x for x, _ in signs], [x for _, x in signs])
+            yield rows(0, block.column(0), n, [x for x, _ in signs], [x for _, x in signs], bits)
             if size >= CHUNK:
                 yield from flush()
                 held, size = [], 0
@@ -87,7 +99,7 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
             yield from flush()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"kind int, doc_id {kind}, n long, s1 long, s2 long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"kind int, doc_id {kind}, n long, s1 long, s2 long, bits array<long>")
 
 
 def boundary(sizes: dict[int, int], list_length: float, percent: int) -> int:
@@ -185,15 +197,37 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     return full.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def most_frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles and their counts, at most FREQUENT: those above the least count that keeps within it."""
+    level = F.floor(F.log2("n") * 8).cast("int")
+    counted = materialise(counted)
+    held, least = 0, 1 << 30
+    for r in counted.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("level")).collect():  # under 512 rows
+        held += r.rows
+        if held > FREQUENT:
+            break
+        least = r.level
+    found = counted.filter(level >= least).toArrow()
+    shingle = found["s1"].to_numpy().view(np.uint64)
+    order = np.argsort(shingle)
+    return shingle[order], found["n"].to_numpy()[order]
+
+
+def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that parities do not rule out. Sets of n and m that join differ in (n + m) (100 - p) / (100 + p) at most."""
+    a = nodes.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("bits").alias("bits_a"))
+    b = nodes.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("bits").alias("bits_b"))
+    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    fits = differ * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)
+    return pairs.select("a", "b").distinct().join(a, "a").join(b, "b").filter(fits).select("a", "b")
+
+
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     profile = materialise(profiles(docs, width))
     rows = profile.filter("kind = 0")
-    often = profile.filter("kind = 1").groupBy("s1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s1").limit(FREQUENT).collect()
-    shingle = np.array([r.s1 for r in often], dtype=np.int64).view(np.uint64)
-    order = np.argsort(shingle)
-    frequent = spark.sparkContext.broadcast((shingle[order], np.array([r.n for r in often], dtype=np.int64)[order]))
+    frequent = spark.sparkContext.broadcast(most_frequent(profile.filter("kind = 1").groupBy("s1").agg(F.sum("n").alias("n"))))
     sizes = {r.n: r.h for r in rows.filter("n > 0").groupBy("n").agg(F.count(F.lit(1)).alias("h")).collect()}  # a row per size
     chunk = profile.filter("kind = 2").agg(F.sum("n").alias("all"), F.sum("s1").alias("distinct"), F.count(F.lit(1)).alias("chunks")).first()
     # others in a list, as seen within chunks, carried to all chunks
@@ -205,17 +239,17 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     shared = materialise(lists.join(heads, "key").select("key", "s", "n", "lead").distinct())
 
     # a class: the documents with one set; its node is the least doc_id
-    classes = rows.filter("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n").alias("size"), F.count(F.lit(1)).alias("copies"))
+    classes = rows.filter("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n").alias("size"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("copies"))
     classes = materialise(classes)
-    nodes = classes.join(shared.select(F.col("s").alias("s1")).distinct(), "s1", "left_semi").select(F.col("s1").alias("s"), "node", F.col("size").cast("int").alias("size"))
+    nodes = classes.join(shared.select(F.col("s").alias("s1")).distinct(), "s1", "left_semi").select(F.col("s1").alias("s"), "node", F.col("size").cast("int").alias("size"), "bits")
     nodes = materialise(nodes)
-    members = shared.join(nodes, "s").select("key", "lead", "node", "size")
+    members = shared.join(nodes.drop("bits"), "s").select("key", "lead", "node", "size")
     fits = f"{percent} * greatest(size, size_b) <= 100 * least(size, size_b)"
 
     members = materialise(members)
     leads = members.groupBy("key").agg(F.min(F.struct("node", "size")).alias("x")).select("key", F.col("x.node").alias("node_b"), F.col("x.size").alias("size_b"))
     star = members.join(materialise(leads), "key").filter(f"node <> node_b and {fits}").select(F.col("node").alias("a"), F.col("node_b").alias("b"))
-    links = materialise(verify(star, docs, width, percent))
+    links = materialise(verify(possible(star, nodes, percent), docs, width, percent))
     found = materialise(components(links))
 
     # what is left: pairs of a list in different components
@@ -225,8 +259,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     left = materialise(placed.join(open_keys, "key"))
     other = left.select("key", F.col("node").alias("node_b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"))
     rest = left.join(other, "key").filter(f"node < node_b and component <> component_b and {fits}").select(F.col("node").alias("a"), F.col("node_b").alias("b"))
-    tried = star.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"))
-    more = materialise(verify(rest.distinct().join(tried.distinct(), ["a", "b"], "left_anti"), docs, width, percent))
+    more = materialise(verify(possible(rest, nodes, percent), docs, width, percent))
     if not more.isEmpty():
         found = materialise(components(links.unionByName(more)))
 
