@@ -113,17 +113,14 @@ def mix(docs: DataFrame, share: int = SHARE, max_epochs: int = MAX_EPOCHS, seed:
 
     Documents stay whole: the one in which a leaf's prefix ends is taken to its end.
     """
-    row, times = free_name(docs, "mix_row"), free_name(docs, "mix_times")
-    docs = docs.withColumn(row, F.xxhash64("doc_id", "text"))
-    taken = plan(materialise(keys_of(docs).withColumn("n_tokens", F.col("n_tokens"))), share, max_epochs, seed)
-    many = taken.select("doc_id", (F.col("epochs") + (F.col("taken") > 0).cast("long")).alias(times)).filter(F.col(times) != 1)
-    many = materialise(many.groupBy("doc_id").agg(F.max(times).alias(times)))
-    other = many.withColumnRenamed("doc_id", row + "_id")
+    times, key = free_name(docs, "mix_times"), free_name(docs, "mix_key")
+    taken = plan(materialise(keys_of(docs)), share, max_epochs, seed)
+    many = taken.select(F.col("doc_id").alias(key), (F.col("epochs") + (F.col("taken") > 0).cast("long")).alias(times))
+    many = materialise(many.groupBy(key).agg(F.max(times).alias(times)).filter(F.col(times) != 1))
     if many.count() <= 1_000_000:  # two longs each
-        other = F.broadcast(other)
-    out = docs.join(other, docs["doc_id"].eqNullSafe(F.col(row + "_id")), "left").drop(row, row + "_id")
-    out = out.withColumn(times, F.coalesce(times, F.lit(1))).filter(F.col(times) > 0)
-    return out.withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).drop(times)
+        many = F.broadcast(many)
+    out = docs.join(many, F.col("doc_id").eqNullSafe(F.col(key)), "left").withColumn(times, F.coalesce(times, F.lit(1).cast("long"))).filter(F.col(times) > 0)
+    return out.withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns)
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
