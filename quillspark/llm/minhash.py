@@ -2,7 +2,8 @@
 
 The 64-bit hashes of a text's word shingles are dealt into ``BINS`` bins by their high bits; each bin keeps its least
 one. An empty bin takes the value of the first filled bin in a pseudo-random order of its own, which is the same for all
-texts (optimal densification). Of each value the low ``BITS`` bits are kept, packed and written as hexadecimal.
+texts (optimal densification). Each value is hashed once more with its bin's number, the low ``BITS`` bits are kept, packed and written as hexadecimal;
+so two texts with few shingles, whose bins repeat few values, agree by chance in each bin anew and not in all at once.
 Two fingerprints that agree in a share m of the bins have the likeness (m - c) / (1 - c), c = 2^-BITS: bins of different
 shingles agree by chance in c of all cases.
 
@@ -31,6 +32,7 @@ BINS = 512
 BITS = 4
 WIDTH = 5
 MOST_RANGES = 4096
+_NUMBERS = np.arange(BINS, dtype=np.uint64) << np.uint64(20)
 
 
 @lru_cache(1)
@@ -50,13 +52,14 @@ def fingerprint(shingles: np.ndarray) -> str:
     bins = (shingles >> np.uint64(64 - 9)).astype(np.int32)
     first = np.flatnonzero(np.diff(bins, prepend=-1))  # sorted, so the first of a bin is its least
     filled = bins[first]
-    value = np.zeros(BINS, dtype=np.uint8)
-    value[filled] = shingles[first].astype(np.uint8) & ((1 << BITS) - 1)
+    value = np.zeros(BINS, dtype=np.uint64)
+    value[filled] = shingles[first]
     have = np.zeros(BINS, dtype=bool)
     have[filled] = True
     empty = np.flatnonzero(~have)
     if len(filled) < 64:
-        value[empty] = value[filled[np.argmin(rank[np.ix_(empty, filled)], axis=1)]] if len(empty) else 0
+        if len(empty):
+            value[empty] = value[filled[np.argmin(rank[np.ix_(empty, filled)], axis=1)]]
     else:
         t = 0
         while len(empty):
@@ -64,7 +67,8 @@ def fingerprint(shingles: np.ndarray) -> str:
             ok = have[at]
             value[empty[ok]] = value[at[ok]]
             empty, t = empty[~ok], t + 1
-    return (value[0::2] << BITS | value[1::2]).tobytes().hex()
+    low = (mix(value + _NUMBERS) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+    return (low[0::2] << BITS | low[1::2]).tobytes().hex()
 
 
 def likeness(a: str, b: str) -> float:
