@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_url_filters": url_reputation.OP1_SQL,
         "op2_ngram_jaccard_join": jaccard_join.OP2_SQL,
         "op3_mixing": mixing.OP3_SQL,
         "op4_exact_dedup": exact_dedup.OP4_SQL,

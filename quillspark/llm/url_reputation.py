@@ -101,8 +101,58 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, threshold: float = T
     found = materialise(reputations(cut.join(known, "page_id", "left")))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bound") > threshold, "block").otherwise("allow")
-    return cut.join(found, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.col("mean").alias("bad_mean"), F.col("bound").alias("bad_bound"))
+    return cut.join(found, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.round("mean", 6).alias("bad_mean"), F.round("bound", 6).alias("bad_bound"))
 
 
 def op1_url_filters(spark, sf_dir: str) -> DataFrame:
     return judge(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
+
+
+def _sql_level(name: str, above: str, key: str) -> str:
+    """DuckDB: shares of the groups of ``key`` shrunk towards the mean ``mu`` of ``above`` (host, n, bad, mu and keys)."""
+    return f"""{name}_g AS (
+  SELECT {key}, sum(n) AS n, sum(bad) AS bad, max(mu) AS mu FROM {above} GROUP BY {key}
+), {_sql_strength(name, f"{name}_g")}, {name} AS (
+  SELECT a.* EXCLUDE (mu), (g.mu * m + g.bad) / (m + g.n) AS mu FROM {above} a JOIN {name}_g g USING ({key}), {name}_m
+)"""
+
+
+def _sql_strength(name: str, groups: str) -> str:
+    return f"""{name}_x AS (
+  SELECT count(*) AS g, sum(n) AS n, sum(pow(bad - n * mu, 2) / n) AS s, sum(mu * (1 - mu)) AS v, sum(n * mu * (1 - mu)) AS nv FROM {groups} WHERE n > 0
+), {name}_m AS (
+  SELECT CASE WHEN g = 0 OR coalesce(nv, 0) = 0 OR n <= g OR s <= v THEN {MOST_STRENGTH} ELSE least({MOST_STRENGTH}, greatest({LEAST_STRENGTH}, 1 / ((s - v) / ((n - g) * nv / n)) - 1)) END AS m FROM {name}_x
+)"""
+
+
+def _sql_rules(what: int) -> str:
+    out = "CASE"
+    for rule in sorted(RULES, key=lambda r: -len(r[1])):
+        of, _, rest = rule[1].partition("/")
+        out += f" WHEN (host = '{of}' OR ends_with(host, '.{of}')) AND starts_with(path, '/{rest}') THEN '{rule[what]}'"
+    return out + " END"
+
+
+OP1_SQL = rf"""
+WITH cut AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages
+), known AS (
+  SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id
+), h AS (
+  SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM cut LEFT JOIN known USING (page_id) GROUP BY host
+), p AS (
+  SELECT *, string_split(name, '.') AS part, regexp_matches(name, '^[0-9.]+$|^\[') AS ip FROM h
+), q AS (
+  SELECT *, len(part) > 2 AND length(part[-1]) = 2 AND part[-2] IN ({", ".join(f"'{x}'" for x in SECOND_LEVEL)}) AS two FROM p
+), l AS (
+  SELECT host, n, bad, CASE WHEN ip THEN name WHEN two THEN array_to_string(part[-2:], '.') ELSE part[-1] END AS suffix,
+    CASE WHEN ip THEN name WHEN two THEN array_to_string(part[-3:], '.') ELSE array_to_string(part[-2:], '.') END AS domain,
+    (SELECT CASE WHEN sum(n) > 0 THEN sum(bad) / sum(n) ELSE 0 END FROM h) AS mu FROM q
+), {_sql_level("s", "l", "suffix")}, {_sql_level("d", "s", "domain")}, {_sql_strength("e", "d")}, f AS (
+  SELECT host, mu * m + bad AS a, (1 - mu) * m + n - bad AS b FROM d, e_m
+), r AS (
+  SELECT host, a / (a + b) AS mean, a / (a + b) - {WIDTH} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM f
+)
+SELECT page_id, host, path, {_sql_rules(1)} AS rule, coalesce({_sql_rules(0)}, CASE WHEN bound > {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict, round(mean, 6) AS bad_mean, round(bound, 6) AS bad_bound
+FROM cut JOIN r USING (host)
+"""
