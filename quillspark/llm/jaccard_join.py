@@ -17,8 +17,8 @@ checks each, while any link between two components is found. All candidates are
 The order uses counts of frequent shingles: those seen twice or more in 4 million, of which the 2^19 most frequent are
 sent to executors. It changes how many candidates there are, never the result.
 
-Before texts move, candidates are tried by the parities of their sets: each shingle flips one of 1024 bits, so bits that
-differ are a lower bound of shingles that differ. What that bound rules out is no link for certain.
+Before texts move, candidates are tried by the parities of their sets: each shingle flips one of 1024 bits (large sets:
+16384 more), so bits that differ are a lower bound of shingles that differ. What that bound rules out is no link for certain.
 
 Nulls and empty texts: an empty set, linked with nothing, its own component. A null doc_id belongs to the component of
 its equals (null if all of these are null). Repeated rows are equal sets. Empty tables give empty results. Texts of any
@@ -44,6 +44,8 @@ LEAST_COUNT = 2
 FREQUENT = 1 << 19
 #: Bits of the parity of a set: two sets differ in at least as many shingles as their parities in bits.
 PARITY = 1024
+#: Sets above the first number have as many more bits as the second says.
+LARGE, WIDE = 2000, 16_384
 #: Ids that may be broadcast: 16 MB.
 SMALL = 1_000_000
 
@@ -59,8 +61,11 @@ def signature(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def parity(shingles: np.ndarray) -> np.ndarray:
-    bits = np.bincount((shingles & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    def of(size: int) -> np.ndarray:
+        bits = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+        return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+    return np.concatenate([of(PARITY), of(WIDE)]) if len(shingles) > LARGE else of(PARITY)
 
 
 def profiles(docs: DataFrame, width: int) -> DataFrame:
@@ -72,7 +77,7 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
         size = 0
 
         def rows(k, ids, n, s1, s2, bits=None):
-            bits = pa.nulls(len(n), pa.list_(pa.int64())) if bits is None else pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * (PARITY // 64), np.concatenate(bits))
+            bits = pa.nulls(len(n), pa.list_(pa.int64())) if bits is None else pa.ListArray.from_arrays(np.cumsum([0, *map(len, bits)]).astype(np.int32), np.concatenate(bits))
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k, dtype=np.int32)), ids, *(pa.array(x, pa.int64()) for x in (n, s1, s2)), bits], names=["kind", "doc_id", "n", "s1", "s2", "bits"])
 
         def flush():
@@ -122,13 +127,13 @@ def boundary(sizes: dict[int, int], list_length: float, percent: int) -> int:
 
 
 def postings(docs: DataFrame, width: int, percent: int, bound: int, frequent) -> DataFrame:
-    """(key, s, n): the lists, with s the first half of a set's signature."""
+    """(key, s): the lists, with s the first half of a set's signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = frequent.value
         pairs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for _, texts in blocks(batches):
-            keys, who, size = [], [], []
+            keys, who = [], []
             for s in block_shingles(texts, width):
                 n = len(s)
                 least = int(least_overlap(n, percent))
@@ -156,11 +161,10 @@ def postings(docs: DataFrame, width: int, percent: int, bound: int, frequent) ->
                 for k in own:
                     keys.append(k.view(np.int64))
                     who.append(np.full(len(k), sign))
-                    size.append(np.full(len(k), n, dtype=np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, who, size)], names=["key", "s", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, who)], names=["key", "s"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, s long, n int")
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, s long")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -217,8 +221,15 @@ def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that parities do not rule out. Sets of n and m that join differ in (n + m) (100 - p) / (100 + p) at most."""
     a = nodes.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("bits").alias("bits_a"))
     b = nodes.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("bits").alias("bits_b"))
-    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    fits = differ * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)
+    narrow, wide = PARITY // 64, WIDE // 64
+
+    def differ(first: int, n: int):
+        x, y = F.slice("bits_a", first, n), F.slice("bits_b", first, n)
+        return F.aggregate(F.zip_with(x, y, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+    most = (F.col("size_a") + F.col("size_b")) * (100 - percent)
+    both_wide = (F.size("bits_a") > narrow) & (F.size("bits_b") > narrow)
+    fits = (differ(1, narrow) * (100 + percent) <= most) & (~both_wide | (differ(narrow + 1, wide) * (100 + percent) <= most))
     return pairs.select("a", "b").distinct().join(a, "a").join(b, "b").filter(fits).select("a", "b")
 
 
@@ -236,7 +247,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
 
     lists = materialise(postings(docs, width, percent, bound, frequent))
     heads = lists.groupBy("key").agg(F.min("s").alias("lead"), F.max("s").alias("last")).filter("lead <> last").select("key", "lead")
-    shared = materialise(lists.join(heads, "key").select("key", "s", "n", "lead").distinct())
+    shared = materialise(lists.join(heads, "key").select("key", "s", "lead").distinct())
 
     # a class: the documents with one set; its node is the least doc_id
     classes = rows.filter("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n").alias("size"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("copies"))
