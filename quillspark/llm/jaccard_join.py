@@ -11,7 +11,7 @@ first, two sets that join share at least k shingles among the first |set| - ceil
   sizes and the mean length of lists, both taken over all documents.
 
 Equal sets are one class first. Each list then tries its members against its least one; what joins is one component, and
-a second step tries only pairs of a list that are still in different components. So thousands of near copies cost a few
+a second step tries only pairs of a list that are still in different components, those of long lists in blocks. So thousands of near copies cost a few
 checks each, while any link between two components is found. All candidates are checked on the whole texts.
 
 The order uses counts of frequent shingles: those seen twice or more in 4 million, of which the 2^19 most frequent are
@@ -46,6 +46,8 @@ FREQUENT = 1 << 19
 PARITY = 1024
 #: Sets above the first number have as many more bits as the second says.
 LARGE, WIDE = 2000, 16_384
+#: Lists of up to FEW members make pairs by a join; longer ones are compared in blocks.
+FEW, BLOCK = 24, 256
 #: Ids that may be broadcast: 16 MB.
 SMALL = 1_000_000
 
@@ -233,6 +235,42 @@ def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").distinct().join(a, "a").join(b, "b").filter(fits).select("a", "b")
 
 
+def block_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of long lists that are in different components and not ruled out by parities.
+
+    members: key, node, size, component and members (their number in the list). A list is cut into blocks of about BLOCK
+    members with their parities; a row is two blocks, which are compared by one matrix operation, so no pair that is ruled
+    out is ever a row.
+    """
+    bits = nodes.select("node", F.slice("bits", 1, PARITY // 64).alias("bits"))
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK)).alias("block")
+    one = F.struct("node", "size", "component", "bits")
+    blocks_ = members.select("key", "node", "size", "component", block).join(bits, "node").groupBy("key", "block").agg(F.collect_list(one).alias("x"))  # about BLOCK members
+    blocks_ = materialise(blocks_)
+    pairs = blocks_.join(blocks_.select("key", F.col("block").alias("other"), F.col("x").alias("y")), "key").filter("block <= other").select("x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def side(col):
+            v = col.values.slice(col.offsets[0].as_py(), col.offsets[-1].as_py() - col.offsets[0].as_py())
+            bits = v.field("bits")
+            start = bits.offsets[0].as_py()
+            flat = bits.values.slice(start, bits.offsets[-1].as_py() - start).to_numpy().view(np.uint64).reshape(-1, PARITY // 64)
+            return v.field("node").to_numpy(), v.field("size").to_numpy().astype(np.int64), v.field("component").to_numpy(), flat
+
+        for b in batches:
+            for i in range(b.num_rows):
+                (na, sa, ca, ba), (nb, sb, cb, bb) = (side(b.column(k).slice(i, 1)) for k in (0, 1))
+                differ = np.zeros((len(na), len(nb)), dtype=np.int64)
+                for w in range(PARITY // 64):
+                    differ += np.bitwise_count(ba[:, w, None] ^ bb[None, :, w])
+                total = sa[:, None] + sb[None, :]
+                ok = (differ * (100 + percent) <= total * (100 - percent)) & (ca[:, None] != cb[None, :]) & (percent * np.maximum(sa[:, None], sb[None, :]) <= 100 * np.minimum(sa[:, None], sb[None, :]))
+                x, y = np.nonzero(ok)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(na[x], nb[y])), pa.array(np.maximum(na[x], nb[y]))], names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
@@ -268,8 +306,12 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     placed = materialise(placed.select("key", "node", "size", "component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     left = materialise(placed.join(open_keys, "key"))
-    other = left.select("key", F.col("node").alias("node_b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"))
-    rest = left.join(other, "key").filter(f"node < node_b and component <> component_b and {fits}").select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+    counted = left.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > FEW)
+    counted = materialise(counted)
+    few = left.join(counted, "key", "left_anti")
+    other = few.select("key", F.col("node").alias("node_b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"))
+    rest = few.join(other, "key").filter(f"node < node_b and component <> component_b and {fits}").select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+    rest = rest.unionByName(block_pairs(left.join(counted, "key"), nodes, percent))
     more = materialise(verify(possible(rest, nodes, percent), docs, width, percent))
     if not more.isEmpty():
         found = materialise(components(links.unionByName(more)))
