@@ -153,6 +153,15 @@ def test_jaccard_edges(spark, empty):
     assert jaccard_join.boundary({}, 0.0, 90) == 0
 
 
+def test_jaccard_in_blocks(docs, monkeypatch):
+    """Long lists: hardly similar sets, of which a few join only through others."""
+    monkeypatch.setattr(jaccard_join, "FEW", 1)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    want = brute_components(corpus(), 3, 70)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs, 3, 70).collect()}
+    assert found == want
+
+
 def test_boundary_is_by_cost():
     sizes = dict.fromkeys(range(9, 400), 10)
     assert jaccard_join.boundary(sizes, 0.0, 90) <= jaccard_join.boundary(sizes, 5.0, 90) <= jaccard_join.boundary(sizes, 50.0, 90)
