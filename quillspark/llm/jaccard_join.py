@@ -11,14 +11,16 @@ first, two sets that join share at least k shingles among the first |set| - ceil
   sizes and the mean length of lists, both taken over all documents.
 
 Equal sets are one class first. Each list then tries its members against its least one; what joins is one component, and
-a second step tries only pairs of a list that are still in different components, those of long lists in blocks. So thousands of near copies cost a few
-checks each, while any link between two components is found. All candidates are checked on the whole texts.
+a second step tries only pairs of a list that are still in different components, those of long lists in blocks. So
+thousands of near copies cost a few checks each, while any link between two components is found. All candidates are
+checked on the whole texts.
 
 The order uses counts of frequent shingles: those seen twice or more in 4 million, of which the 2^19 most frequent are
 sent to executors. It changes how many candidates there are, never the result.
 
 Before texts move, candidates are tried by the parities of their sets: each shingle flips one of 1024 bits (large sets:
-16384 more), so bits that differ are a lower bound of shingles that differ. What that bound rules out is no link for certain.
+one of 16384 more), so bits that differ are a lower bound of shingles that differ. What it rules out is no link for
+certain.
 
 Nulls and empty texts: an empty set, linked with nothing, its own component. A null doc_id belongs to the component of
 its equals (null if all of these are null). Repeated rows are equal sets. Empty tables give empty results. Texts of any
@@ -48,7 +50,7 @@ PARITY = 1024
 LARGE, WIDE = 2000, 16_384
 #: Lists of up to FEW members make pairs by a join; longer ones are compared in blocks.
 FEW, BLOCK = 24, 256
-#: Ids that may be broadcast: 16 MB.
+#: Rows of a few longs that may be broadcast: up to 32 MB.
 SMALL = 1_000_000
 
 
@@ -194,10 +196,7 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     kind = docs.schema["doc_id"].dataType.simpleString()
     pairs = materialise(pairs.select("a", "b").distinct())
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    ids = materialise(ids)
-    if ids.count() <= SMALL:
-        ids = F.broadcast(ids)
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text").join(bounded(ids), "doc_id", "left_semi")
     texts = materialise(texts.dropDuplicates(["doc_id"]))
     full = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return full.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
@@ -219,6 +218,12 @@ def most_frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return shingle[order], found["n"].to_numpy()[order]
 
 
+def bounded(rows: DataFrame) -> DataFrame:
+    """The rows, written; marked for a broadcast if there are at most SMALL of them, and met by a shuffle if more."""
+    rows = materialise(rows)
+    return F.broadcast(rows) if rows.count() <= SMALL else rows
+
+
 def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that parities do not rule out. Sets of n and m that join differ in (n + m) (100 - p) / (100 + p) at most."""
     a = nodes.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("bits").alias("bits_a"))
@@ -292,26 +297,24 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     classes = materialise(classes)
     nodes = classes.join(shared.select(F.col("s").alias("s1")).distinct(), "s1", "left_semi").select(F.col("s1").alias("s"), "node", F.col("size").cast("int").alias("size"), "bits")
     nodes = materialise(nodes)
-    members = shared.join(nodes.drop("bits"), "s").select("key", "lead", "node", "size")
+    members = shared.join(bounded(nodes.drop("bits")), "s").select("key", "lead", "node", "size")
     fits = f"{percent} * greatest(size, size_b) <= 100 * least(size, size_b)"
 
     members = materialise(members)
     leads = members.groupBy("key").agg(F.min(F.struct("node", "size")).alias("x")).select("key", F.col("x.node").alias("node_b"), F.col("x.size").alias("size_b"))
-    star = members.join(materialise(leads), "key").filter(f"node <> node_b and {fits}").select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+    star = members.join(bounded(leads), "key").filter(f"node <> node_b and {fits}").select(F.col("node").alias("a"), F.col("node_b").alias("b"))
     links = materialise(verify(possible(star, nodes, percent), docs, width, percent))
     found = materialise(components(links))
 
     # what is left: pairs of a list in different components
-    placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = members.join(bounded(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = materialise(placed.select("key", "node", "size", "component"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    left = materialise(placed.join(open_keys, "key"))
-    counted = left.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > FEW)
-    counted = materialise(counted)
-    few = left.join(counted, "key", "left_anti")
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo <> hi").select("key", "members")
+    left = materialise(placed.join(bounded(open_keys), "key"))
+    few = left.filter(F.col("members") <= FEW).drop("members")
     other = few.select("key", F.col("node").alias("node_b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"))
     rest = few.join(other, "key").filter(f"node < node_b and component <> component_b and {fits}").select(F.col("node").alias("a"), F.col("node_b").alias("b"))
-    rest = rest.unionByName(block_pairs(left.join(counted, "key"), nodes, percent))
+    rest = rest.unionByName(block_pairs(left.filter(F.col("members") > FEW), nodes, percent))
     more = materialise(verify(possible(rest, nodes, percent), docs, width, percent))
     if not more.isEmpty():
         found = materialise(components(links.unionByName(more)))
@@ -325,10 +328,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
 
 def drop_near_copies(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """``docs`` without the documents that are linked to one with a smaller doc_id, directly or through others."""
-    drop = materialise(jaccard_components(docs, width, percent).filter("component_id <> doc_id").select("doc_id").distinct())
-    if drop.count() <= SMALL:
-        drop = F.broadcast(drop)
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    drop = jaccard_components(docs, width, percent).filter("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(bounded(drop), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op2_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
