@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Iterable, Iterator
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are taken in blocks of at most this many bytes (or one text), so memory does not follow the batch size.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 _written: list[str] = []
 
@@ -73,6 +75,16 @@ def fold(col: Column) -> Column:
     return F.crc32(col.cast("string").cast("binary"))
 
 
+def tidy() -> None:
+    """Gives memory that a finished task has freed back to the machine: workers live on and would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def blocks(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with their texts as UTF-8; null texts are empty."""
     for batch in batches:
@@ -85,6 +97,7 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tu
             to = max(at + 1, int(np.searchsorted(ends, base + BLOCK_BYTES, "right")))
             yield batch.slice(at, to - at), [x or b"" for x in col.slice(at, to - at).to_pylist()]
             at = to
+    tidy()
 
 
 def array_blocks(col: pa.Array) -> Iterator[list[bytes]]:

@@ -27,7 +27,7 @@ from quillspark.llm.common import blocks, materialise, read_table, tokenizer_pat
 WINDOW = 2048
 END_ID = 1
 #: Words kept per worker; the older half is given up when twice as many are known.
-CACHE = 500_000
+CACHE = 300_000
 
 #: What the byte-level pre-tokeniser treats alike wherever it stands: a run of non-space with the space before it, and
 #: white space up to the last one before a word.
