@@ -154,8 +154,8 @@ def qa_items(spark, d):
     """Three shapes of questions and answers over the same rows, cleaned and filtered."""
     rows = _pairs(spark, d)
     spans = readers.qa_spans(rows.select("question", F.struct(F.array("answer").alias("text")).alias("answers"), (F.col("turn") > 4).alias("is_impossible")), "spans")
-    lists = readers.qa_lists(rows.select("question", F.array(F.substring("answer", 1, 100)).alias("answers")), "lists")
-    choices = readers.qa_choices(rows.select(F.col("question").alias("question_stem"), F.struct(F.array(F.lit("A"), F.lit("B")).alias("label"), F.array(F.lit("no"), F.substring("answer", 1, 50)).alias("text")).alias("choices"), F.lit("B").alias("answerKey")), "choices")
+    lists = readers.qa_lists(rows.select("question", F.array("answer").alias("answers")), "lists")
+    choices = readers.qa_choices(rows.select(F.col("question").alias("question_stem"), F.struct(F.array(F.lit("A"), F.lit("B")).alias("label"), F.array(F.lit("no"), F.col("answer")).alias("text")).alias("choices"), F.lit("B").alias("answerKey")), "choices")
     return spans.unionByName(lists).unionByName(choices)
 
 

@@ -430,6 +430,23 @@ def test_quality(spark, empty):
     assert kneser_ney.keep_good(empty, labels).count() == 0
 
 
+def test_quality_of_repeated_words(spark):
+    """One word over and over is likely under the model of trusted text, and is no good text all the same."""
+    rows = [(i, " ".join(words(60, i))) for i in range(900)]
+    again = [(2000 + i, " ".join([words(1, i)[0]] * n)) for i, n in enumerate([20, 40, 60, 80, 200, 2000] * 5)]
+    twice = [(2500 + i, " ".join(w for w in words(30, i) for _ in range(2))) for i in range(20)]
+    turns = [(3000 + i, " ".join(words(3, i) * 40)) for i in range(20)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    kept = kneser_ney.keep_good(frame(spark, [*rows, *again, *twice, *turns, (4000, "alpha1 alpha1"), (4001, rows[0][1])]), labels)
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert not [i for i in ids if 2000 <= i < 4000] and {4000, 4001} <= ids and len(ids & set(range(900))) >= 890
+
+
+def test_repeats():
+    ids, starts = np.array([0, 1, 0, 0, 0, 0, 1, 1], dtype=np.int32), np.array([0, 2, 7, 8])
+    assert kneser_ney.repeats(ids, starts).tolist() == pytest.approx([0, 3 / 5, 0])
+
+
 def test_lines(spark, docs, empty):
     rows = [(i, f"own {i}\n  Shared   line \n\nown {i} b" if i % 2 else None, "en", f"s{i % 12}" if i % 5 else None, 0) for i in range(60)] + [(99, "Shared line", "en", "s1", 0), (99, "Shared line", "en", "s1", 0), (98, "", "en", "s1", 0)]
     df = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(1) for c in ("n_lines", "cut_lines", "text_hash_1", "h1")})

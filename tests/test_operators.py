@@ -147,6 +147,16 @@ def test_qa_readers(spark):
         readers.dataset_spec(" ")
 
 
+def test_qa_items_takes_whole_answers(spark, tmp_path):
+    """Answers of 2 to 220 characters stay whole; longer ones are no items, whatever their start."""
+    answers = ["x", "xy", "a" * 51, "b" * 101, "c" * 220, "d" * 221, "e" * 3000, None]
+    rows = [r for i, a in enumerate(answers) for r in ((i, 0, "user", f"Q{i}"), (i, 1, "assistant", a))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    found = {(r.source, r.question, r.answer) for r in queries.qa_items(spark, str(tmp_path)).collect()}
+    kept = [(i, a) for i, a in enumerate(answers) if a and 2 <= len(a) <= 220]
+    assert found == {(s, f"Q{i}", a) for s in ("spans", "lists") for i, a in kept} | {("choices", f"Q{i} (A) no (B) {a}", a) for i, a in kept}
+
+
 def test_round_trips(spark, tmp_path):
     rows = spark.createDataFrame([("é", None, [1, 2], True), ("b", "t", [3, 4], False)], "ctx_text string, tgt_text string, tgt_codes array<int>, is_val boolean").withColumn("ctx_codes", F.col("tgt_codes"))
     sinks.write_routed(rows, str(tmp_path / "out"))
