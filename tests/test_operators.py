@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.models import planner as P
 from quillspark.operators import filters, metrics, rvq, sample, windows
+from quillspark.plans import queries
 from quillspark.sources import readers, sinks
 from quillspark.streaming import stream
 
