@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -19,6 +20,8 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are taken in blocks of at most this many bytes (or one text), so memory does not follow the batch size.
 BLOCK_BYTES = 2 << 20
+#: Rows that go to Python at once.
+BATCH_ROWS = 1000
 
 _written: list[str] = []
 
@@ -28,14 +31,29 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors share; set to a local one only where it is unset."""
+    """The folder of ``spark.checkpoint.dir``, which all executors share. Where it is unset, a local one in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not found:
-        found = "file:///tmp/quillspark-checkpoints"
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose whole texts are about to go to Python: at most a thousand rows or 4 MB at once, so that neither the
+    JVM's buffers nor the workers hold tens of thousands of texts. Session settings; lower ones of the user's stay.
+    """
+    conf = df.sparkSession.conf
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(rows)) > BATCH_ROWS:
+        conf.set(rows, str(BATCH_ROWS))
+    if conf.get(size, "64m").lower() in ("64m", "64mb", "67108864b", "67108864"):  # Spark's own
+        conf.set(size, "4m")
+    return df
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession

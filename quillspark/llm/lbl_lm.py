@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import blocks, fold, hashes, materialise, read_table, word_ids
+from quillspark.llm.common import blocks, fold, hashes, materialise, read_table, small_batches, word_ids
 
 HEAD = 1 << 20
 WORDS = 4096
@@ -68,7 +68,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         words, ids, _ = word_ids(part, end=True)
         return keyed(words), np.bincount(ids, minlength=len(words))
 
-    return texts.select("text").mapInArrow(lambda b: _pack(b, count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return small_batches(texts.select("text")).mapInArrow(lambda b: _pack(b, count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def ending(words: list[bytes]) -> np.ndarray:
@@ -237,7 +237,7 @@ def score(docs: DataFrame, trained) -> DataFrame:
                 zero, zeros = np.zeros(m, dtype=np.int64), np.zeros(m)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[pair // len(words)]), pa.nulls(m, block.schema.field(0).type), pa.nulls(m, pa.bool_()), pa.array(zero), pa.array(zero), pa.array(zeros), pa.array(zeros), pa.array(key[pair % len(words)].view(np.int64)), pa.array(times)], names=names)
 
-    whole = materialise(docs.select("doc_id", "text", "held_out").mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, key long, times long"))
+    whole = materialise(small_batches(docs.select("doc_id", "text", "held_out")).mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, key long, times long"))
     # tokens that are not among the most frequent words: their counts come by a join, 0 if there are none
     rest = whole.filter("times > 0").select("row", "key", "times").join(counts, "key", "left")
     c = F.coalesce("n", F.lit(0))

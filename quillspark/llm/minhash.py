@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import block_shingles, blocks, mix, partitions, read_table
+from quillspark.llm.common import block_shingles, blocks, mix, partitions, read_table, small_batches
 
 BINS = 512
 BITS = 4
@@ -141,7 +141,7 @@ def compare(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
             )
 
-    return in_ranges(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return small_batches(in_ranges(docs)).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op6_document_fingerprints(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import blocks, materialise, read_table, tokenizer_path
+from quillspark.llm.common import blocks, materialise, read_table, small_batches, tokenizer_path
 
 WINDOW = 2048
 END_ID = 1
-#: Words kept per worker; the older half is given up when twice as many are known.
-CACHE = 300_000
+#: Chunks that a worker remembers; beyond, those that were used least are given up.
+CACHE = 500_000
 
 #: What the byte-level pre-tokeniser treats alike wherever it stands: a run of non-space with the space before it, and
 #: white space up to the last one before a word.
@@ -36,40 +35,66 @@ _CHUNK = re.compile(rf" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
 class ByteBpe:
-    """Ids of whole texts. White space bounds every token, so chunks are encoded once and remembered."""
+    """Ids of whole texts. White space bounds every token, so chunks are encoded once and remembered.
+
+    A chunk's ids are a slice of one flat buffer; a text's ids are gathered from it by the numbers of its chunks.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.special = [str(t) for t in (x.content for x in self.model.get_added_tokens_decoder().values())]
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit."""
-        cut = [None if any(s in t for s in self.special) else _CHUNK.findall(t) for t in texts]
-        need = set().union(*(c for c in cut if c))
-        known, missing = {}, []
-        for c in need:
-            ids = self.young.get(c)
-            if ids is None and (ids := self.old.get(c)) is not None:
-                self.young[c] = ids
-            if ids is None:
-                missing.append(c)
+        self._remember([], np.zeros(0, dtype=np.int64), np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64))
+
+    def _remember(self, words: list[str], size: np.ndarray, flat: np.ndarray, uses: np.ndarray) -> None:
+        self.known = dict(zip(words, range(len(words)), strict=True))
+        self.size, self.flat, self.uses = size, flat, uses
+
+    def _learn(self, new: list[str]) -> None:
+        """Encodes and numbers chunks; each is a text of its own."""
+        sizes, flat = [self.size], [self.flat]
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            found = self.model.encode(part, is_pretokenized=True, add_special_tokens=False)
+            sizes.append(np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(part)))
+            flat.append(np.array(found.ids, dtype="<u4"))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.size, self.flat = np.concatenate(sizes), np.concatenate(flat)
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), dtype=np.int64)])
+
+    def _forget(self) -> None:
+        """Keeps the half of the chunks that were used most, counted with less weight the longer ago."""
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[: CACHE // 2])
+        words, size = list(self.known), self.size[keep]
+        self._remember([words[i] for i in keep], size, self.flat[_runs((np.cumsum(self.size) - self.size)[keep], size)], self.uses[keep] // 2)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Each text's ids, unsigned 32-bit."""
+        cut, ends, apart = [], [0], {}
+        for i, t in enumerate(texts):
+            if any(s in t for s in self.special):
+                apart[i] = np.array(self.model.encode(t, add_special_tokens=False).ids, dtype="<u4")
             else:
-                known[c] = ids
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            known.update(zip(part, self._ids(part), strict=True))
-        self.young.update((c, known[c]) for c in missing)
-        if len(self.young) > CACHE:
-            self.old, self.young = self.young, {}
-        get = known.__getitem__
-        return [self._ids([t])[0] if c is None else b"".join(map(get, c)) for c, t in zip(cut, texts, strict=True)]
+                cut += _CHUNK.findall(t)
+            ends.append(len(cut))
+        places = list(map(self.known.get, cut))
+        if None in places:
+            self._learn(list(dict.fromkeys(c for c, n in zip(cut, places, strict=True) if n is None)))
+            places = list(map(self.known.__getitem__, cut))
+        places = np.array(places, dtype=np.int64)
+        size = self.size[places]
+        ids = self.flat[_runs((np.cumsum(self.size) - self.size)[places], size)]
+        self.uses += np.bincount(places, minlength=len(self.uses))
+        if len(self.known) > CACHE:
+            self._forget()
+        at = np.concatenate([[0], np.cumsum(size)])[ends]
+        return [apart[i] if i in apart else ids[at[i] : at[i + 1]] for i in range(len(texts))]
+
+
+def _runs(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the runs that begin at ``starts``, one run after the other."""
+    return np.repeat(starts - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
 _models: dict[str, ByteBpe] = {}
@@ -86,15 +111,15 @@ def byte_bpe(path: str) -> ByteBpe:
 
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): full windows and a tail of each document."""
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = np.array([end_id], dtype="<u4")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = byte_bpe(path)
         for block, texts in blocks(batches):
             place, start, length, crc, total = [], [], [], [], []
             for i, ids in enumerate(model.encode([t.decode("utf-8") for t in texts])):
-                ids += end
-                n = len(ids) // 4
+                n = len(ids) + 1
+                ids = np.concatenate([ids, end]).tobytes()
                 for s in range(0, n, window):
                     place.append(i)
                     start.append(s)
@@ -104,7 +129,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
             long = [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
             yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(place, pa.int64())), *long], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def combinations(count: np.ndarray, window: int) -> np.ndarray:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.boosting import Boosted, Isotonic
-from quillspark.llm.common import blocks, fold, read_table, word_ids
+from quillspark.llm.common import blocks, fold, read_table, small_batches, word_ids
 
 #: Bounds of what is learnt from.
 SAMPLE = 20_000
@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     positive, n = sum(v for (_, y), v in size.items() if y), sum(size.values())
     if not positive or positive == n:
         return positive / n if n else 0.0
-    counts = taken.mapInArrow(count, "key string, half int, pos long, neg long").groupBy("key", "half").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = small_batches(taken).mapInArrow(count, "key string, half int, pos long, neg long").groupBy("key", "half").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     # candidates only: keys of enough toxic texts that are at least as often toxic as not
     counts = counts.withColumn("all_pos", F.sum("pos").over(Window.partitionBy("key"))).filter(f"all_pos >= {LEAST_TEXTS}").filter("pos > 0 or neg > 0").collect()
     halves = [_lexicon(counts, h, size) for h in (1, 0)]  # half 0 is seen with the lexicon of half 1
@@ -175,7 +175,7 @@ def score(docs: DataFrame, model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(block.column(c) for c in names), pa.array(p, pa.float64())], names=[*names, "score"])
 
     kinds = dict(docs.dtypes)
-    return docs.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", score double")
+    return small_batches(docs).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", score double")
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
