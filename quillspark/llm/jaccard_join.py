@@ -13,9 +13,14 @@ first, two sets that join share at least k shingles among the first |set| - ceil
 Equal sets are one class first. Each list then tries its members against its least one; what joins is one component, and
 a second step tries only pairs of a list that are still in different components, those of long lists in blocks. So
 thousands of near copies cost a few checks each, while any link between two components is found. All candidates are
-checked on the whole texts.
+checked on the sets of whole texts.
 
-The order uses counts of frequent shingles: those seen twice or more in 4 million, of which the 2^19 most frequent are
+Every link is inside a component, so links are counted there: the sets of a component are told apart by how they differ
+from its least one, dealt into blocks, and two blocks at a time compared by one matrix product. Each set of a pair of
+blocks gets one sum; no pair is ever a row. A set that is met by very many (the least of a long list, or of a large
+component) is sent to several tasks, each with a part of these.
+
+The order uses counts of frequent shingles: those seen twice or more in a million, of which the 2^19 most frequent are
 sent to executors. It changes how many candidates there are, never the result.
 
 Before texts move, candidates are tried by the parities of their sets: each shingle flips one of 1024 bits (large sets:
@@ -23,8 +28,9 @@ one of 16384 more), so bits that differ are a lower bound of shingles that diffe
 certain.
 
 Nulls and empty texts: an empty set, linked with nothing, its own component. A null doc_id belongs to the component of
-its equals (null if all of these are null). Repeated rows are equal sets. Empty tables give empty results. Texts of any
-length are taken whole; extra columns are not read.
+its equals (null if all of these are null, and then linked with these only). Repeated rows are equal sets and count as
+links of each other; rows with one doc_id and different texts are sets of their own. Empty tables give empty results.
+Texts of any length are taken whole; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -37,11 +43,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import block_shingles, blocks, materialise, mix, read_table
+from quillspark.llm.common import block_shingles, blocks, materialise, mix, read_table, small_batches
 from quillspark.llm.components import components
 
 #: Shingles that are counted together in one task before the frequent ones are handed on.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 LEAST_COUNT = 2
 FREQUENT = 1 << 19
 #: Bits of the parity of a set: two sets differ in at least as many shingles as their parities in bits.
@@ -50,6 +56,10 @@ PARITY = 1024
 LARGE, WIDE = 2000, 16_384
 #: Lists of up to FEW members make pairs by a join; longer ones are compared in blocks.
 FEW, BLOCK = 24, 256
+#: Elements that a block of differing shingles may have, if it is more than one set.
+BLOCK_SHINGLES = 250_000
+#: Sets that meet one set in one task.
+MEET = 256
 #: Rows of a few longs that may be broadcast: up to 32 MB.
 SMALL = 1_000_000
 
@@ -108,7 +118,7 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
             yield from flush()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"kind int, doc_id {kind}, n long, s1 long, s2 long, bits array<long>")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"kind int, doc_id {kind}, n long, s1 long, s2 long, bits array<long>")
 
 
 def boundary(sizes: dict[int, int], list_length: float, percent: int) -> int:
@@ -155,9 +165,9 @@ def postings(docs: DataFrame, width: int, percent: int, bound: int, frequent) ->
                     rare = s[:q]
                 own = []
                 if n <= bound:
-                    if q not in pairs:
-                        pairs[q] = np.triu_indices(q, 1)
-                    i, j = pairs[q]
+                    i, j = pairs[q] if q in pairs else np.triu_indices(q, 1)
+                    if q <= 64:
+                        pairs[q] = i, j
                     own.append(mix(mix(rare[i]) + rare[j]))
                 if n >= least_overlap(bound, percent):
                     own.append(rare[: n - least + 1])
@@ -168,38 +178,90 @@ def postings(docs: DataFrame, width: int, percent: int, bound: int, frequent) ->
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, who)], names=["key", "s"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, s long")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "key long, s long")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of doc_ids whose whole texts join."""
+def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(s, shingles) of wanted(s, doc_id): the sorted 64-bit hashes as bytes. Other texts of the same doc_id are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[object, np.ndarray | None] = (None, None)
-        for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
-                ida, idb = part.column(0).to_pylist(), part.column(1).to_pylist()
-                ta, tb = (part.column(i).cast(pa.large_binary()).to_pylist() for i in (2, 3))
-                new = [i for i in range(len(idb)) if idb[i] != (idb[i - 1] if i else last[0])]
-                sets_b = dict(zip(new, block_shingles([tb[i] or b"" for i in new], width), strict=True))
-                keep = []
-                for i, sa in enumerate(block_shingles([t or b"" for t in ta], width)):
-                    if i in sets_b:
-                        last = (idb[i], sets_b[i])
-                    sb = last[1]
-                    both = len(np.intersect1d(sa, sb, assume_unique=True))
-                    if 100 * both >= percent * (len(sa) + len(sb) - both) and both:
-                        keep.append((ida[i], idb[i]))
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in keep], part.schema.field(0).type), pa.array([x for _, x in keep], part.schema.field(1).type)], names=["a", "b"])
+        done: set[int] = set()  # of this task: a doc_id that has many rows is sent on once
+        for block, texts in blocks(batches):
+            s, found = [], []
+            for want, x in zip(block.column(0).to_pylist(), block_shingles(texts, width), strict=True):
+                if want not in done and signature(x)[0] == want:
+                    done.add(want)
+                    s.append(want)
+                    found.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(found, pa.binary())], names=["s", "shingles"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    pairs = materialise(pairs.select("a", "b").distinct())
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select("doc_id", "text").join(bounded(ids), "doc_id", "left_semi")
-    texts = materialise(texts.dropDuplicates(["doc_id"]))
-    full = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
+    texts = docs.select("doc_id", "text").join(bounded(wanted.select("doc_id", "s")), "doc_id").select("s", "text")
+    return small_batches(texts).mapInArrow(run, "s long, shingles binary")
+
+
+def met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(b, part, first, a, shingles), by b and part: the set b first, then all sets a that pairs (a, b) has with it.
+
+    A set b with many pairs is sent to as many parts as leave MEET of them in each.
+    """
+    many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEET).alias("parts")).filter("parts > 1")
+    dealt = pairs.join(bounded(many), "b", "left").withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int")).select("a", "b", "part")
+    dealt = materialise(dealt)
+    leads = dealt.select("b", "part").distinct().join(sets.withColumnRenamed("s", "b"), "b").select("b", "part", F.lit(False).alias("member"), F.col("b").alias("a"), "shingles")
+    members = dealt.join(sets.withColumnRenamed("s", "a"), "a").select("b", "part", F.lit(True).alias("member"), "a", "shingles")
+    return small_batches(leads.unionByName(members).repartition("b", "part").sortWithinPartitions("b", "part", "member"))
+
+
+def met_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, np.ndarray, np.ndarray]]]:
+    """Lists of (a, b, set a, set b) of the rows of met()."""
+    lead: tuple[int, np.ndarray] | None = None
+    for batch in batches:
+        out = []
+        for b, member, a, x in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+            x = np.frombuffer(x, dtype=np.uint64)
+            if not member:
+                lead = b, x
+            elif lead and lead[0] == b:
+                out.append((a, b, x, lead[1]))
+        yield out
+
+
+def common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of x are in y; both are sorted."""
+    if not len(y):
+        return np.zeros(len(x), dtype=bool)
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sets join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in met_sets(batches):
+            keep = []
+            for a, b, x, y in part:
+                both = np.count_nonzero(common(x, y))
+                if both and 100 * both >= percent * (len(x) + len(y) - both):
+                    keep.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([v[i] for v in keep], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return met(pairs, sets).mapInArrow(run, "a long, b long")
+
+
+def in_blocks(rows: DataFrame, group: str, item: str, n_blocks) -> DataFrame:
+    """``rows`` with lo, hi and block: each row goes to every pair of blocks of its group that has its own.
+
+    A group of (group, lo, hi) is one block or two; all pairs of blocks are met, each in a group of its own.
+    """
+    n = F.greatest(n_blocks, F.lit(1)).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(item), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    return rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other")
+
+
+def flat(col: pa.Array | pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of byte strings, one after the other, and how many of them each has."""
+    found = [np.frombuffer(x, dtype=kind) for x in col.to_pylist()]
+    return np.concatenate(found) if found else np.zeros(0, dtype=kind), np.array([len(x) for x in found], dtype=np.int64)
 
 
 def most_frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -225,9 +287,12 @@ def bounded(rows: DataFrame) -> DataFrame:
 
 
 def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that parities do not rule out. Sets of n and m that join differ in (n + m) (100 - p) / (100 + p) at most."""
-    a = nodes.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("bits").alias("bits_a"))
-    b = nodes.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("bits").alias("bits_b"))
+    """The pairs (a, b) that parities do not rule out. Sets of n and m that join differ in (n + m) (100 - p) / (100 + p) at most.
+
+    Both joins have plain exchanges on both sides, so Spark splits the pairs of a set that has many.
+    """
+    a = nodes.select(F.col("s").alias("a"), F.col("size").alias("size_a"), F.col("bits").alias("bits_a"))
+    b = nodes.select(F.col("s").alias("b"), F.col("size").alias("size_b"), F.col("bits").alias("bits_b"))
     narrow, wide = PARITY // 64, WIDE // 64
 
     def differ(first: int, n: int):
@@ -237,98 +302,175 @@ def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     most = (F.col("size_a") + F.col("size_b")) * (100 - percent)
     both_wide = (F.size("bits_a") > narrow) & (F.size("bits_b") > narrow)
     fits = (differ(1, narrow) * (100 + percent) <= most) & (~both_wide | (differ(narrow + 1, wide) * (100 + percent) <= most))
-    return pairs.select("a", "b").distinct().join(a, "a").join(b, "b").filter(fits).select("a", "b")
+    pairs = materialise(pairs.select("a", "b").distinct())
+    return pairs.join(a, "a").join(b, "b").filter(fits).select("a", "b")
 
 
 def block_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of long lists that are in different components and not ruled out by parities.
 
-    members: key, node, size, component and members (their number in the list). A list is cut into blocks of about BLOCK
-    members with their parities; a row is two blocks, which are compared by one matrix operation, so no pair that is ruled
-    out is ever a row.
+    members: key, s, size, component and members (their number in the list). Blocks of about BLOCK members are compared by
+    matrix operations on their parities, so no pair that is ruled out is ever a row.
     """
-    bits = nodes.select("node", F.slice("bits", 1, PARITY // 64).alias("bits"))
-    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK)).alias("block")
-    one = F.struct("node", "size", "component", "bits")
-    blocks_ = members.select("key", "node", "size", "component", block).join(bits, "node").groupBy("key", "block").agg(F.collect_list(one).alias("x"))  # about BLOCK members
-    blocks_ = materialise(blocks_)
-    pairs = blocks_.join(blocks_.select("key", F.col("block").alias("other"), F.col("x").alias("y")), "key").filter("block <= other").select("x", "y")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def side(col):
-            v = col.values.slice(col.offsets[0].as_py(), col.offsets[-1].as_py() - col.offsets[0].as_py())
-            bits = v.field("bits")
-            start = bits.offsets[0].as_py()
-            flat = bits.values.slice(start, bits.offsets[-1].as_py() - start).to_numpy().view(np.uint64).reshape(-1, PARITY // 64)
-            return v.field("node").to_numpy(), v.field("size").to_numpy().astype(np.int64), v.field("component").to_numpy(), flat
-
-        for b in batches:
-            for i in range(b.num_rows):
-                (na, sa, ca, ba), (nb, sb, cb, bb) = (side(b.column(k).slice(i, 1)) for k in (0, 1))
-                differ = np.zeros((len(na), len(nb)), dtype=np.int64)
-                for w in range(PARITY // 64):
-                    differ += np.bitwise_count(ba[:, w, None] ^ bb[None, :, w])
-                total = sa[:, None] + sb[None, :]
-                ok = (differ * (100 + percent) <= total * (100 - percent)) & (ca[:, None] != cb[None, :]) & (percent * np.maximum(sa[:, None], sb[None, :]) <= 100 * np.minimum(sa[:, None], sb[None, :]))
-                x, y = np.nonzero(ok)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(na[x], nb[y])), pa.array(np.maximum(na[x], nb[y]))], names=["a", "b"])
-
-    return pairs.mapInArrow(run, "a long, b long")
-
-
-def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+    bits = nodes.select("s", F.slice("bits", 1, PARITY // 64).alias("bits"))
+    dealt = in_blocks(members.join(bits, "s"), "key", "s", F.ceil(F.col("members") / BLOCK))
+
+    def run(table: pa.Table) -> pa.Table:
+        s, size, component, block, lo, hi = (table[c].to_numpy() for c in ("s", "size", "component", "block", "lo", "hi"))
+        bits = table["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, PARITY // 64)
+        x, y = np.flatnonzero(block == lo[0]), np.flatnonzero(block == hi[0])
+        differ = np.zeros((len(x), len(y)), dtype=np.int64)
+        for w in range(PARITY // 64):
+            differ += np.bitwise_count(bits[x, w, None] ^ bits[None, y, w])
+        big, small = np.maximum(size[x, None], size[None, y]), np.minimum(size[x, None], size[None, y])
+        ok = (differ * (100 + percent) <= (big.astype(np.int64) + small) * (100 - percent)) & (component[x, None] != component[None, y]) & (percent * big <= 100 * small)
+        i, j = np.nonzero(ok)
+        return pa.table({"a": np.minimum(s[x[i]], s[y[j]]), "b": np.maximum(s[x[i]], s[y[j]])})
+
+    return dealt.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long")
+
+
+def linked_copies(found: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(s, linked): for each set of ``found`` (s, component) the copies of all other sets that it joins.
+
+    classes: s, size, copies. sets: s, shingles, of all sets of components of three or more. A component's label is its
+    least set. With D the shingles in which a set A differs from the least one R, |A and B| = |R| - |R less A| - |R less B|
+    + |D_A and D_B|, so only these few are compared.
+    """
+    own = materialise(found.join(classes, "s").select("s", "component", "size", "copies"))
+    groups = own.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("copies").alias("all"), F.min(F.struct((F.col("s") != F.col("component")), "size")).getField("size").alias("least_size"))
+    own = materialise(own.join(groups, "component"))
+    two = own.filter("members = 2").select("s", (F.col("all") - F.col("copies")).alias("linked"))
+    more = own.filter("members > 2")
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in met_sets(batches):
+            a, missing, rows = [], [], []
+            for one, _, x, r in part:
+                gone = ~common(r, x)
+                a.append(one)
+                missing.append(int(np.count_nonzero(gone)))
+                rows.append(np.concatenate([r[gone], x[~common(x, r)]]).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(missing, pa.int64()), pa.array(rows, pa.binary())], names=["s", "missing", "differ"])
+
+    pairs = more.filter("s <> component").select(F.col("s").alias("a"), F.col("component").alias("b"))
+    told = met(pairs, sets).mapInArrow(tell, "s long, missing long, differ binary")
+    told = materialise(told.dropDuplicates(["s"]))
+    rows = more.join(told, "s", "left").select("component", "members", "least_size", "s", "size", "copies", F.coalesce("missing", F.lit(0).cast("long")).alias("missing"), F.coalesce("differ", F.lit(b"")).alias("differ"))
+    rows = materialise(rows)
+    weight = rows.groupBy("component").agg(F.greatest(F.ceil(F.first("members") / BLOCK), F.ceil(F.sum(F.length("differ")) / (8 * BLOCK_SHINGLES))).alias("n_blocks"))
+    dealt = in_blocks(rows.drop("members").join(weight, "component"), "component", "s", F.col("n_blocks")).drop("n_blocks")
+
+    def count(table: pa.Table) -> pa.Table:
+        s, size, copies, missing, block, lo, hi, least = (table[c].to_numpy() for c in ("s", "size", "copies", "missing", "block", "lo", "hi", "least_size"))
+        value, lengths = flat(table["differ"], np.uint64)
+        row = np.repeat(np.arange(len(s)), lengths)
+        value, row = _shared(value, row)
+        x, y = np.flatnonzero(block == lo[0]), np.flatnonzero(block == hi[0])
+        place = np.zeros(len(s), dtype=np.int64)
+        place[x] = np.arange(len(x))
+        place[y] = np.arange(len(y))
+        both = np.zeros((len(x), len(y)), dtype=np.float32)
+        in_x, in_y = block[row] == lo[0], block[row] == hi[0]
+        step = 4096
+        for at in range(0, int(value.max()) + 1 if len(value) else 0, step):  # columns of a few shingles at once
+            left, right = np.zeros((len(x), step), dtype=np.float32), np.zeros((len(y), step), dtype=np.float32)
+            first, last = np.searchsorted(value, [at, at + step])
+            part = slice(first, last)
+            for side, inside in ((left, in_x[part]), (right, in_y[part])):
+                side[place[row[part][inside]], value[part][inside] - at] = 1
+            both += left @ right.T
+        overlap = least[0] - missing[x, None] - missing[None, y] + both.astype(np.int64)
+        joins = (overlap > 0) & (100 * overlap >= percent * (size[x, None] + size[None, y] - overlap)) & (s[x, None] != s[None, y])
+        out = {int(v): int(n) for v, n in zip(s[x], joins @ copies[y], strict=True)}
+        if lo[0] != hi[0]:
+            out |= {int(v): int(n) for v, n in zip(s[y], joins.T @ copies[x], strict=True)}
+        return pa.table({"s": pa.array(out.keys(), pa.int64()), "linked": pa.array(out.values(), pa.int64())})
+
+    counted = dealt.groupBy("component", "lo", "hi").applyInArrow(count, "s long, linked long").groupBy("s").agg(F.sum("linked").alias("linked"))
+    return two.unionByName(counted)
+
+
+def _shared(value: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the values that two rows or more have, in order, with their rows; others can't be in two sets."""
+    order = np.argsort(value, kind="stable")
+    value, row = value[order], row[order]
+    new = np.diff(value, prepend=value[:1] + np.uint64(1)) != 0
+    group = np.cumsum(new) - 1
+    often = np.bincount(group, minlength=1)[group] > 1 if len(group) else np.zeros(0, dtype=bool)
+    return np.unique(group[often], return_inverse=True)[1], row[often]
+
+
+def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, links: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, and with ``links`` n_links, the documents it is linked with."""
     spark = docs.sparkSession
     profile = materialise(profiles(docs, width))
     rows = profile.filter("kind = 0")
     frequent = spark.sparkContext.broadcast(most_frequent(profile.filter("kind = 1").groupBy("s1").agg(F.sum("n").alias("n"))))
-    sizes = {r.n: r.h for r in rows.filter("n > 0").groupBy("n").agg(F.count(F.lit(1)).alias("h")).collect()}  # a row per size
+    # sizes to 1 in 128: some 5000 rows at most
+    level = F.when(F.col("n") < 256, F.col("n")).otherwise(F.expr("shiftright(n, cast(log2(n) as int) - 7) * shiftleft(1L, cast(log2(n) as int) - 7)"))
+    sizes = {r.n: r.h for r in rows.filter("n > 0").groupBy(level.alias("n")).agg(F.count(F.lit(1)).alias("h")).collect()}
     chunk = profile.filter("kind = 2").agg(F.sum("n").alias("all"), F.sum("s1").alias("distinct"), F.count(F.lit(1)).alias("chunks")).first()
     # others in a list, as seen within chunks, carried to all chunks
     others = (chunk["all"] / chunk["distinct"] - 1) * chunk["chunks"] if chunk["chunks"] else 0.0
     bound = boundary(sizes, others, percent)
 
     lists = materialise(postings(docs, width, percent, bound, frequent))
-    heads = lists.groupBy("key").agg(F.min("s").alias("lead"), F.max("s").alias("last")).filter("lead <> last").select("key", "lead")
-    shared = materialise(lists.join(heads, "key").select("key", "s", "lead").distinct())
-
-    # a class: the documents with one set; its node is the least doc_id
-    classes = rows.filter("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n").alias("size"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("copies"))
-    classes = materialise(classes)
-    nodes = classes.join(shared.select(F.col("s").alias("s1")).distinct(), "s1", "left_semi").select(F.col("s1").alias("s"), "node", F.col("size").cast("int").alias("size"), "bits")
-    nodes = materialise(nodes)
-    members = shared.join(bounded(nodes.drop("bits")), "s").select("key", "lead", "node", "size")
+    heads = lists.groupBy("key").agg(F.min("s").alias("lead"), F.max("s").alias("last")).filter("lead <> last").select("key")
+    shared = materialise(lists.join(heads, "key").select("key", "s").distinct())
+
+    # a class: the documents with one set, known by the first half of its signature
+    first = F.first(F.struct("n", "bits"))
+    classes = rows.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), first.alias("x"), F.count(F.lit(1)).alias("copies"))
+    classes = materialise(classes.select(F.col("s1").alias("s"), "s2", "doc_id", F.col("x.n").alias("size"), F.col("x.bits").alias("bits"), "copies"))
+    nodes = classes.filter("doc_id is not null").join(shared.select("s").distinct(), "s", "left_semi")
+    nodes = materialise(nodes.select("s", "doc_id", F.col("size").cast("int").alias("size"), "bits"))
+    members = materialise(shared.join(bounded(nodes.select("s", "size")), "s").select("key", "s", "size"))
     fits = f"{percent} * greatest(size, size_b) <= 100 * least(size, size_b)"
 
-    members = materialise(members)
-    leads = members.groupBy("key").agg(F.min(F.struct("node", "size")).alias("x")).select("key", F.col("x.node").alias("node_b"), F.col("x.size").alias("size_b"))
-    star = members.join(bounded(leads), "key").filter(f"node <> node_b and {fits}").select(F.col("node").alias("a"), F.col("node_b").alias("b"))
-    links = materialise(verify(possible(star, nodes, percent), docs, width, percent))
-    found = materialise(components(links))
+    leads = members.groupBy("key").agg(F.min(F.struct("s", "size")).alias("x")).select("key", F.col("x.s").alias("b"), F.col("x.size").alias("size_b"))
+    star = members.join(bounded(leads), "key").filter(f"s <> b and {fits}").select(F.col("s").alias("a"), "b")
+    star = materialise(possible(star, nodes, percent))
+    sets = materialise(sets_of(docs, nodes.join(_ends(star), "s", "left_semi"), width))
+    linked = materialise(verify(star, sets, percent))
+    found = materialise(components(linked))
 
     # what is left: pairs of a list in different components
-    placed = members.join(bounded(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = materialise(placed.select("key", "node", "size", "component"))
+    placed = members.join(bounded(found.withColumnRenamed("node", "s")), "s", "left").withColumn("component", F.coalesce("component", "s"))
+    placed = materialise(placed.select("key", "s", "size", "component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo <> hi").select("key", "members")
     left = materialise(placed.join(bounded(open_keys), "key"))
     few = left.filter(F.col("members") <= FEW).drop("members")
-    other = few.select("key", F.col("node").alias("node_b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"))
-    rest = few.join(other, "key").filter(f"node < node_b and component <> component_b and {fits}").select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+    other = few.select("key", F.col("s").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"))
+    rest = few.join(other, "key").filter(f"s < b and component <> component_b and {fits}").select(F.col("s").alias("a"), "b")
     rest = rest.unionByName(block_pairs(left.filter(F.col("members") > FEW), nodes, percent))
-    more = materialise(verify(possible(rest, nodes, percent), docs, width, percent))
+    rest = materialise(possible(rest, nodes, percent))
+    new = nodes.join(_ends(rest), "s", "left_semi").join(bounded(sets.select("s")), "s", "left_anti")
+    sets = sets.unionByName(materialise(sets_of(docs, new, width)))
+    more = materialise(verify(rest, sets, percent))
     if not more.isEmpty():
-        found = materialise(components(links.unionByName(more)))
+        found = materialise(components(linked.unionByName(more)))
+    found = found.withColumnRenamed("node", "s")
 
     # documents whose class has copies or links; all others are their own component
-    reach = classes.join(found, "node", "left").filter("copies > 1 or component is not null").select("s1", "s2", F.coalesce("component", "node").alias("component"))
-    reach = materialise(reach)
-    out = rows.join(reach, ["s1", "s2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = found.join(classes.select("s", "doc_id"), "s").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    reach = classes.join(found.join(named, "component"), "s", "left").filter("copies > 1 or component is not null")
+    reach = reach.select("s", "s2", F.coalesce("component_id", "doc_id").alias("component_id"), "copies")
+    out = [F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")]
+    if links:
+        reach = reach.join(linked_copies(found, classes.select("s", "size", "copies"), sets, percent), "s", "left")
+        out.append(F.coalesce(F.col("copies") - 1 + F.coalesce("linked", F.lit(0)), F.lit(0)).cast("long").alias("n_links"))
+    reach = materialise(reach.withColumnsRenamed({"s": "s1"}))
+    return rows.select("doc_id", "n", "s1", "s2").join(reach, ["s1", "s2"], "left").select("doc_id", *out)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct()
 
 
 def drop_near_copies(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """``docs`` without the documents that are linked to one with a smaller doc_id, directly or through others."""
-    drop = jaccard_components(docs, width, percent).filter("component_id <> doc_id").select("doc_id").distinct()
+    drop = jaccard_components(docs, width, percent, links=False).filter("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(bounded(drop), "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -356,5 +498,5 @@ WITH RECURSIVE w AS (
 ), reach AS (
   SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT edge.b, reach.root FROM reach JOIN edge ON edge.a = reach.node
 )
-SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, min(reach.root)) AS component_id FROM n JOIN reach ON reach.node = n.doc_id GROUP BY n.doc_id, n.n
+SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, min(reach.root)) AS component_id, (SELECT count(*) FROM edge WHERE edge.a = n.doc_id) AS n_links FROM n JOIN reach ON reach.node = n.doc_id GROUP BY n.doc_id, n.n
 """

@@ -120,19 +120,26 @@ def brute_components(rows, width, percent):
         return i
 
     ids = sorted(s)
+    links = dict.fromkeys(ids, 0)
     for x, a in enumerate(ids):
         for b in ids[x + 1 :]:
             both = len(s[a] & s[b])
             if both and 100 * both >= percent * (len(s[a]) + len(s[b]) - both):
                 p, q = find(a), find(b)
                 root[max(p, q)] = min(p, q)
-    return {i: (len(s[i]), find(i)) for i in ids}
+                links[a] += 1
+                links[b] += 1
+    return {i: (len(s[i]), find(i), links[i]) for i in ids}
+
+
+def components_found(df):
+    return {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in df.collect()}
 
 
 @pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80), (1, 60)])
 def test_jaccard_components(docs, width, percent):
     want = brute_components(corpus(), width, percent)
-    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs, width, percent).collect()}
+    found = components_found(jaccard_join.jaccard_components(docs, width, percent))
     assert found == want
 
 
@@ -141,15 +148,35 @@ def test_jaccard_all_sizes_by_lists_or_subsets(docs, monkeypatch):
     for bound in (0, 40, 10_000):
         monkeypatch.setattr(jaccard_join, "boundary", lambda *_, b=bound: b)
         small = docs.filter(F.length("text") < 20_000) if bound > 1000 else docs
-        found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(small).collect()}
+        found = components_found(jaccard_join.jaccard_components(small))
         assert found == {i: v for i, v in want.items() if i in found} and len(found) >= len(want) - 2
 
 
 def test_jaccard_edges(spark, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0 and jaccard_join.drop_near_copies(empty).count() == 0
     df = frame(spark, [(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (None, None), (9, "q r s t")])
-    rows = {(r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(df).collect()}
-    assert rows == {(None, 3), (3, 3), (None, None), (9, 9)}
+    rows = sorted((r.doc_id or -1, r.component_id or -1, r.n_links) for r in jaccard_join.jaccard_components(df).collect())
+    assert rows == [(-1, -1, 0), (-1, 3, 2), (3, 3, 2), (3, 3, 2), (9, 9, 0)]
+    # one doc_id with different texts: each is a set of its own
+    texts = [" ".join(words(40, k)) for k in range(3)]
+    df = frame(spark, [(1, texts[0]), (1, texts[1]), (2, texts[1] + " more"), (3, texts[2])])
+    rows = sorted((r.doc_id, r.component_id, r.n_shingles, r.n_links) for r in jaccard_join.jaccard_components(df).collect())
+    assert rows == [(1, 1, 38, 0), (1, 1, 38, 1), (2, 1, 39, 1), (3, 3, 38, 0)]
+
+
+def test_jaccard_links_in_large_groups(spark, monkeypatch):
+    """A group of near copies over several blocks, met by parts: links inside a component are all counted."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(70):
+        w = words(60, 1)
+        for k in rng.sample(range(60), rng.randrange(4)):
+            w[k] = f"edit{rng.randrange(3)}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, " ".join(words(9, 2))) for i in range(5)]
+    for name, n in (("BLOCK", 7), ("MEET", 4), ("BLOCK_SHINGLES", 60)):
+        monkeypatch.setattr(jaccard_join, name, n)
+    assert components_found(jaccard_join.jaccard_components(frame(spark, rows))) == brute_components(rows, 3, 90)
     assert jaccard_join.boundary({}, 0.0, 90) == 0
 
 
@@ -158,7 +185,7 @@ def test_jaccard_in_blocks(docs, monkeypatch):
     monkeypatch.setattr(jaccard_join, "FEW", 1)
     monkeypatch.setattr(jaccard_join, "BLOCK", 3)
     want = brute_components(corpus(), 3, 70)
-    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs, 3, 70).collect()}
+    found = components_found(jaccard_join.jaccard_components(docs, 3, 70))
     assert found == want
 
 
@@ -482,7 +509,7 @@ def test_pipeline(spark):
             assert sorted(r.doc_id for r in out.collect()) == sorted(min(v) for v in want.values())
         if name == "near_copies":
             want = brute_components([(r.doc_id, r.text) for r in step.collect()], 5, 80)
-            assert {r.doc_id for r in out.collect()} == {c for _, c in want.values()}
+            assert {r.doc_id for r in out.collect()} == {c for _, c, _ in want.values()}
         if name != "packing":
             assert out.columns == documents.columns
             out = out.checkpoint()
