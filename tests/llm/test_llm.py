@@ -430,18 +430,61 @@ def test_boosting_and_isotonic():
     assert np.allclose(fitted, [0, 0.5, 0.5, 0.5, 1])
 
 
-def test_kneser_ney_sums_to_one(spark):
-    texts = [" ".join(words(12, i)) for i in range(60)]
-    vocabulary, model = kneser_ney.fit(frame(spark, list(enumerate(texts))))
-    size = len(vocabulary)
-    for context in ([], texts[0].encode().split()[:1], texts[0].encode().split()[:2], texts[1].encode().split()[3:5], [b"never", b"seen!"]):
-        start = vocabulary.of(context)
-        p = 0.0
-        for w in range(1, size):  # all but the start, which is never predicted but has a share of the uniform part
-            tokens = np.concatenate([start, [w]]).astype(np.int64)
-            p += 10 ** model.log10(tokens, np.array([0, len(tokens)]))[-1]
-        tokens = np.concatenate([start, [0]]).astype(np.int64)
-        assert p + 10 ** model.log10(tokens, np.array([0, len(tokens)]))[-1] == pytest.approx(1, abs=1e-4)
+def brute_kneser_ney(texts):
+    """Interpolated modified Kneser-Ney over trigrams, straight from its definition: a function of context and token."""
+    counts = Counter(w for t in texts for w in [*t.encode().split(), b""])
+    token = lambda w: w if counts[w] >= 2 or not w else kneser_ney.shape(w)
+    tri = Counter()
+    for t in texts:
+        w = ["<", "<", *(token(x) for x in t.encode().split()), b""]
+        tri.update(zip(w, w[1:], w[2:], strict=False))
+    bi = Counter()
+    for (_, v, w), n in tri.items():
+        bi[v, w] += n if v == "<" else 1
+    uni = Counter(w for _, w in bi)
+
+    def level(table):
+        seen = Counter(table.values())
+        d = kneser_ney.discounts([seen[k] for k in (1, 2, 3, 4)])
+        total, rest = Counter(), Counter()
+        for k, n in table.items():
+            total[k[:-1]] += n
+            rest[k[:-1]] += d[min(n, 3) - 1]
+        return d, total, rest
+
+    d3, total3, rest3 = level(tri)
+    d2, total2, rest2 = level(bi)
+    d1, total1, rest1 = level({(w,): n for w, n in uni.items()})
+
+    def p(u, v, w):
+        out = rest1[()] / total1[()] / (len(uni) + 1) + (max(0, uni[w] - d1[min(uni[w], 3) - 1]) / total1[()] if uni[w] else 0)
+        if total2[v,]:
+            out = rest2[v,] / total2[v,] * out + ((bi[v, w] - d2[min(bi[v, w], 3) - 1]) / total2[v,] if bi[v, w] else 0)
+        if total3[u, v]:
+            out = rest3[u, v] / total3[u, v] * out + ((tri[u, v, w] - d3[min(tri[u, v, w], 3) - 1]) / total3[u, v] if tri[u, v, w] else 0)
+        return out
+
+    return p, token, list(uni)
+
+
+@pytest.mark.parametrize("slots", [1 << 20, 1 << 6])
+def test_kneser_ney_is_its_definition(spark, slots, monkeypatch):
+    """With few slots most n-grams go through the sharded join."""
+    monkeypatch.setattr(kneser_ney, "HEAD", slots)
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("the a cat dog sat on mat. ran LOUD!!! x1".split()) for _ in range(rng.randrange(1, 14))) for _ in range(80)] + ["", "once only here"]
+    p, token, vocabulary = brute_kneser_ney(texts)
+    for u, v in (("<", "<"), ("<", b"the"), (b"the", b"cat"), (b"new", b"words"), (b"cat", b"other")):
+        assert sum(p(u, v, w) for w in [*vocabulary, b"unseen"]) == pytest.approx(1)
+    others = ["the cat sat on the mat.", "never seen WORDS here", "the the the", None, "a dog ran on x9 LOUD!!!"]
+    rows = list(enumerate([*texts, *others]))
+    model = kneser_ney.fit(frame(spark, rows[: len(texts)]))
+    found = {r.doc_id: r for r in kneser_ney.score(frame(spark, rows), model).collect()}
+    assert len(found) == len(rows)
+    for i, t in rows:
+        w = ["<", "<", *(token(x) for x in (t or "").encode().split()), b""]
+        want = sum(math.log10(p(*w[k - 2 : k + 1])) for k in range(2, len(w)))
+        assert found[i].n_tokens == len(w) - 2 and found[i].log10_mean * (len(w) - 2) == pytest.approx(want, abs=1e-6)
 
 
 def test_quality(spark, empty):
@@ -452,6 +495,9 @@ def test_quality(spark, empty):
     kept = kneser_ney.keep_good(df, labels)
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
     assert kept.columns == df.columns
+    # thresholds are the quantiles of what was scored and not fitted on
+    scored = kneser_ney.judged(df, labels, trusted=100).collect()
+    assert len(scored) == df.count() and all(r.keep is not None for r in scored)
     assert len(ids & set(range(900))) >= 890 and not ids & set(range(2000, 2050))
     assert kneser_ney.keep_good(df, labels.limit(0)).count() == df.count()
     assert kneser_ney.keep_good(empty, labels).count() == 0
