@@ -443,16 +443,16 @@ def brute_kneser_ney(texts):
         bi[v, w] += n if v == "<" else 1
     uni = Counter(w for _, w in bi)
 
-    def level(table):
+    def level(table, least=1):
         seen = Counter(table.values())
         d = kneser_ney.discounts([seen[k] for k in (1, 2, 3, 4)])
         total, rest = Counter(), Counter()
         for k, n in table.items():
             total[k[:-1]] += n
-            rest[k[:-1]] += d[min(n, 3) - 1]
+            rest[k[:-1]] += d[min(n, 3) - 1] if n >= least else n
         return d, total, rest
 
-    d3, total3, rest3 = level(tri)
+    d3, total3, rest3 = level(tri, kneser_ney.LEAST_TRIGRAM)
     d2, total2, rest2 = level(bi)
     d1, total1, rest1 = level({(w,): n for w, n in uni.items()})
 
@@ -461,16 +461,16 @@ def brute_kneser_ney(texts):
         if total2[v,]:
             out = rest2[v,] / total2[v,] * out + ((bi[v, w] - d2[min(bi[v, w], 3) - 1]) / total2[v,] if bi[v, w] else 0)
         if total3[u, v]:
-            out = rest3[u, v] / total3[u, v] * out + ((tri[u, v, w] - d3[min(tri[u, v, w], 3) - 1]) / total3[u, v] if tri[u, v, w] else 0)
+            out = rest3[u, v] / total3[u, v] * out + ((tri[u, v, w] - d3[min(tri[u, v, w], 3) - 1]) / total3[u, v] if tri[u, v, w] > 1 else 0)
         return out
 
     return p, token, list(uni)
 
 
-@pytest.mark.parametrize("slots", [1 << 20, 1 << 6])
-def test_kneser_ney_is_its_definition(spark, slots, monkeypatch):
-    """With few slots most n-grams go through the sharded join."""
-    monkeypatch.setattr(kneser_ney, "HEAD", slots)
+@pytest.mark.parametrize("head", [1 << 20, 30])
+def test_kneser_ney_is_its_definition(spark, head, monkeypatch):
+    """With a small head most n-grams go through the sharded join."""
+    monkeypatch.setattr(kneser_ney, "HEAD", head)
     rng = random.Random(2)
     texts = [" ".join(rng.choice("the a cat dog sat on mat. ran LOUD!!! x1".split()) for _ in range(rng.randrange(1, 14))) for _ in range(80)] + ["", "once only here"]
     p, token, vocabulary = brute_kneser_ney(texts)
@@ -484,7 +484,7 @@ def test_kneser_ney_is_its_definition(spark, slots, monkeypatch):
     for i, t in rows:
         w = ["<", "<", *(token(x) for x in (t or "").encode().split()), b""]
         want = sum(math.log10(p(*w[k - 2 : k + 1])) for k in range(2, len(w)))
-        assert found[i].n_tokens == len(w) - 2 and found[i].log10_mean * (len(w) - 2) == pytest.approx(want, abs=1e-6)
+        assert found[i].n_tokens == len(w) - 2 and found[i].log10_mean * (len(w) - 2) == pytest.approx(want, abs=1e-4)
 
 
 def test_quality(spark, empty):
