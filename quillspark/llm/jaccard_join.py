@@ -11,8 +11,9 @@ first, two sets that join share at least k shingles among the first |set| - ceil
   sizes and the mean length of lists, both taken over all documents.
 
 Equal sets are one class first. Each list then tries its members against its least one; what joins is one component, and
-a second step tries only pairs of a list that are still in different components, those of long lists in blocks. So
-thousands of near copies cost a few checks each, while any link between two components is found. All candidates are
+further steps try only pairs of a list that are still in different components: of long lists, compared in blocks, first
+those that would connect them, then all that are left. So thousands of near copies cost a few checks each, while any link
+between two components is found. All candidates are
 checked on the sets of whole texts.
 
 Every link is inside a component, so links are counted there: the sets of a component are told apart by how they differ
@@ -306,12 +307,14 @@ def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(fits).select("a", "b")
 
 
-def block_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of long lists that are in different components and not ruled out by parities.
+def block_pairs(members: DataFrame, nodes: DataFrame, percent: int, forest: bool, tried: np.ndarray) -> DataFrame:
+    """Pairs (a, b) of long lists that are in different components, not ruled out by parities and not among those tried.
 
     members: key, s, size, component and members (their number in the list). Blocks of about BLOCK members are compared by
-    matrix operations on their parities, so no pair that is ruled out is ever a row.
+    matrix operations on their parities, so no pair that is ruled out is ever a row. With ``forest``, two blocks give only
+    the pairs of least difference that would connect what can be connected: fewer than they have members.
     """
+    shared = members.sparkSession.sparkContext.broadcast(tried)
     bits = nodes.select("s", F.slice("bits", 1, PARITY // 64).alias("bits"))
     dealt = in_blocks(members.join(bits, "s"), "key", "s", F.ceil(F.col("members") / BLOCK))
 
@@ -325,11 +328,41 @@ def block_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
         big, small = np.maximum(size[x, None], size[None, y]), np.minimum(size[x, None], size[None, y])
         ok = (differ * (100 + percent) <= (big.astype(np.int64) + small) * (100 - percent)) & (component[x, None] != component[None, y]) & (percent * big <= 100 * small)
         i, j = np.nonzero(ok)
-        return pa.table({"a": np.minimum(s[x[i]], s[y[j]]), "b": np.maximum(s[x[i]], s[y[j]])})
+        a, b = np.minimum(s[x[i]], s[y[j]]), np.maximum(s[x[i]], s[y[j]])
+        new = ~common(pair_hash(a, b), shared.value)
+        i, j, a, b = i[new], j[new], a[new], b[new]
+        if forest:
+            order = np.argsort(differ[i, j], kind="stable")
+            used = order[_spanning(component[x[i[order]]].tolist(), component[y[j[order]]].tolist())]
+            a, b = a[used], b[used]
+        return pa.table({"a": a, "b": b})
 
     return dealt.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
+def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(mix(a.view(np.uint64)) + b.view(np.uint64))
+
+
+def _spanning(a: list[int], b: list[int]) -> list[int]:
+    """Places of the edges (a, b), in their order, that connect what was not connected before."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    kept = []
+    for n, (x, y) in enumerate(zip(a, b, strict=True)):
+        x, y = find(x), find(y)
+        if x != y:
+            root[x] = y
+            kept.append(n)
+    return kept
+
+
 def linked_copies(found: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(s, linked): for each set of ``found`` (s, component) the copies of all other sets that it joins.
 
@@ -435,21 +468,31 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, links
     linked = materialise(verify(star, sets, percent))
     found = materialise(components(linked))
 
-    # what is left: pairs of a list in different components
-    placed = members.join(bounded(found.withColumnRenamed("node", "s")), "s", "left").withColumn("component", F.coalesce("component", "s"))
-    placed = materialise(placed.select("key", "s", "size", "component"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo <> hi").select("key", "members")
-    left = materialise(placed.join(bounded(open_keys), "key"))
-    few = left.filter(F.col("members") <= FEW).drop("members")
-    other = few.select("key", F.col("s").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"))
-    rest = few.join(other, "key").filter(f"s < b and component <> component_b and {fits}").select(F.col("s").alias("a"), "b")
-    rest = rest.unionByName(block_pairs(left.filter(F.col("members") > FEW), nodes, percent))
-    rest = materialise(possible(rest, nodes, percent))
-    new = nodes.join(_ends(rest), "s", "left_semi").join(bounded(sets.select("s")), "s", "left_anti")
-    sets = sets.unionByName(materialise(sets_of(docs, new, width)))
-    more = materialise(verify(rest, sets, percent))
-    if not more.isEmpty():
-        found = materialise(components(linked.unionByName(more)))
+    # what is left: pairs of a list in different components. Long lists are connected by forests first, as most of their
+    # pairs are in one component then; the last round tries all pairs that are left
+    tried = np.zeros(0, dtype=np.uint64)
+    for last in (False, False, True):
+        placed = members.join(bounded(found.withColumnRenamed("node", "s")), "s", "left").withColumn("component", F.coalesce("component", "s"))
+        placed = materialise(placed.select("key", "s", "size", "component"))
+        open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo <> hi").select("key", "members")
+        left = materialise(placed.join(bounded(open_keys), "key"))
+        rest = block_pairs(left.filter(F.col("members") > FEW), nodes, percent, not last, tried)
+        if last:
+            few = left.filter(F.col("members") <= FEW).drop("members")
+            other = few.select("key", F.col("s").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"))
+            rest = rest.unionByName(few.join(other, "key").filter(f"s < b and component <> component_b and {fits}").select(F.col("s").alias("a"), "b"))
+        rest = materialise(possible(rest, nodes, percent))
+        if rest.isEmpty():
+            continue
+        new = nodes.join(_ends(rest), "s", "left_semi").join(bounded(sets.select("s")), "s", "left_anti")
+        sets = sets.unionByName(materialise(sets_of(docs, new, width)))
+        more = materialise(verify(rest, sets, percent))
+        if not last and rest.count() <= SMALL:  # beyond that, pairs that don't join may be tried again
+            pairs = rest.toArrow()
+            tried = np.union1d(tried, pair_hash(*(pairs[c].to_numpy() for c in ("a", "b"))))
+        if not more.isEmpty():
+            linked = linked.unionByName(more)
+            found = materialise(components(linked))
     found = found.withColumnRenamed("node", "s")
 
     # documents whose class has copies or links; all others are their own component
