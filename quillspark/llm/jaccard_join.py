@@ -55,8 +55,10 @@ FREQUENT = 1 << 19
 PARITY = 1024
 #: Sets above the first number have as many more bits as the second says.
 LARGE, WIDE = 2000, 16_384
-#: Lists of up to FEW members make pairs by a join; longer ones are compared in blocks.
-FEW, BLOCK = 24, 256
+#: Lists of up to FEW members make pairs by a join; longer ones are compared in blocks, STRIP rows of them at a time.
+FEW, BLOCK, STRIP = 24, 2048, 256
+#: Sets of a component whose links are counted at once.
+LINK_BLOCK = 512
 #: Elements that a block of differing shingles may have, if it is more than one set.
 BLOCK_SHINGLES = 250_000
 #: Sets that meet one set in one task.
@@ -312,7 +314,7 @@ def block_pairs(members: DataFrame, nodes: DataFrame, percent: int, forest: bool
 
     members: key, s, size, component and members (their number in the list). Blocks of about BLOCK members are compared by
     matrix operations on their parities, so no pair that is ruled out is ever a row. With ``forest``, two blocks give only
-    the pairs of least difference that would connect what can be connected: fewer than they have members.
+    pairs that would connect what was not connected, those of least difference first: fewer than they have members.
     """
     shared = members.sparkSession.sparkContext.broadcast(tried)
     bits = nodes.select("s", F.slice("bits", 1, PARITY // 64).alias("bits"))
@@ -321,21 +323,27 @@ def block_pairs(members: DataFrame, nodes: DataFrame, percent: int, forest: bool
     def run(table: pa.Table) -> pa.Table:
         s, size, component, block, lo, hi = (table[c].to_numpy() for c in ("s", "size", "component", "block", "lo", "hi"))
         bits = table["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, PARITY // 64)
-        x, y = np.flatnonzero(block == lo[0]), np.flatnonzero(block == hi[0])
-        differ = np.zeros((len(x), len(y)), dtype=np.int64)
-        for w in range(PARITY // 64):
-            differ += np.bitwise_count(bits[x, w, None] ^ bits[None, y, w])
-        big, small = np.maximum(size[x, None], size[None, y]), np.minimum(size[x, None], size[None, y])
-        ok = (differ * (100 + percent) <= (big.astype(np.int64) + small) * (100 - percent)) & (component[x, None] != component[None, y]) & (percent * big <= 100 * small)
-        i, j = np.nonzero(ok)
-        a, b = np.minimum(s[x[i]], s[y[j]]), np.maximum(s[x[i]], s[y[j]])
-        new = ~common(pair_hash(a, b), shared.value)
-        i, j, a, b = i[new], j[new], a[new], b[new]
-        if forest:
-            order = np.argsort(differ[i, j], kind="stable")
-            used = order[_spanning(component[x[i[order]]].tolist(), component[y[j[order]]].tolist())]
-            a, b = a[used], b[used]
-        return pa.table({"a": a, "b": b})
+        xs, y = np.flatnonzero(block == lo[0]), np.flatnonzero(block == hi[0])
+        root: dict[int, int] = {}
+        found_a, found_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for at in range(0, len(xs), STRIP):
+            x = xs[at : at + STRIP]
+            differ = np.zeros((len(x), len(y)), dtype=np.int32)
+            for w in range(PARITY // 64):
+                differ += np.bitwise_count(bits[x, w, None] ^ bits[None, y, w])
+            big, small = np.maximum(size[x, None], size[None, y]), np.minimum(size[x, None], size[None, y])
+            ok = (differ * (100 + percent) <= (big.astype(np.int64) + small) * (100 - percent)) & (component[x, None] != component[None, y]) & (percent * big <= 100 * small)
+            i, j = np.nonzero(ok)
+            a, b = np.minimum(s[x[i]], s[y[j]]), np.maximum(s[x[i]], s[y[j]])
+            new = ~common(pair_hash(a, b), shared.value)
+            i, j, a, b = i[new], j[new], a[new], b[new]
+            if forest:
+                order = np.argsort(differ[i, j], kind="stable")
+                used = order[_spanning(component[x[i[order]]].tolist(), component[y[j[order]]].tolist(), root)]
+                a, b = a[used], b[used]
+            found_a.append(a)
+            found_b.append(b)
+        return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
 
     return dealt.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long")
 
@@ -344,9 +352,8 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(mix(a.view(np.uint64)) + b.view(np.uint64))
 
 
-def _spanning(a: list[int], b: list[int]) -> list[int]:
-    """Places of the edges (a, b), in their order, that connect what was not connected before."""
-    root: dict[int, int] = {}
+def _spanning(a: list[int], b: list[int], root: dict[int, int]) -> list[int]:
+    """Places of the edges (a, b), in their order, that connect what was not connected before, as ``root`` knows and learns."""
 
     def find(x: int) -> int:
         while (up := root.get(x, x)) != x:
@@ -391,7 +398,7 @@ def linked_copies(found: DataFrame, classes: DataFrame, sets: DataFrame, percent
     told = materialise(told.dropDuplicates(["s"]))
     rows = more.join(told, "s", "left").select("component", "members", "least_size", "s", "size", "copies", F.coalesce("missing", F.lit(0).cast("long")).alias("missing"), F.coalesce("differ", F.lit(b"")).alias("differ"))
     rows = materialise(rows)
-    weight = rows.groupBy("component").agg(F.greatest(F.ceil(F.first("members") / BLOCK), F.ceil(F.sum(F.length("differ")) / (8 * BLOCK_SHINGLES))).alias("n_blocks"))
+    weight = rows.groupBy("component").agg(F.greatest(F.ceil(F.first("members") / LINK_BLOCK), F.ceil(F.sum(F.length("differ")) / (8 * BLOCK_SHINGLES))).alias("n_blocks"))
     dealt = in_blocks(rows.drop("members").join(weight, "component"), "component", "s", F.col("n_blocks")).drop("n_blocks")
 
     def count(table: pa.Table) -> pa.Table:
@@ -471,7 +478,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, links
     # what is left: pairs of a list in different components. Long lists are connected by forests first, as most of their
     # pairs are in one component then; the last round tries all pairs that are left
     tried = np.zeros(0, dtype=np.uint64)
-    for last in (False, False, True):
+    for last in (False, True):
         placed = members.join(bounded(found.withColumnRenamed("node", "s")), "s", "left").withColumn("component", F.coalesce("component", "s"))
         placed = materialise(placed.select("key", "s", "size", "component"))
         open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo <> hi").select("key", "members")

@@ -174,7 +174,7 @@ def test_jaccard_links_in_large_groups(spark, monkeypatch):
             w[k] = f"edit{rng.randrange(3)}"
         rows.append((i, " ".join(w)))
     rows += [(100 + i, " ".join(words(9, 2))) for i in range(5)]
-    for name, n in (("BLOCK", 7), ("MEET", 4), ("BLOCK_SHINGLES", 60)):
+    for name, n in (("LINK_BLOCK", 7), ("MEET", 4), ("BLOCK_SHINGLES", 60), ("STRIP", 2)):
         monkeypatch.setattr(jaccard_join, name, n)
     assert components_found(jaccard_join.jaccard_components(frame(spark, rows))) == brute_components(rows, 3, 90)
     assert jaccard_join.boundary({}, 0.0, 90) == 0
