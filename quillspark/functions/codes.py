@@ -52,8 +52,8 @@ def match_score(a: Column, b: Column) -> Column:
 
 
 def first_id(*columns: Column) -> Column:
-    """The first that is set and neither 0 nor empty."""
-    return F.coalesce(*[F.when(~c.cast("string").isin("", "0"), c.cast("string")) for c in columns])
+    """The first that is set and neither the number 0 nor the empty string; the string "0" is an id."""
+    return F.coalesce(*[F.when(F.when(F.typeof(c) == "string", c.cast("string") != "").otherwise(c.try_cast("double") != 0), c.cast("string")) for c in columns])
 
 
 def pad_left(items: Column, n: int = 6) -> Column:

@@ -24,7 +24,9 @@ def judged_paragraphs(docs: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, text) of kept paragraphs, joined by blank lines; documents without any are dropped. No shuffle."""
     kept = F.filter(T.paragraphs(F.col("text")), lambda p: paragraph_reason(p).isNull())
-    return docs.select("doc_id", kept.alias("kept")).filter(F.size("kept") > 0).select("doc_id", F.array_join("kept", "\n\n").alias("text"))
+    # a generator drops the empty ones: a filter would be pushed down and have the paragraphs judged twice
+    text = F.filter(F.array(F.array_join(kept, "\n\n")), lambda t: t != "")
+    return docs.select("doc_id", F.explode(text).alias("text"))
 
 
 def answer_reason(question: Column, answer: Column, least: int = 5, most: int = 220, most_symbols: float = 0.35) -> Column:

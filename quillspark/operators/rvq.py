@@ -81,7 +81,7 @@ def encode_native(vectors: DataFrame, column: str, codebook: DataFrame, renorm:
 
 
 def reconstruction_errors(coded: DataFrame, column: str, book: np.ndarray, codes: str = "codes") -> DataFrame:
-    """(stage, mse, cosine, cos_dist): of the unit sum of the first stages' centroids against the vectors."""
+    """(stage from 0, mse, cosine, cos_dist): of the unit sum of the stages up to it' centroids against the vectors."""
     shared = coded.sparkSession.sparkContext.broadcast(book)
     k = len(book)
 
@@ -96,7 +96,7 @@ def reconstruction_errors(coded: DataFrame, column: str, book: np.ndarray, codes
         return pd.Series(list(np.stack(cols, axis=1)))
 
     rows = coded.filter(F.col(column).isNotNull()).select(errors(column, codes).alias("e"))
-    rows = rows.select(F.explode(F.array(*[F.struct(F.lit(j + 1).alias("stage"), F.col("e")[2 * j].alias("se"), F.col("e")[2 * j + 1].alias("cos")) for j in range(k)])).alias("x")).select("x.*")
+    rows = rows.select(F.explode(F.array(*[F.struct(F.lit(j).alias("stage"), F.col("e")[2 * j].alias("se"), F.col("e")[2 * j + 1].alias("cos")) for j in range(k)])).alias("x")).select("x.*")
     return rows.groupBy("stage").agg(F.avg("se").alias("mse"), F.avg("cos").alias("cosine")).withColumn("cos_dist", 1 - F.col("cosine"))
 
 
@@ -120,11 +120,16 @@ def fit(vectors: DataFrame, column: str, k: int, v: int, niter: int = 25, train_
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    from quillspark.operators.sample import sample
+
     spark = vectors.sparkSession
-    rest = vectors.select(F.col(column).cast("array<double>").alias("r")).filter("r is not null").orderBy(F.xxhash64("r", F.lit(seed))).limit(train_n)
+    rest = vectors.select(F.col(column).cast("array<double>").alias("r")).filter("r is not null").withColumn("__key", F.xxhash64("r"))
+    rest = sample(rest, "__key", train_n, seed).select("r")
     books = []
+    held = []
     for stage in range(k):
         rest = rest.persist()
+        held.append(rest)
         model = KMeans(k=v, maxIter=niter, seed=seed + stage, featuresCol="f").fit(rest.select(array_to_vector("r").alias("f")))
         centres = np.array(model.clusterCenters())
         if len(centres) < v:  # fewer distinct vectors than centres
@@ -132,12 +137,28 @@ def fit(vectors: DataFrame, column: str, k: int, v: int, niter: int = 25, train_
         centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
         books.append(centres)
         rest = rest.select(_residual(spark.sparkContext.broadcast(centres))("r").alias("r"))
+    for one in held:
+        one.unpersist()
     return spark.createDataFrame([(i, j, [float(x) for x in c]) for i, b in enumerate(books) for j, c in enumerate(b)], "k int, v int, centroid array<double>")
 
 
 def attach_codes(sentences: DataFrame, codes: DataFrame, key: str = "sent_id") -> DataFrame:
-    """Sentences with their codes, by key; an error if there are not as many codes as sentences."""
-    a, b = sentences.count(), codes.count()
-    if a != b:
-        raise ValueError(f"{a} sentences and {b} code tuples")
+    """Sentences with their codes, by key; an error if a sentence has no codes or codes have no sentence."""
+    a, b = sentences.join(codes, key, "left_anti").count(), codes.join(sentences, key, "left_anti").count()
+    if a or b:
+        raise ValueError(f"{a} sentences without codes and {b} code tuples without a sentence")
     return sentences.join(codes, key)
+
+
+def attach_embeddings(sentences: DataFrame, vectors: DataFrame, order: str = "sent_id", row: str = "row_id") -> DataFrame:
+    """Sentences in order with the vector of the same place (``row`` counts from 0); an error if there are too few vectors.
+
+    Vectors that are left over are ignored.
+    """
+    from quillspark.operators.windows import number
+
+    placed = number(sentences, [order], row)
+    lacking = placed.join(vectors, row, "left_anti").count()
+    if lacking:
+        raise ValueError(f"{lacking} sentences have no vector")
+    return placed.join(vectors, row)

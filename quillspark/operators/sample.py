@@ -42,13 +42,14 @@ def positional_split(rows: DataFrame, key: str, fraction: float = 0.98, seed: in
 
 
 def sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows without replacement: those first in the seeded order. As uniform as a reservoir, and cut in each task first."""
-    return rows.orderBy(place(seed, F.col(key)), key).limit(n)
+    """n rows without replacement: those first in the seeded order, by rank, so no task gathers them all."""
+    rank = "__rank"
+    return ranked(rows, key, seed, rank).filter(F.col(rank) <= n).drop(rank)
 
 
 def weighted_count(n_a: int, n_b: int, weight: float) -> int:
     """How many rows of b to add to n_a rows so that they are ``weight`` of all, cut to a whole number and to n_b."""
-    return min(int(n_a * weight / (1.0 - weight)), n_b)
+    return min(int(n_a * weight / max(1e-9, 1.0 - weight)), n_b)
 
 
 def ratio_count(n_base: int, ratio: float) -> int:

@@ -21,8 +21,10 @@ def number(rows: DataFrame, keys: list[str], out: str, parts: int = 64) -> DataF
 
     Rows are dealt into ranges of the first key (an integer); a range's numbers begin where the ranges before it end.
     """
-    key = keys[0]
-    cuts = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    key, most = keys[0], 4096
+    found = rows.agg(F.percentile_approx(key, [i / most for i in range(1, most)], 10_000).alias("cuts"), F.count(F.lit(1)).alias("n")).first()
+    parts = min(most, max(parts, 1 << max(0, (found["n"] // 1_000_000).bit_length())))  # a million rows a part, as far as that goes
+    cuts = (found["cuts"] or [])[most // parts - 1 :: most // parts]
     cut = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<long>")
     part = F.when(F.col(key).isNull(), -1).otherwise(F.size(F.filter(cut, lambda c: c <= F.col(key))))
     rows = rows.withColumn("__part", part)
@@ -43,7 +45,7 @@ def runs(rows: DataFrame, doc: str, order: str, out: str = "run") -> DataFrame:
     w = Window.partitionBy("__part").orderBy(order)
     last = rows.groupBy("__part").agg(F.max_by(doc, order).alias("__last"))
     last = last.select("__part", F.lag("__last").over(Window.orderBy("__part")).alias("__last"), F.lit(True).alias("__has"))
-    rows = rows.join(F.broadcast(last), "__part")
+    rows = rows.join(last, "__part")
     first = F.row_number().over(w) == 1
     before = F.when(first, F.col("__last")).otherwise(F.lag(doc).over(w))
     new = ~F.col(doc).eqNullSafe(before) | (first & (F.col("__part") == 0))
@@ -51,7 +53,7 @@ def runs(rows: DataFrame, doc: str, order: str, out: str = "run") -> DataFrame:
     rows = rows.withColumn(out, F.last("__start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     carry = rows.groupBy("__part").agg(F.max("__start").alias("__s"))
     carry = carry.select("__part", F.max("__s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__carry"))
-    return rows.join(F.broadcast(carry), "__part").withColumn(out, F.coalesce(out, "__carry")).drop("__part", "__last", "__has", "__start", "__carry")
+    return rows.join(carry, "__part").withColumn(out, F.coalesce(out, "__carry")).drop("__part", "__last", "__has", "__start", "__carry")
 
 
 def sliding(rows: DataFrame, group: str, order: str, columns: dict[str, str], n: int = 6) -> DataFrame:
@@ -79,7 +81,7 @@ def context_rows_stripped(sentences: DataFrame, n: int = 6) -> DataFrame:
     named = sentences.withColumn("__part", part).withColumn("__here", here)
     carry = named.groupBy("__part").agg(F.max_by("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("sent_id"))).alias("d"))
     carry = carry.select("__part", F.last("d", ignorenulls=True).over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__carry"))
-    named = named.join(F.broadcast(carry), "__part").withColumn("__doc", F.coalesce("__here", "__carry"))
+    named = named.join(carry, "__part").withColumn("__doc", F.coalesce("__here", "__carry"))
     full = named.withColumn("text", T.strip(F.coalesce("text", F.lit("")))).filter("text <> ''")
     made = sliding(full, "__doc", "sent_id", {"text": "ctx"}, n)
     return made.select(F.col("__doc").alias("doc_id"), "sent_id", F.array_join("ctx", " ").alias("ctx_text"), F.col("text").alias("tgt_text"))

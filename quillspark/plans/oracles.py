@@ -160,7 +160,7 @@ def oracle_sql() -> dict[str, str]:
     control = "regexp_matches(t, '(\\|\\||<c\\d+_\\d{4}>|c\\d+_\\d+>)')"
     return {
         "clean_whitespace": f"SELECT doc_id, {_clean('text')} AS text FROM documents",
-        "clean_messages": f"SELECT conv_id, turn, {_message('text', 100)} AS text FROM conversations",
+        "clean_messages": f"SELECT conv_id, turn, {_message('text', 2000)} AS text FROM conversations",
         "clean_qa_text": f"SELECT page_id, {_qa('html')} AS text FROM pages",
         "split_sentences": f"WITH {SENTENCES} SELECT * FROM s",
         "sentence_ids": f"WITH {SENTENCES} SELECT *, row_number() OVER (ORDER BY doc_id, pos) - 1 AS sent_id FROM s",
@@ -184,12 +184,12 @@ def oracle_sql() -> dict[str, str]:
         "qa_pairs_filtered": f"WITH {PAIRS}, z AS (SELECT *, {_first_sentence('answer')} AS x FROM q) SELECT conv_id, turn, '### Instruction:' || chr(10) || {_clean('question')} || chr(10) || chr(10) || '### Response:' || chr(10) AS ctx_text, x AS tgt_text FROM z WHERE {ANSWER_REASON} IS NULL",
         "qa_reason_counts": f"WITH {PAIRS}, z AS (SELECT *, {_first_sentence('answer')} AS x FROM q) SELECT coalesce({ANSWER_REASON}, 'kept') AS reason, count(*) AS rows FROM z GROUP BY 1",
         "qa_first_dot": f"WITH {PAIRS} SELECT conv_id, turn, 'User: ' || {_clean('question')} || chr(10) || 'Assistant:' AS ctx_text, {_first_dot(_clean('answer'))} AS tgt_text FROM q WHERE {_first_dot(_clean('answer'))} <> ''",
-        "qa_items": f"WITH {PAIRS}, z AS (SELECT 'spans' AS source, question AS qu, answer AS an FROM q WHERE turn <= 4 UNION ALL SELECT 'lists', question, answer[1:100] FROM q UNION ALL SELECT 'choices', question || ' (A) no (B) ' || answer[1:50], answer[1:50] FROM q), k AS (SELECT source, {_qa('qu')} AS question, {_qa('an')} AS answer FROM z) SELECT * FROM k WHERE question <> '' AND length(answer) BETWEEN 2 AND 220 AND {_count('answer', '|')} < 2",
+        "qa_items": f"WITH {PAIRS}, z AS (SELECT 'spans' AS source, question AS qu, answer AS an FROM q WHERE turn <= 4 UNION ALL SELECT 'lists', question, answer FROM q UNION ALL SELECT 'choices', question || ' (A) no (B) ' || answer, answer FROM q), k AS (SELECT source, {_qa('qu')} AS question, {_qa('an')} AS answer FROM z) SELECT * FROM k WHERE question <> '' AND length(answer) BETWEEN 2 AND 220 AND {_count('answer', '|')} < 2",
         "qa_dedup": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY lower(coalesce(text, ''))",
         "doc_hash_split": f"{CRC} SELECT doc_id, {_crc(chr(39) + '0|' + chr(39) + ' || doc_id')} < {int(0.05 * 2**32)} AS is_val FROM documents, tb",
         "first_row_id": "SELECT event_id, coalesce(nullif((user_id % 2)::VARCHAR, '0'), nullif(nullif(event_type, 'click'), ''), nullif(event_id::VARCHAR, '0')) AS row_id FROM events",
-        "document_ids": "SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN doc_id ELSE doc_id + 1000000 END AS new_id FROM documents",
-        "stage_counters": "SELECT count(*) AS seen, count(*) FILTER (coalesce(text, '') = '') AS empty, count(*) FILTER (length(text) > 20000) AS too_long, count(*) FILTER (length(coalesce(text, '')) BETWEEN 1 AND 20000) AS written FROM documents",
+        "document_ids": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN doc_id WHEN 1 THEN -doc_id ELSE doc_id + 1000000 END AS new_id FROM documents",
+        "stage_counters": "SELECT count(*) AS seen, count(*) FILTER (coalesce(text, '') = '') AS empty, count(*) FILTER (length(text) > 200000) AS too_long, count(*) FILTER (length(coalesce(text, '')) BETWEEN 1 AND 200000) AS written FROM documents",
         "context_windows": f"{CRC}, {CONTEXTS} SELECT doc_id, pos, array_to_string(ctx, ' ') AS ctx_text, text AS tgt_text, {_crc(chr(39) + '0|' + chr(39) + ' || doc_id')} < {int(0.05 * 2**32)} AS is_val FROM c, tb WHERE len(ctx) = 6",
         "context_windows_stripped": f"WITH l AS (SELECT doc_id, unnest(range(len(k))) AS pos, unnest(k) AS raw FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS k FROM documents)), m AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id, pos) - 1 AS sent_id, {_strip('raw')} AS text FROM l), c AS (SELECT doc_id, sent_id, text, list(text) OVER (PARTITION BY doc_id ORDER BY sent_id ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS ctx FROM m WHERE text <> '') SELECT doc_id, sent_id, array_to_string(ctx, ' ') AS ctx_text, text AS tgt_text FROM c WHERE len(ctx) = 6",
         "document_runs": "WITH a AS (SELECT event_id, user_id % 3 AS doc, CASE WHEN user_id % 3 IS DISTINCT FROM lag(user_id % 3) OVER (ORDER BY event_id) OR row_number() OVER (ORDER BY event_id) = 1 THEN event_id END AS s FROM events) SELECT event_id, doc, max(s) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM a",
@@ -212,7 +212,7 @@ def oracle_sql() -> dict[str, str]:
         "rvq_encode": f"WITH {CODED} SELECT vec_id, codes FROM e",
         "rvq_encode_native": f"WITH {CODED} SELECT vec_id, codes FROM e",
         "rvq_encode_raw": f"WITH {BOOK}, {RAW} SELECT vec_id, codes FROM w",
-        "rvq_recon_error": f"WITH {CODED}, st AS (SELECT vec_id, unnest(range(1, {STAGES + 1}))::INT AS stage, codes FROM e), x AS (SELECT vec_id, stage, i, sum(centroid[i]) AS r FROM st, bk, (SELECT unnest(range(1, 65)) AS i) WHERE bk.k < stage AND bk.v = codes[bk.k + 1] GROUP BY ALL), z AS (SELECT x.vec_id, stage, list(r ORDER BY i) AS r FROM x GROUP BY ALL), u AS (SELECT stage, embedding::DOUBLE[] AS a, list_transform(r, lambda q: q / (sqrt(list_inner_product(r, r)) + 1e-8)) AS r FROM z JOIN embeddings USING (vec_id)) SELECT stage, round(avg(list_inner_product(a, a) + list_inner_product(r, r) - 2 * list_inner_product(a, r)), 6) AS mse, round(avg(list_inner_product(a, r)), 6) AS cosine, round(1 - avg(list_inner_product(a, r)), 6) AS cos_dist FROM u GROUP BY stage",
+        "rvq_recon_error": f"WITH {CODED}, st AS (SELECT vec_id, unnest(range({STAGES}))::INT AS stage, codes FROM e), x AS (SELECT vec_id, stage, i, sum(centroid[i]) AS r FROM st, bk, (SELECT unnest(range(1, 65)) AS i) WHERE bk.k <= stage AND bk.v = codes[bk.k + 1] GROUP BY ALL), z AS (SELECT x.vec_id, stage, list(r ORDER BY i) AS r FROM x GROUP BY ALL), u AS (SELECT stage, embedding::DOUBLE[] AS a, list_transform(r, lambda q: q / (sqrt(list_inner_product(r, r)) + 1e-8)) AS r FROM z JOIN embeddings USING (vec_id)) SELECT stage, round(avg(list_inner_product(a, a) + list_inner_product(r, r) - 2 * list_inner_product(a, r)), 6) AS mse, round(avg(list_inner_product(a, r)), 6) AS cosine, round(1 - avg(list_inner_product(a, r)), 6) AS cos_dist FROM u GROUP BY stage",
         "nearest_centroid": f"WITH {BOOK} SELECT vec_id, arg_min(v, {{'s': -list_inner_product(embedding::DOUBLE[], centroid), 'v': v}}) AS code FROM embeddings JOIN bk ON k = 0 GROUP BY vec_id",
         "code_strings": f"WITH {CODED} SELECT vec_id, {TEXT_CODES} AS text, {_special(2)} AS special FROM e",
         "parse_codes": f"WITH {CODED} SELECT vec_id, codes FROM e",

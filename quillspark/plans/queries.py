@@ -34,7 +34,7 @@ def clean_whitespace(spark, d):
 
 
 def clean_messages(spark, d):
-    return _chats(spark, d).select("conv_id", "turn", T.clean_message(F.col("text"), 100).alias("text"))
+    return _chats(spark, d).select("conv_id", "turn", T.clean_message(F.col("text")).alias("text"))
 
 
 def clean_qa_text(spark, d):
@@ -174,12 +174,15 @@ def first_row_id(spark, d):
 
 
 def document_ids(spark, d):
-    given = F.when(F.col("doc_id") % 3 == 0, F.col("doc_id").cast("string")).when(F.col("doc_id") % 3 == 1, F.concat(F.col("doc_id").cast("string"), F.lit(".75"))).otherwise("a-b")
-    return _docs(spark, d).select("doc_id", readers.document_id(given, F.col("doc_id") + 1_000_000).alias("new_id"))
+    """Whole strings, numbers and strings with a fraction (numbers negative), and words."""
+    text = F.col("doc_id").cast("string")
+    kind = F.col("doc_id") % 4
+    given = F.when(kind == 0, text).when(kind == 1, F.concat(F.lit("-"), text, F.lit(".75"))).when(kind == 2, F.concat(text, F.lit(".75"))).otherwise("a-b")
+    return _docs(spark, d).select("doc_id", readers.document_id(given, F.col("doc_id") + 1_000_000, kind == 1).alias("new_id"))
 
 
 def stage_counters(spark, d):
-    return metrics.stage_counters(_docs(spark, d), 20_000)
+    return metrics.stage_counters(_docs(spark, d))
 
 
 def context_windows(spark, d):

@@ -13,12 +13,17 @@ from quillspark.operators.filters import keep_answer
 DOCUMENT = "doc_id string, title string, url string, text string, content string"
 
 
-def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of ``schema`` with ``ord`` (order of lines) and ``bad`` (not JSON); blank lines are left out."""
+def json_lines(spark: SparkSession, path: str, schema: str, number: str | None = None) -> DataFrame:
+    """Rows of ``schema`` with ``ord`` (order of lines) and ``bad`` (not JSON); blank lines are left out.
+
+    With ``number``, the column is_number tells whether that name has a JSON number.
+    """
     lines = spark.read.text(path).filter(strip(F.col("value")) != "").withColumn("ord", F.monotonically_increasing_id())
     kinds = spark.createDataFrame([], schema).schema.add("__bad", T.StringType())
-    parsed = lines.select("ord", F.from_json("value", kinds, {"columnNameOfCorruptRecord": "__bad", "mode": "PERMISSIVE"}).alias("j"))
-    return parsed.select("ord", "j.*").withColumn("bad", F.col("__bad").isNotNull()).drop("__bad")
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("value"), f"$.{number}", "variant"))
+    extra = [F.coalesce(kind.rlike("^(BIGINT|DECIMAL|DOUBLE)"), F.lit(False)).alias("is_number")] if number else []
+    parsed = lines.select("ord", *extra, F.from_json("value", kinds, {"columnNameOfCorruptRecord": "__bad", "mode": "PERMISSIVE"}).alias("j"))
+    return parsed.select("ord", *["is_number"] * bool(number), "j.*").withColumn("bad", F.col("__bad").isNotNull()).drop("__bad")
 
 
 def documents(spark: SparkSession, path: str, max_docs: int = -1, max_chars: int = 200_000) -> DataFrame:
@@ -26,15 +31,19 @@ def documents(spark: SparkSession, path: str, max_docs: int = -1, max_chars: int
 
     The cap counts all documents seen. An id that is no whole number becomes the ordinal among documents seen.
     """
-    rows = json_lines(spark, path, DOCUMENT)
+    rows = json_lines(spark, path, DOCUMENT, "doc_id")
     if max_docs > 0:
         rows = rows.orderBy("ord").limit(max_docs)
     return judged_documents(rows, max_chars)
 
 
-def document_id(given: Column, ordinal: Column) -> Column:
-    """A whole number as given (numbers are cut), else the ordinal."""
-    return F.coalesce(given.try_cast("bigint"), F.floor(given.try_cast("double")).cast("bigint"), ordinal.cast("bigint"))
+def document_id(given: Column, ordinal: Column, is_number: Column | None = None) -> Column:
+    """A number cut towards 0, a string that is a whole number, else the ordinal.
+
+    is_number tells numbers from strings where ``given`` is their text; by default that is the column's type.
+    """
+    number = F.typeof(given) != "string" if is_number is None else is_number
+    return F.coalesce(given.try_cast("bigint"), F.when(number, given.try_cast("double").cast("bigint")), ordinal.cast("bigint"))
 
 
 def judged_documents(rows: DataFrame, max_chars: int = 200_000) -> DataFrame:
@@ -44,7 +53,7 @@ def judged_documents(rows: DataFrame, max_chars: int = 200_000) -> DataFrame:
     numbered = number(rows.withColumn("text", text), ["ord"], "ordinal")
     long = (F.length("text") > max_chars) if max_chars > 0 else F.lit(False)
     status = F.when(F.col("bad"), "bad_json").when(strip(F.col("text")) == "", "empty").when(long, "too_long").otherwise("ok")
-    return numbered.select("ord", document_id(F.col("doc_id"), F.col("ordinal")).alias("doc_id"), "title", "url", "text", status.alias("status"))
+    return numbered.select("ord", document_id(F.col("doc_id"), F.col("ordinal"), F.col("is_number") if "is_number" in rows.columns else None).alias("doc_id"), "title", "url", "text", status.alias("status"))
 
 
 def line_corpus(lines: DataFrame, order: str = "ord", line: str = "value") -> DataFrame:
@@ -58,7 +67,7 @@ def line_corpus(lines: DataFrame, order: str = "ord", line: str = "value") -> Da
     here = F.max(F.when(F.col("line") == "", F.col("ord"))).over(Window.partitionBy("part").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
     ends = rows.groupBy("part").agg(F.max(F.when(F.col("line") == "", F.col("ord"))).alias("e"))
     ends = ends.select("part", F.max("e").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-    rows = rows.withColumn("here", here).join(F.broadcast(ends), "part").withColumn("start", F.coalesce("here", "before", F.lit(-1))).filter("line <> ''")
+    rows = rows.withColumn("here", here).join(ends, "part").withColumn("start", F.coalesce("here", "before", F.lit(-1))).filter("line <> ''")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), " ")
     from quillspark.operators.windows import number
 

@@ -203,3 +203,29 @@ def test_plans_push_down(spark, tmp_path):
     plan = windows.split_sentences(spark.read.parquet(str(tmp_path / "d")).filter("doc_id > 5"))._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(doc_id), GreaterThan(doc_id,5)]" in plan and "other" not in plan.split("ReadSchema")[-1] and "Exchange" not in plan
     assert T.MARKUP
+
+
+def test_codes_and_vectors_meet_by_key(spark):
+    with pytest.raises(ValueError, match="1 sentences without codes and 1 code"):
+        rvq.attach_codes(spark.range(3), spark.range(1, 4), "id")  # as many, but others
+    said = spark.createDataFrame([(9, "b"), (4, "a")], "sent_id long, text string")
+    vectors = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [3.0])], "row_id long, v array<double>")
+    assert {(r.text, r.v[0]) for r in rvq.attach_embeddings(said, vectors).collect()} == {("a", 1.0), ("b", 2.0)}
+    with pytest.raises(ValueError, match="1 sentences have no vector"):
+        rvq.attach_embeddings(said, vectors.filter("row_id = 0"))
+
+
+def test_document_ids_by_json_type(spark, tmp_path):
+    lines = ['{"doc_id": -3.7, "text": "a"}', '{"doc_id": "3.75", "text": "b"}', '{"doc_id": "12", "text": "c"}', '{"doc_id": 8, "text": "d"}', '{"text": "e"}', "no json"]
+    (tmp_path / "docs.jsonl").write_text("\n".join(lines))
+    found = {r.text: (r.doc_id, r.status) for r in readers.documents(spark, str(tmp_path / "docs.jsonl")).collect()}
+    assert found == {"a": (-3, "ok"), "b": (1, "ok"), "c": (12, "ok"), "d": (8, "ok"), "e": (4, "ok"), "": (5, "bad_json")}
+
+
+def test_sample_is_by_rank(spark):
+    rows = spark.range(500)
+    taken = sample.sample(rows, "id", 40, 3)
+    assert "TakeOrdered" not in taken._jdf.queryExecution().toString()
+    want = {r.id for r in rows.orderBy(sample.place(3, F.col("id")), "id").limit(40).collect()}
+    assert {r.id for r in taken.collect()} == want
+    assert sample.weighted_count(10, 5, 1.0) == 5

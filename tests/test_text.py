@@ -119,7 +119,7 @@ def test_split_is_crc(spark):
 
 def test_first_id_and_pad(spark):
     df = spark.createDataFrame([(0, "", "x"), (5, "a", "x"), (None, None, "0")], "a int, b string, c string")
-    assert [r.x for r in df.select(K.first_id(F.col("a"), F.col("b"), F.col("c")).alias("x")).collect()] == ["x", "5", None]
+    assert [r.x for r in df.select(K.first_id(F.col("a"), F.col("b"), F.col("c")).alias("x")).collect()] == ["x", "5", "0"]
     assert column(spark, [["a", "b"], list("abcdefgh"), []], lambda c: K.pad_left(c), "array<string>") == [list("aaaaab"), list("cdefgh"), None]
 
 
