@@ -92,7 +92,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     hashed = docs.withColumn(h, F.xxhash64(text))
     flagged = possibly_repeated(hashed, h, maybe, hashed.select(h))
     alone = flagged.filter(~F.col(maybe)).select(*docs.columns)
-    order = F.struct(F.col(id_col).isNull(), F.col(id_col))
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(text_col))  # the last: of texts with one id always the same one
     shared = flagged.filter(maybe).withColumn(sha, F.sha2(text, 256)).groupBy(sha).agg(F.min_by(F.struct(*docs.columns), order).alias(row))
     return alone.unionByName(shared.select(f"{row}.*"))
 

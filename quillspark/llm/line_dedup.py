@@ -22,8 +22,8 @@ MIN_SITES = 6
 LOG_SIZE = 10
 #: Estimates within these parts of the threshold are counted exactly; the sketch's own error is about 3 %.
 NEAR = (0.7, 1.4)
-#: Rows that may be broadcast.
-SMALL = 100_000
+#: Rows that may be broadcast, and the numbers of lines in them: some 12 MB.
+SMALL, PLACES = 100_000, 2_000_000
 
 
 def _line(line):
@@ -58,21 +58,22 @@ def cut_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES)
     t1, t2, cut = (free_name(docs, x) for x in ("text_hash_1", "text_hash_2", "cut_lines"))
     hits = lines.join(common, ["h1", "h2"], "left_semi").select(F.col("t1").alias(t1), F.col("t2").alias(t2), "pos").distinct()
     found = materialise(hits.groupBy(t1, t2).agg(F.collect_list("pos").alias(cut)))  # at most the lines of one text
-    if found.count() <= SMALL and not found.filter(F.size(cut) > 1000).count():
+    held = found.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size(cut)).alias("places")).first()
+    if held["rows"] <= SMALL and (held["places"] or 0) <= PLACES:
         found = F.broadcast(found)
     text = F.col("text")
     rows = docs.withColumns({t1: F.xxhash64(text), t2: F.xxhash64(F.lit(1), text)}).join(found, [t1, t2], "left")
     kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(cut, i))
     clean = F.when(F.col(cut).isNull(), text).otherwise(F.array_join(kept, "\n"))
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long")
-    counts = {free_name(docs, "n_lines"): n_lines, free_name(docs, "n_removed"): F.coalesce(F.size(cut), F.lit(0)).cast("long")}
+    counts = {free_name(docs, "n_lines"): n_lines, free_name(docs, "n_removed"): F.when(F.col(cut).isNull(), 0).otherwise(F.size(cut)).cast("long")}
     rows = rows.withColumns(counts | {free_name(docs, "clean_text"): clean})
     return rows.select(*[F.col(free_name(docs, "clean_text")).alias("text") if c == "text" else c for c in docs.columns], *counts)
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return cut_lines(docs.select("doc_id", "source", "text")).select("doc_id", "n_lines", F.when(F.col("n_removed") < 0, 0).otherwise(F.col("n_removed")).alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("clean_sha256"))
+    return cut_lines(docs.select("doc_id", "source", "text")).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("clean_sha256"))
 
 
 OP10_SQL = rf"""

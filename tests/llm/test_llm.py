@@ -562,3 +562,19 @@ def test_pipeline(spark):
         step = out
     assert len(names) == 5
     assert step.agg(F.sum("length")).first()[0] == step.filter("start = 0").agg(F.sum("doc_tokens")).first()[0]
+
+
+def test_toxicity_features_by_brute_force():
+    lexicon = {"vile": 3.0, "rott~": 2.5}
+    texts = ["You are VILE, you rotter!", "a v1le thing for your own", "nothing here at all", "", "vile " * 40 + "you", "I said: tu es rotting"]
+    found = toxicity.features([t.encode() for t in texts], lexicon)
+    for t, x in zip(texts, found, strict=True):
+        w = [v.strip(toxicity._EDGE) for v in t.lower().split()]
+        plain = [v.translate(toxicity.LOOK_ALIKE) for v in w]
+        hit = [max((lexicon.get(k, 0.0) for k in toxicity._keys(v)), default=0.0) or max(lexicon.get(k, 0.0) for k in toxicity._keys(p)) for v, p in zip(w, plain, strict=True)]
+        n, places = len(w), [i for i, h in enumerate(hit) if h]
+        said = [i for i, v in enumerate(w) if v in toxicity.SECOND_PERSON]
+        near = max((1 / (1 + abs(i - j)) for i in places for j in said), default=0.0)
+        want = [len(places) / max(n, 1), math.log1p(len(places)), sum(hit) / max(n, 1), max(hit, default=0.0), near, len(said) / max(n, 1)]
+        assert x[[0, 1, 2, 4, 5, 6]].tolist() == pytest.approx(want)
+        assert x[10] == pytest.approx(sum(c.isupper() for c in t) / max(1, len(t))) and x[13] == pytest.approx(math.log1p(n))
