@@ -150,15 +150,20 @@ def attach_codes(sentences: DataFrame, codes: DataFrame, key: str = "sent_id") -
     return sentences.join(codes, key)
 
 
-def attach_embeddings(sentences: DataFrame, vectors: DataFrame, order: str = "sent_id", row: str = "row_id") -> DataFrame:
+def attach_embeddings(sentences: DataFrame, vectors: DataFrame, order: str | list[str] = "sent_id", row: str = "row_id") -> DataFrame:
     """Sentences in order with the vector of the same place (``row`` counts from 0); an error if there are too few vectors.
 
-    Vectors that are left over are ignored.
+    Vectors that are left over are ignored, with a warning.
     """
+    import warnings
+
     from quillspark.operators.windows import number
 
-    placed = number(sentences, [order], row)
+    placed = number(sentences, [order] if isinstance(order, str) else order, row)
     lacking = placed.join(vectors, row, "left_anti").count()
     if lacking:
         raise ValueError(f"{lacking} sentences have no vector")
+    over = vectors.join(placed, row, "left_anti").count()
+    if over:
+        warnings.warn(f"{over} vectors have no sentence and are ignored", stacklevel=2)
     return placed.join(vectors, row)

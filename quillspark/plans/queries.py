@@ -343,6 +343,15 @@ def attached_codes(spark, d):
     return rvq.attach_codes(rows, _coded(spark, d).select("vec_id", "codes"), "vec_id")
 
 
+def zipped_embeddings(spark, d):
+    """Rows in order of label and id, as sentences, each with the vector of its place."""
+    rows = _vectors(spark, d).select("label", F.col("vec_id").alias("sent_id")).filter("label is not null")
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding")[0].cast("double").alias("first"))
+    rows = rows.withColumn("__label", F.col("label").cast("long"))
+    zipped = rvq.attach_embeddings(rows.select("__label", "sent_id"), vectors, ["__label", "sent_id"])
+    return zipped.select("sent_id", F.col("row_id").cast("long").alias("row_id"), F.round("first", 6).alias("first"))
+
+
 def planner_rows(spark, d):
     """Vectors of a label are a document's sentences: the six tuples before each, and its own."""
     coded = _coded(spark, d).select("label", "vec_id", "codes")
@@ -420,6 +429,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         qa_pairs_filtered, qa_reason_counts, qa_first_dot, qa_items, qa_dedup, doc_hash_split, first_row_id, document_ids, stage_counters, context_windows, context_windows_stripped, document_runs, pad_context,
         split_report, chat_history_full, chat_history_kept, chat_reason_counts, seeded_shuffle, positional_split, sample_without_replacement, reservoir_sample, select_ordinals, head_limit, ratio_mix,
         quota_allocation, export_documents, rerank_top1, codebook_norms, rvq_encode, rvq_encode_raw, rvq_encode_native, rvq_recon_error, rvq_fit, nearest_centroid, code_strings, parse_codes, special_tokens,
-        code_prompts, attached_codes, planner_rows, valid_code_rows, planner_table, head_accuracy, tuple_accuracy, planner_perplexity, code_agreement, match_scores, hashed_embeddings, generated, line_corpus,
+        code_prompts, attached_codes, zipped_embeddings, planner_rows, valid_code_rows, planner_table, head_accuracy, tuple_accuracy, planner_perplexity, code_agreement, match_scores, hashed_embeddings, generated, line_corpus,
     ]
     return {f.__name__: f for f in named}
