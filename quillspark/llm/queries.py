@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import exact_dedup, jaccard_join, kneser_ney, lbl_lm, line_dedup, minhash, mixing, packing, toxicity, url_reputation
+from quillspark.llm import decontamination, exact_dedup, jaccard_join, kneser_ney, lbl_lm, line_dedup, minhash, mixing, packing, toxicity, url_reputation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_quality_classifier": kneser_ney.op9_quality_classifier,
         "op10_line_dedup": line_dedup.op10_line_dedup,
+        "op13_decontamination": decontamination.op13_decontamination,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_mixing": mixing.OP3_SQL,
         "op4_exact_dedup": exact_dedup.OP4_SQL,
         "op10_line_dedup": line_dedup.OP10_SQL,
+        "op13_decontamination": decontamination.OP13_SQL,
     }
