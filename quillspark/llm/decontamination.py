@@ -57,19 +57,24 @@ def hits(docs: DataFrame, windows: DataFrame, text: str = "text", broadcast_byte
     held = windows.agg(F.sum(F.octet_length("gram") + 64 * (2 + F.size("items"))).alias("bytes"), F.collect_set("len").alias("lens")).first()
     lens = sorted(held["lens"])  # of whole windows and of items shorter than one
     rows = with_words(docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), F.col(text).alias("text")), "text", "words").drop("text")
+    # Outer explosions, for inferred filters on the array would split each text again below the projection. Texts without
+    # windows give a row without a start, whose null slice hits nothing.
     n = F.size("words")
-    if len(lens) == 1:
-        rows = rows.withColumn("len", F.lit(lens[0])).filter(n >= lens[0])
-        rows = rows.select("t1", "t2", "words", "len", F.explode(F.sequence(F.lit(1), n - (lens[0] - 1))).alias("start"))
+    if len(lens) <= 1:
+        size = F.lit(lens[0] if lens else WINDOW)
+        rows = rows.select("t1", "t2", "words", F.explode_outer(F.when(n >= size, F.sequence(F.lit(1), n - (size - 1)))).alias("start")).withColumn("len", size)
     else:
-        rows = rows.filter(n >= (lens[0] if lens else 1)).select("t1", "t2", "words", F.explode(F.sequence(F.lit(1), n)).alias("start"))
-        rows = rows.select("t1", "t2", "words", "start", F.explode(F.array(*[F.lit(x) for x in lens]).cast("array<int>")).alias("len")).filter(F.col("start") + F.col("len") <= n + 1)
+        rows = rows.select("t1", "t2", "words", F.explode_outer(F.when(n > 0, F.sequence(F.lit(1), n))).alias("start"))
+        sizes = F.filter(F.array(*[F.lit(x) for x in lens]), lambda x: F.col("start") + x <= F.size("words") + 1)
+        rows = rows.select("t1", "t2", "words", "start", F.explode_outer(sizes).alias("len"))
     cut = F.slice("words", F.col("start"), F.col("len"))
-    rows = rows.withColumn("h", F.xxhash64(cut))
+    rows, text = rows.withColumn("h", F.xxhash64(cut)), F.array_join(cut, " ")
     if (held["bytes"] or 0) <= broadcast_bytes:
-        found = rows.join(F.broadcast(windows.withColumnRenamed("len", "size")), "h").filter((F.col("len") == F.col("size")) & (F.array_join(cut, " ") == F.col("gram")))
+        # each starts with the other: not an equality, which would become a key of the join and join the words of all windows
+        same = F.col("gram").startswith(text) & text.startswith(F.col("gram"))
+        found = rows.join(F.broadcast(windows.drop("len")), (rows["h"] == windows["h"]) & same)
     else:
-        found = rows.select("t1", "t2", "start", "len", "h", F.array_join(cut, " ").alias("gram")).join(windows, ["h", "len", "gram"])
+        found = rows.filter("start is not null").select("t1", "t2", "start", "len", "h", text.alias("gram")).join(windows, ["h", "len", "gram"])
     return found.select("t1", "t2", "start", "len", "items")
 
 
