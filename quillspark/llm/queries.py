@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import conversation_repair, decontamination, exact_dedup, jaccard_join, kneser_ney, lbl_lm, line_dedup, minhash, mixing, packing, toxicity, url_reputation
+from quillspark.llm import conversation_repair, decontamination, exact_dedup, jaccard_join, kneser_ney, lbl_lm, line_dedup, minhash, mixing, packing, periodic_runs, toxicity, url_reputation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_quality_classifier": kneser_ney.op9_quality_classifier,
         "op10_line_dedup": line_dedup.op10_line_dedup,
+        "op11_periodic_runs": periodic_runs.op11_periodic_runs,
         "op12_conversation_repair": conversation_repair.op12_conversation_repair,
         "op13_decontamination": decontamination.op13_decontamination,
     }
