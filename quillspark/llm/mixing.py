@@ -12,8 +12,8 @@ Only the last epoch's cut needs an order. Documents fall into 4096 hash buckets
 find the one where the budget ends, and only its documents are sorted. So a leaf with a third of all rows is no single
 task's work.
 
-Nulls: null languages and sources are "-", null texts have no tokens. Null doc_ids share one place in the order, repeated
-rows are taken each. Leaves without tokens get no budget. Empty tables give empty results. Extra columns pass through.
+Nulls: null languages and sources are "-", null texts have no tokens. Null doc_ids share one place in the order; repeated
+rows, and rows of one doc_id, are taken each. Leaves without tokens get no budget. Empty tables give empty results. Extra columns pass through.
 """
 
 from __future__ import annotations
@@ -79,8 +79,11 @@ def budgets(leaves: DataFrame, share: int, max_epochs: int) -> DataFrame:
     return share_out(leaves, ["domain", "lang"], "source", "total").select("domain", "lang", "source", "n", F.col("share").alias("budget"))
 
 
-def plan(keys: DataFrame, share: int = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """keys: doc_id, domain, lang, source, n_tokens. Adds budget, epochs (whole ones) and taken (tokens of the next)."""
+def plan(keys: DataFrame, share: int = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """keys: doc_id, domain, lang, source, n_tokens. Adds budget, epochs (whole ones) and taken (tokens of the next).
+
+    Columns of ``carry`` go through; rows with one doc_id and as many tokens follow each other by these.
+    """
     leaf = ["domain", "lang", "source"]
     found = materialise(budgets(keys.groupBy(*leaf).agg(F.sum("n_tokens").alias("n")).filter("n > 0"), share, max_epochs))
     if found.count() <= SMALL:
@@ -96,31 +99,43 @@ def plan(keys: DataFrame, share: int = SHARE, max_epochs: int = MAX_EPOCHS, seed
         cuts = F.broadcast(cuts)
     keys = keys.join(cuts, leaf, "left")
     inside = keys.filter("bucket = cut")
-    within = Window.partitionBy(*leaf).orderBy("place", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*leaf).orderBy("place", "n_tokens", *carry).rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.col("before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))
     inside = inside.withColumn("taken", F.greatest(F.lit(0), F.least("n_tokens", F.col("left_over") - ahead)))
     others = keys.filter("cut is null or bucket <> cut").withColumn("taken", F.when(F.col("bucket") < F.col("cut"), F.col("n_tokens")).otherwise(0))
-    return others.unionByName(inside).select("doc_id", *leaf, "n_tokens", "budget", "epochs", F.col("taken").cast("long").alias("taken"))
+    return others.unionByName(inside).select("doc_id", *leaf, "n_tokens", "budget", "epochs", F.col("taken").cast("long").alias("taken"), *carry)
 
 
-def keys_of(docs: DataFrame, domain: str = DOMAIN) -> DataFrame:
-    plain = docs.select("doc_id", "lang", "source", tokens(F.col("text")).alias("n_tokens"))
-    return plain.select("doc_id", F.expr(domain).alias("domain"), F.coalesce("lang", F.lit("-")).alias("lang"), F.coalesce("source", F.lit("-")).alias("source"), "n_tokens")
+def keys_of(docs: DataFrame, domain: str = DOMAIN, carry: tuple[str, ...] = ()) -> DataFrame:
+    plain = docs.select("doc_id", "lang", "source", tokens(F.col("text")).alias("n_tokens"), *carry)
+    return plain.select("doc_id", F.expr(domain).alias("domain"), F.coalesce("lang", F.lit("-")).alias("lang"), F.coalesce("source", F.lit("-")).alias("source"), "n_tokens", *carry)
 
 
 def mix(docs: DataFrame, share: int = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """Documents as often as they are taken: once a whole epoch, and once more if the last one's prefix reaches them.
 
-    Documents stay whole: the one in which a leaf's prefix ends is taken to its end.
+    Documents stay whole: the one in which a leaf's prefix ends is taken to its end. A row is known by all its columns (but
+    maps), so rows of one doc_id are taken each; rows that agree in all are taken as often as they are together.
     """
-    times, key = free_name(docs, "mix_times"), free_name(docs, "mix_key")
-    taken = plan(materialise(keys_of(docs)), share, max_epochs, seed)
-    many = taken.select(F.col("doc_id").alias(key), (F.col("epochs") + (F.col("taken") > 0).cast("long")).alias(times))
-    many = materialise(many.groupBy(key).agg(F.max(times).alias(times)).filter(F.col(times) != 1))
-    if many.count() <= 1_000_000:  # two longs each
-        many = F.broadcast(many)
-    out = docs.join(many, F.col("doc_id").eqNullSafe(F.col(key)), "left").withColumn(times, F.coalesce(times, F.lit(1).cast("long"))).filter(F.col(times) > 0)
-    return out.withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns)
+    times, row, id_, r1, r2 = (free_name(docs, x) for x in ("mix_times", "mix_row", "mix_id", "mix_hash_1", "mix_hash_2"))
+    told = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind]
+    rows = docs.withColumns({r1: F.xxhash64(*told), r2: F.xxhash64(F.lit(1), *told)})
+    taken = plan(materialise(keys_of(rows, carry=(r1, r2))), share, max_epochs, seed, (r1, r2))
+    each = taken.groupBy(F.col("doc_id").alias(id_), r1, r2).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("epochs") + (F.col("taken") > 0).cast("long")).alias("all"))
+    many = materialise(each.filter(F.col("all") != F.col("rows")).select(id_, F.col(r1).alias(f"{r1}_"), F.col(r2).alias(f"{r2}_"), "all", "rows"))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(r1) == F.col(f"{r1}_")) & (F.col(r2) == F.col(f"{r2}_"))
+
+    def bounded(side: DataFrame) -> DataFrame:
+        return F.broadcast(side) if side.count() <= 1_000_000 else side  # four longs each
+
+    even = many.select(id_, f"{r1}_", f"{r2}_", F.when(F.col("all") % F.col("rows") == 0, F.expr("all div rows")).otherwise(0).alias(times))
+    out = rows.join(bounded(even), same, "left").withColumn(times, F.coalesce(times, F.lit(1).cast("long"))).filter(F.col(times) > 0)
+    out = out.withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns)
+    uneven = many.filter("all % rows <> 0").select(id_, f"{r1}_", f"{r2}_", F.col("all").alias(times))
+    if uneven.isEmpty():
+        return out
+    one = rows.join(bounded(uneven), same).groupBy("doc_id", r1, r2, times).agg(F.first(F.struct(*docs.columns)).alias(row))
+    return out.unionByName(one.select(row, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(f"{row}.*"))
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
