@@ -63,12 +63,33 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes every table that materialise() has written. Results that still read them must have been saved."""
-    jvm = spark.sparkContext._jvm
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of materialise() after their last reader, and lets the driver forget finished jobs, whose shuffle
+    files the executors then delete. What was made from these tables must have been written.
+    """
+    for df in tables:
+        for path in {p for f in df.inputFiles() for p in _written if f"/{p.rsplit('/', 1)[1]}/" in f}:
+            _written.remove(path)
+            _delete(df.sparkSession, path)
+    gc.collect()
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def release(spark: SparkSession, *keep: DataFrame) -> None:
+    """Deletes every table that materialise() has written, but those that ``keep`` reads. Other results that still read
+    them must have been saved.
+    """
+    files = {f for df in keep for f in df.inputFiles()}
+    for path in [p for p in _written if not any(f"/{p.rsplit('/', 1)[1]}/" in f for f in files)]:
+        _written.remove(path)
+        _delete(spark, path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

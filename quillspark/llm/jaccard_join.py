@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import block_shingles, blocks, materialise, mix, read_table, small_batches
+from quillspark.llm.common import block_shingles, blocks, discard, free_name, materialise, mix, read_table, small_batches
 from quillspark.llm.components import components
 
 #: Shingles that are counted together in one task before the frequent ones are handed on.
@@ -458,6 +458,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, links
     lists = materialise(postings(docs, width, percent, bound, frequent))
     heads = lists.groupBy("key").agg(F.min("s").alias("lead"), F.max("s").alias("last")).filter("lead <> last").select("key")
     shared = materialise(lists.join(heads, "key").select("key", "s").distinct())
+    discard(lists)
 
     # a class: the documents with one set, known by the first half of its signature
     first = F.first(F.struct("n", "bits"))
@@ -466,6 +467,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, links
     nodes = classes.filter("doc_id is not null").join(shared.select("s").distinct(), "s", "left_semi")
     nodes = materialise(nodes.select("s", "doc_id", F.col("size").cast("int").alias("size"), "bits"))
     members = materialise(shared.join(bounded(nodes.select("s", "size")), "s").select("key", "s", "size"))
+    discard(shared)
     fits = f"{percent} * greatest(size, size_b) <= 100 * least(size, size_b)"
 
     leads = members.groupBy("key").agg(F.min(F.struct("s", "size")).alias("x")).select("key", F.col("x.s").alias("b"), F.col("x.size").alias("size_b"))
@@ -473,6 +475,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, links
     star = materialise(possible(star, nodes, percent))
     sets = materialise(sets_of(docs, nodes.join(_ends(star), "s", "left_semi"), width))
     linked = materialise(verify(star, sets, percent))
+    discard(star)
     found = materialise(components(linked))
 
     # what is left: pairs of a list in different components. Long lists are connected by forests first, as most of their
@@ -489,6 +492,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, links
             other = few.select("key", F.col("s").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"))
             rest = rest.unionByName(few.join(other, "key").filter(f"s < b and component <> component_b and {fits}").select(F.col("s").alias("a"), "b"))
         rest = materialise(possible(rest, nodes, percent))
+        discard(left, placed)
         if rest.isEmpty():
             continue
         new = nodes.join(_ends(rest), "s", "left_semi").join(bounded(sets.select("s")), "s", "left_anti")
@@ -519,9 +523,28 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """``docs`` without the documents that are linked to one with a smaller doc_id, directly or through others."""
-    drop = jaccard_components(docs, width, percent, links=False).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(bounded(drop), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row of each group of texts that are linked, directly or through others: that with the smallest
+    doc_id (nulls last, then by the text's hashes). Rows without words are linked with nothing and stay.
+
+    A row is known by doc_id and its text's hashes, so unlike texts under one doc_id are judged apart; of rows that agree
+    in both, one stays.
+    """
+    t1, t2, row = (free_name(docs, x) for x in ("text_hash_1", "text_hash_2", "kept_row"))
+    hashed = docs.withColumns({t1: F.xxhash64("text"), t2: F.xxhash64(F.lit(1), F.col("text"))})
+    whole = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(t1).alias("t1"), F.col(t2).alias("t2"))
+    found = jaccard_components(hashed.select(whole.alias("doc_id"), "text"), width, percent, links=False)
+    found = materialise(found.filter("n_shingles > 0").groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1 or component_id <> doc_id"))
+
+    def meet(keys: DataFrame, how: str) -> DataFrame:
+        keys = bounded(keys.select("doc_id.*").withColumnsRenamed({"id": f"{row}_id", "t1": f"{row}_1", "t2": f"{row}_2"}).drop("none"))
+        return hashed.join(keys, F.col("doc_id").eqNullSafe(F.col(f"{row}_id")) & (F.col(t1) == F.col(f"{row}_1")) & (F.col(t2) == F.col(f"{row}_2")), how)
+
+    out = meet(found, "left_anti").select(*docs.columns)
+    again = found.filter("component_id = doc_id")  # kept, but more than one row
+    if again.isEmpty():
+        return out
+    one = meet(again, "left_semi").groupBy("doc_id", t1, t2).agg(F.first(F.struct(*docs.columns)).alias(row))
+    return out.unionByName(one.select(f"{row}.*"))
 
 
 def op2_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -578,3 +578,33 @@ def test_toxicity_features_by_brute_force():
         want = [len(places) / max(n, 1), math.log1p(len(places)), sum(hit) / max(n, 1), max(hit, default=0.0), near, len(said) / max(n, 1)]
         assert x[[0, 1, 2, 4, 5, 6]].tolist() == pytest.approx(want)
         assert x[10] == pytest.approx(sum(c.isupper() for c in t) / max(1, len(t))) and x[13] == pytest.approx(math.log1p(n))
+
+
+def test_near_copies_of_repeated_ids(spark):
+    """The text decides, not the id: unlike texts under one id stay; of equal rows, and of groups without ids, one does."""
+    a, b, c = (" ".join(words(60, s)) for s in (301, 302, 303))
+    rows = [(1, a), (2, a + " more"), (2, b), (None, c), (None, c + " end"), (3, b + " tail"), (4, ""), (4, ""), (7, None), (5, "solo text of some words"), (5, "solo text of some words"), (1, a)]
+    kept = sorted(((r.doc_id, r.text) for r in jaccard_join.drop_near_copies(frame(spark, rows), 5, 80).collect()), key=str)
+    nulls = {t for i, t in kept if i is None}
+    assert len(nulls) == 1 and nulls <= {c, c + " end"}
+    assert [x for x in kept if x[0] is not None] == sorted([(1, a), (2, b), (4, ""), (4, ""), (7, None), (5, "solo text of some words")], key=str)
+
+
+def test_mix_of_repeated_ids(spark):
+    """A budget holds over rows that share an id, and rows that are equal in all are taken as often as they are together."""
+    rows = [(1, f"one two three four five six seven eight nine t{i}") for i in range(10)] + [(3, "x y z u v w q r s t")] * 9
+    df = frame(spark, rows).withColumns({"lang": F.lit("en"), "source": F.lit("src0")})
+    for share in (800, 1500, 1000):
+        mixed = mixing.mix(df, share=share, max_epochs=2)
+        assert mixed.columns == df.columns
+        assert mixed.select(F.sum(mixing.tokens(F.col("text")))).first()[0] == -(-(190 * share // 1000) // 10) * 10  # the last document is taken to its end
+
+
+def test_pipeline_on_no_rows(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    step = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    columns = step.columns
+    for name, stage in pipeline.STAGES:
+        step = stage(spark, step, sf).checkpoint()
+        assert step.count() == 0 and (name == "packing" or step.columns == columns)
