@@ -1,7 +1,7 @@
 """Stand-ins for neural parts, behind the interfaces they would use.
 
-The planner predicts the next code tuple from counts, the encoder hashes words into a vector, and the generator looks up
-the sentence whose codes match best. A neural encoder or generator is any object with the same method.
+The planner predicts the next code tuple from counts, the encoder hashes words into a vector, and the generator (``generation``) looks up
+sentences whose codes match best. A neural encoder or generator is any object with the same method.
 """
 
 from __future__ import annotations
@@ -80,27 +80,6 @@ def plan(rows: DataFrame, planner: DataFrame, key: str, k: int) -> DataFrame:
     return found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("head", "pred"))), lambda x: x["pred"]).alias("pred_codes"))
 
 
-def generate(prompts: DataFrame, planner: DataFrame, library: DataFrame, k: int, steps: int = 6, context: int = 6) -> DataFrame:
-    """(prompt_id, step, text, match): grows each prompt by ``steps`` sentences.
-
-    prompts: prompt_id, ctx_codes (of context sentences). library: text, codes. Each step plans the next tuple for all
-    prompts at once, and takes the library sentence with the most equal codes (the first by text). Candidates share a code
-    with the plan at some place; the library is met through that code.
-    """
-    state, out = prompts.select("prompt_id", "ctx_codes"), None
-    inverted = library.select("text", "codes", F.posexplode("codes").alias("head", "code"))
-    for step in range(steps):
-        planned = plan(state, planner, "prompt_id", k)
-        wanted = planned.select("prompt_id", "pred_codes", F.posexplode("pred_codes").alias("head", "code"))
-        hits = wanted.join(inverted, ["head", "code"]).groupBy("prompt_id", "text", "codes").agg(F.count(F.lit(1)).alias("match"))
-        best = hits.groupBy("prompt_id").agg(F.min_by(F.struct("text", "codes", "match"), F.struct(-F.col("match"), "text")).alias("b")).select("prompt_id", "b.*")
-        made = best.select("prompt_id", F.lit(step).alias("step"), "text", "match")
-        out = made if out is None else out.unionByName(made)
-        grown = F.concat("ctx_codes", "codes")
-        state = state.join(best.select("prompt_id", "codes"), "prompt_id").select("prompt_id", F.slice(grown, F.size(grown) - k * context + 1, F.lit(k * context)).alias("ctx_codes"))
-    return out
-
-
 def tokenize(rows: DataFrame, text: str, path: str, max_length: int, out: str = "input_ids") -> DataFrame:
     """``rows`` with ids of a tokenizer file, at most max_length of them (a parameter of the model, 0 for all)."""
 

@@ -138,6 +138,45 @@ PLANNER = f"""{CODED}, pl AS (
 )"""
 
 
+def _generated(steps: int, cands: int, sampled: bool, temp_power: int = 2, top_p: float = 0.9, seed: int = 11) -> str:
+    """CTEs up to the steps x1, x2, ...: every draw is a race of all codes, every look-up compares all of the library."""
+    code = (
+        f"arg_min(o.code, {{'t': -ln((('0x' || md5(concat_ws('|', '{seed}', '@', h.prompt_id::VARCHAR, cand::VARCHAR, h.head::VARCHAR, o.code::VARCHAR))[1:12])::BIGINT + 0.5::DOUBLE) / {float(1 << 48)}::DOUBLE) / o.w, 'c': o.code}})"
+        if sampled
+        else "arg_min(o.code, {'n': -o.n, 'c': o.code})"
+    )
+    out = [f"""{PLANNER}, w AS (
+  SELECT *, (n::DOUBLE ** {temp_power}) AS w FROM n
+), o0 AS (
+  SELECT *, coalesce(sum(w) OVER (PARTITION BY head, ctx ORDER BY n DESC, code ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(w) OVER (PARTITION BY head, ctx) AS total FROM w
+), o AS (
+  SELECT * FROM o0 WHERE before < {top_p}::DOUBLE * total
+), seen AS (
+  SELECT DISTINCT head, ctx FROM n WHERE ctx IS NOT NULL
+), x0 AS (
+  SELECT label AS prompt_id, arg_min(ctx_codes, vec_id) AS ctx_codes FROM pl WHERE label IS NOT NULL GROUP BY label
+)"""]
+    for s in range(1, steps + 1):
+        out.append(f"""h{s} AS (
+  SELECT prompt_id, k.head, seen.ctx FROM x{s - 1} JOIN (SELECT unnest(range({STAGES}))::INT AS head) k ON true LEFT JOIN seen ON seen.head = k.head AND seen.ctx = ctx_codes[len(ctx_codes) - {STAGES} + k.head + 1]
+), p{s} AS (
+  SELECT prompt_id, list(pred ORDER BY h.head) AS pred_codes FROM h{s} h JOIN pt ON pt.head = h.head AND pt.ctx IS NOT DISTINCT FROM h.ctx AND b = 1 GROUP BY prompt_id
+), d{s} AS (
+  SELECT h.prompt_id, h.head, cand, {code.replace("'@'", f"'{s}'")} AS code FROM h{s} h JOIN o ON o.head = h.head AND o.ctx IS NOT DISTINCT FROM h.ctx, (SELECT unnest(range({cands})) AS cand) GROUP BY ALL
+), t{s} AS (
+  SELECT prompt_id, cand, list(code ORDER BY head) AS drawn FROM d{s} GROUP BY ALL
+), f{s} AS (
+  SELECT prompt_id, cand, arg_min({{'text': text, 'codes': codes}}, {{'m': -len(list_filter(list_zip(codes, drawn), lambda z: z[1] = z[2])), 't': text}}) AS f FROM t{s}, (SELECT 'vector ' || vec_id AS text, codes FROM e) GROUP BY ALL
+), r{s} AS (
+  SELECT prompt_id, cand, f, pred_codes, len(list_filter(list_zip(f.codes, pred_codes), lambda z: z[1] = z[2]))::INT AS score FROM f{s} JOIN p{s} USING (prompt_id)
+), b{s} AS (
+  SELECT prompt_id, any_value(pred_codes) AS pred_codes, arg_min({{'f': f, 'score': score}}, {{'s': -score, 'c': cand}}) AS b, string_agg(f.text || ':' || score, ', ' ORDER BY cand) AS candidates FROM r{s} GROUP BY prompt_id
+), x{s} AS (
+  SELECT b{s}.prompt_id, {s} AS step, b{s}.pred_codes, b.f.text AS text, b.score AS match, b.score || '/{STAGES}' AS match_str, b{s}.candidates, (list_concat(x{s - 1}.ctx_codes, b.f.codes))[-{6 * STAGES}:] AS ctx_codes FROM b{s} JOIN x{s - 1} ON b{s}.prompt_id = x{s - 1}.prompt_id
+)""")
+    return ", ".join(out)
+
+
 def _history(empty: str) -> str:
     return f"""t AS (
   SELECT conv_id, turn, {_role('role', empty)} AS role, {_clean('text')} AS content FROM conversations WHERE {_clean('text')} <> ''
@@ -228,5 +267,7 @@ def oracle_sql() -> dict[str, str]:
         "planner_perplexity": f"WITH {CODED}, c AS (SELECT vec_id, unnest(range({STAGES})) AS head, unnest(codes) AS code FROM e), s AS (SELECT head, code, count(*) AS n FROM c GROUP BY ALL), p AS (SELECT head, code, n / sum(n) OVER (PARTITION BY head) AS p FROM s), a AS (SELECT -avg(ln(p)) AS ce FROM c JOIN p USING (head, code)) SELECT round(ce, 6) AS avg_ce, round(CASE WHEN ce < 50 THEN exp(ce) ELSE 'inf'::DOUBLE END, 4) AS perplexity FROM a",
         "code_agreement": f"WITH {CODED}, {RAW}, j AS (SELECT CASE WHEN vec_id % 10 <> 0 THEN e.codes END AS p, w.codes AS g FROM e JOIN w USING (vec_id)) SELECT count(*) FILTER (p IS NOT NULL) AS total, count(*) FILTER (p IS NULL) AS skipped, round(sum(len(list_filter(list_zip(p, g), lambda x: x[1] = x[2]))) FILTER (p IS NOT NULL) / sum(len(p)), 9) AS head_match, round(count(*) FILTER (p = g) / count(p), 9) AS tuple_match FROM j",
         "match_scores": f"WITH {CODED}, {RAW} SELECT vec_id, len(list_filter(list_zip(e.codes, w.codes), lambda x: x[1] = x[2]))::INT AS score FROM e JOIN w USING (vec_id)",
+        "generated": f"WITH {_generated(3, 4, True)} " + " UNION ALL ".join(f"SELECT prompt_id, step, pred_codes, text, match, match_str, candidates FROM x{i}" for i in (1, 2, 3)),
+        "generated_plain": f"WITH {_generated(2, 1, False)} " + " UNION ALL ".join(f"SELECT prompt_id, step, text, match FROM x{i}" for i in (1, 2)),
         "line_corpus": f"SELECT row_number() OVER (ORDER BY doc_id, part) - 1 AS doc, text FROM (SELECT doc_id, part, string_agg(line, ' ' ORDER BY pos) AS text FROM (SELECT doc_id, pos, line, count(*) FILTER (line = '') OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM (SELECT doc_id, unnest(range(len(k))) AS pos, {_strip('unnest(k)')} AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS k FROM documents))) WHERE line <> '' GROUP BY ALL)",
     }

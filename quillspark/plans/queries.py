@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import chat as C
 from quillspark.functions import codes as K
 from quillspark.functions import text as T
+from quillspark.models import generation as G
 from quillspark.models import planner as P
 from quillspark.operators import filters, metrics, rvq, sample, windows
 from quillspark.sources import readers
@@ -405,11 +406,20 @@ def hashed_embeddings(spark, d):
 
 
 def generated(spark, d):
-    """Two steps of generation from the first tuple of each label's vectors, with all vectors as library."""
+    """Three steps of generation from the first context of each label's vectors, four candidates each, with all vectors as library."""
     rows, coded = planner_rows(spark, d), _coded(spark, d)
-    prompts_ = rows.groupBy("label").agg(F.min_by("ctx_codes", "vec_id").alias("ctx_codes")).select(F.col("label").alias("prompt_id"), "ctx_codes")
+    prompts_ = rows.filter("label is not null").groupBy("label").agg(F.min_by("ctx_codes", "vec_id").alias("ctx_codes")).select(F.col("label").alias("prompt_id"), "ctx_codes")
     library = coded.select(F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("text"), "codes")
-    return P.generate(prompts_, P.count_planner(rows, STAGES), library, STAGES, steps=2)
+    out = G.generate(prompts_, rows, library, STAGES, 3, temp=0.5, top_p=0.9, n_cand=4, seed=11, save_candidates=True)
+    return out.withColumn("candidates", F.array_join(F.transform("candidates", lambda x: F.concat_ws(":", x["text"], x["score"].cast("string"))), ", "))
+
+
+def generated_plain(spark, d):
+    """The same without candidates: the planned tuple itself is looked up."""
+    rows, coded = planner_rows(spark, d), _coded(spark, d)
+    prompts_ = rows.filter("label is not null").groupBy("label").agg(F.min_by("ctx_codes", "vec_id").alias("ctx_codes")).select(F.col("label").alias("prompt_id"), "ctx_codes")
+    library = coded.select(F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("text"), "codes")
+    return G.generate(prompts_, rows, library, STAGES, 2, rerank=False, do_sample=False).select("prompt_id", "step", "text", "match")
 
 
 def line_corpus(spark, d):
@@ -429,6 +439,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         qa_pairs_filtered, qa_reason_counts, qa_first_dot, qa_items, qa_dedup, doc_hash_split, first_row_id, document_ids, stage_counters, context_windows, context_windows_stripped, document_runs, pad_context,
         split_report, chat_history_full, chat_history_kept, chat_reason_counts, seeded_shuffle, positional_split, sample_without_replacement, reservoir_sample, select_ordinals, head_limit, ratio_mix,
         quota_allocation, export_documents, rerank_top1, codebook_norms, rvq_encode, rvq_encode_raw, rvq_encode_native, rvq_recon_error, rvq_fit, nearest_centroid, code_strings, parse_codes, special_tokens,
-        code_prompts, attached_codes, zipped_embeddings, planner_rows, valid_code_rows, planner_table, head_accuracy, tuple_accuracy, planner_perplexity, code_agreement, match_scores, hashed_embeddings, generated, line_corpus,
+        code_prompts, attached_codes, zipped_embeddings, planner_rows, valid_code_rows, planner_table, head_accuracy, tuple_accuracy, planner_perplexity, code_agreement, match_scores, hashed_embeddings, generated, generated_plain, line_corpus,
     ]
     return {f.__name__: f for f in named}
