@@ -113,33 +113,28 @@ def _residual(shared):
 
 
 def fit(vectors: DataFrame, column: str, k: int, v: int, niter: int = 25, train_n: int = 1_000_000, seed: int = 0) -> DataFrame:
-    """A codebook table: k-means a stage on residuals, centres made unit, assigned by product, residuals made unit.
+    """A codebook table with how it was fitted: (k, v, centroid, size, first_error, last_error).
 
-    Trains on at most ``train_n`` vectors, the first in a seeded order.
+    Each stage is a spherical k-means of what the stages before leave of the vectors, made unit; size is the number of
+    training vectors of a centroid, the errors are the stage's means of 1 - product before and after its steps. Trains on
+    at most ``train_n`` vectors, the first in a seeded order. A stage's residuals are a table of their own.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
+    from quillspark.operators.kmeans import spherical_kmeans
     from quillspark.operators.sample import sample
+    from quillspark.operators.tables import dropped, written
 
     spark = vectors.sparkSession
     rest = vectors.select(F.col(column).cast("array<double>").alias("r")).filter("r is not null").withColumn("__key", F.xxhash64("r"))
-    rest = sample(rest, "__key", train_n, seed).select("r")
-    books = []
-    held = []
+    rest = written(sample(rest, "__key", train_n, seed).select("r"))
+    rows = []
     for stage in range(k):
-        rest = rest.persist()
-        held.append(rest)
-        model = KMeans(k=v, maxIter=niter, seed=seed + stage, featuresCol="f").fit(rest.select(array_to_vector("r").alias("f")))
-        centres = np.array(model.clusterCenters())
-        if len(centres) < v:  # fewer distinct vectors than centres
-            centres = np.concatenate([centres, np.repeat(centres[:1], v - len(centres), axis=0)])
-        centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-        books.append(centres)
-        rest = rest.select(_residual(spark.sparkContext.broadcast(centres))("r").alias("r"))
-    for one in held:
-        one.unpersist()
-    return spark.createDataFrame([(i, j, [float(x) for x in c]) for i, b in enumerate(books) for j, c in enumerate(b)], "k int, v int, centroid array<double>")
+        one = spherical_kmeans(rest, "r", v, niter, seed + stage)
+        rows += [(stage, j, [float(x) for x in c], int(n), float(one.errors[0]), float(one.errors[-1])) for j, (c, n) in enumerate(zip(one.centres, one.sizes, strict=True))]
+        before, rest = rest, None
+        if stage < k - 1:
+            rest = written(before.select(_residual(spark.sparkContext.broadcast(one.centres))("r").alias("r")))
+        dropped(before)
+    return spark.createDataFrame(rows, "k int, v int, centroid array<double>, size long, first_error double, last_error double")  # k * v rows
 
 
 def attach_codes(sentences: DataFrame, codes: DataFrame, key: str = "sent_id") -> DataFrame:

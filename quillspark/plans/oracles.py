@@ -253,7 +253,8 @@ def oracle_sql() -> dict[str, str]:
         "rvq_encode_raw": f"WITH {BOOK}, {RAW} SELECT vec_id, codes FROM w",
         "rvq_recon_error": f"WITH {CODED}, st AS (SELECT vec_id, unnest(range({STAGES}))::INT AS stage, codes FROM e), x AS (SELECT vec_id, stage, i, sum(centroid[i]) AS r FROM st, bk, (SELECT unnest(range(1, 65)) AS i) WHERE bk.k <= stage AND bk.v = codes[bk.k + 1] GROUP BY ALL), z AS (SELECT x.vec_id, stage, list(r ORDER BY i) AS r FROM x GROUP BY ALL), u AS (SELECT stage, embedding::DOUBLE[] AS a, list_transform(r, lambda q: q / (sqrt(list_inner_product(r, r)) + 1e-8)) AS r FROM z JOIN embeddings USING (vec_id)) SELECT stage, round(avg(list_inner_product(a, a) + list_inner_product(r, r) - 2 * list_inner_product(a, r)), 6) AS mse, round(avg(list_inner_product(a, r)), 6) AS cosine, round(1 - avg(list_inner_product(a, r)), 6) AS cos_dist FROM u GROUP BY stage",
         "zipped_embeddings": "WITH s AS (SELECT vec_id AS sent_id, row_number() OVER (ORDER BY label, vec_id) - 1 AS row_id FROM embeddings WHERE label IS NOT NULL) SELECT sent_id, s.row_id, round(embedding[1]::DOUBLE, 6) AS first FROM s JOIN embeddings e ON e.vec_id = s.row_id",
-        "nearest_centroid": f"WITH {BOOK} SELECT vec_id, arg_min(v, {{'s': -list_inner_product(embedding::DOUBLE[], centroid), 'v': v}}) AS code FROM embeddings JOIN bk ON k = 0 GROUP BY vec_id",
+        "nearest_centroid": f"WITH {BOOK} SELECT vec_id, k, arg_min(v, {{'s': -list_inner_product(embedding::DOUBLE[], centroid), 'v': v}}) AS code FROM embeddings, bk GROUP BY vec_id, k",
+        "rvq_fit": f"SELECT k::INT AS k, v::INT AS v, 1.0::DOUBLE AS norm, (SELECT count(embedding) FROM embeddings) AS dealt, true AS fell FROM (SELECT unnest(range({STAGES})) AS k), (SELECT unnest(range({CENTRES})) AS v)",
         "code_strings": f"WITH {CODED} SELECT vec_id, {TEXT_CODES} AS text, {_special(2)} AS special FROM e",
         "parse_codes": f"WITH {CODED} SELECT vec_id, codes FROM e",
         "special_tokens": "SELECT k::INT AS k, v::INT AS v, '<c' || k || '_' || lpad(v::VARCHAR, 4, '0') || '>' AS token FROM (SELECT unnest(range(8)) AS k), (SELECT unnest(range(1024)) AS v)",

@@ -310,14 +310,17 @@ def rvq_recon_error(spark, d):
 
 
 def rvq_fit(spark, d):
-    return rvq.fit(_vectors(spark, d), "embedding", 2, 8, niter=5).select("k", "v", F.size("centroid").alias("d"))
+    """Four stages fitted to all vectors: each centroid's length, the vectors that a stage dealt out, and that its error fell."""
+    made = rvq.fit(_vectors(spark, d), "embedding", STAGES, CENTRES, niter=8)
+    dealt = F.sum("size").over(Window.partitionBy("k"))  # at most CENTRES rows each
+    return made.select("k", "v", F.round(rvq.dot(F.col("centroid"), F.col("centroid")), 6).alias("norm"), dealt.alias("dealt"), (F.col("last_error") < F.col("first_error")).alias("fell"))
 
 
 def nearest_centroid(spark, d):
-    """The first stage alone, as a join of all vectors with the 16 centroids of a broadcast stage."""
-    one = codebook(spark, d).filter("k = 0").select("v", "centroid")
-    scored = _vectors(spark, d).crossJoin(F.broadcast(one)).select("vec_id", "v", rvq.dot(F.col("embedding").cast("array<double>"), F.col("centroid")).alias("score"))
-    return scored.groupBy("vec_id").agg(F.min_by("v", F.struct(-F.col("score"), F.col("v"))).alias("code"))
+    """The nearest centroid of every stage, as a join of all vectors with the broadcast codebook."""
+    book = codebook(spark, d).select("k", "v", "centroid")
+    scored = _vectors(spark, d).crossJoin(F.broadcast(book)).select("vec_id", "k", "v", rvq.dot(F.col("embedding").cast("array<double>"), F.col("centroid")).alias("score"))
+    return scored.groupBy("vec_id", "k").agg(F.min_by("v", F.struct(-F.col("score"), F.col("v"))).alias("code"))
 
 
 def code_strings(spark, d):
