@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillspark.functions.text import CHAT_MARKUP, MARKUP
+from quillspark.operators import segmenter
 from quillspark.plans.queries import CENTRES, STAGES
 
 #: CRC-32 of ASCII text. The table comes from the polynomial: eight shift steps of each byte value.
@@ -89,6 +90,50 @@ SENTENCES = f"""s AS (
 CONTEXTS = f"""{SENTENCES}, c AS (
   SELECT doc_id, pos, list(text) OVER w AS ctx, text FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)
 )"""
+def _bare(c: str) -> str:
+    return rf"lower(regexp_replace({c}, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}.]+$', '', 'g'))"
+
+
+def _word(c: str) -> str:
+    return rf"regexp_replace({_bare(c)}, '\.$', '')"
+
+
+def _llr(k: str, a: str, b: str, n: str) -> str:
+    def one(k: str, m: str, x: str) -> str:
+        rest = f"({m} - {k})"
+        return f"(CASE WHEN {k} = 0 THEN 0 ELSE {k} * ln({x}) END + CASE WHEN {rest} = 0 THEN 0 ELSE {rest} * ln(1 - {x}) END)"
+
+    p, p1, p2 = f"({b}::DOUBLE / {n})", f"({k}::DOUBLE / {a})", f"(({b} - {k})::DOUBLE / ({n} - {a}))"
+    return f"CASE WHEN {n} <= {a} THEN 0 WHEN {p1} > {p} THEN 2 * ({one(k, a, p1)} + {one(f'({b} - {k})', f'({n} - {a})', p2)} - {one(k, a, p)} - {one(f'({b} - {k})', f'({n} - {a})', p)}) ELSE 0 END"
+
+
+LEARNED = rf"""tk AS (
+  SELECT list_filter(string_split({_clean('text')}, ' '), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]')) AS t FROM documents
+), tx AS (
+  SELECT z[1] AS token, z[2] AS nxt FROM (SELECT unnest(list_zip(t, t[2:])) AS z FROM tk) WHERE z[1] IS NOT NULL
+), tw AS (
+  SELECT {_word('token')} AS word, {_bare('token')} LIKE '%.' AS dot, {_word('nxt')} AS nxt FROM tx
+), cn AS (
+  SELECT word, count(*) AS n, count(*) FILTER (dot) AS dots FROM tw GROUP BY word
+), tot AS (
+  SELECT sum(n)::BIGINT AS total, sum(dots)::BIGINT AS periods FROM cn
+), ab0 AS (
+  SELECT word, -2 * (dots * ln(periods::DOUBLE / total) + CASE WHEN n = dots THEN 0 ELSE (n - dots) * ln(1 - periods::DOUBLE / total) END - dots * ln(0.99::DOUBLE) - (n - dots) * ln(0.01::DOUBLE))
+    * exp(-length(replace(word, '.', ''))::DOUBLE) * (length(word) - length(replace(word, '.', '')) + 1) * pow(length(replace(word, '.', ''))::DOUBLE, -(n - dots)::DOUBLE) AS score FROM cn, tot WHERE dots > 0
+), ab AS (
+  SELECT word, score FROM ab0 WHERE score >= {segmenter.ABBREVIATION}
+), af AS (
+  SELECT word, nxt, count(*) AS k FROM tw WHERE dot AND nxt IS NOT NULL GROUP BY ALL
+), en AS (
+  SELECT nxt, sum(k)::BIGINT AS k FROM af WHERE word NOT IN (SELECT word FROM ab) GROUP BY nxt
+), br AS (
+  SELECT sum(k)::BIGINT AS breaks FROM en
+), st AS (
+  SELECT nxt AS word, {_llr('k', 'breaks', 'n', 'total')} AS score FROM en JOIN cn ON cn.word = nxt, tot, br
+), co AS (
+  SELECT af.word, nxt, {_llr('k', 'a.dots', 'b.n', 'total')} AS score FROM af JOIN cn a ON a.word = af.word JOIN cn b ON b.word = nxt, tot
+  WHERE k > 1 AND (regexp_full_match(af.word, '\p{{L}}|\p{{N}}+') OR af.word IN (SELECT word FROM ab)) AND nxt NOT IN (SELECT word FROM st WHERE score >= {segmenter.STARTER})
+)"""
 PAIRS = """q AS (
   SELECT * FROM (SELECT conv_id, turn, role, text AS question, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'
 )"""
@@ -202,6 +247,20 @@ def oracle_sql() -> dict[str, str]:
         "clean_messages": f"SELECT conv_id, turn, {_message('text', 2000)} AS text FROM conversations",
         "clean_qa_text": f"SELECT page_id, {_qa('html')} AS text FROM pages",
         "split_sentences": f"WITH {SENTENCES} SELECT * FROM s",
+        "abbreviations": f"WITH {LEARNED} SELECT 'abbreviation' AS kind, word, '' AS next, round(score, 4) AS score FROM ab UNION ALL SELECT 'collocation', word, nxt, round(score, 4) FROM co WHERE score >= {segmenter.COLLOCATION} UNION ALL SELECT 'starter', word, '', round(score, 4) FROM st WHERE score >= {segmenter.STARTER}",
+        "learned_sentences": rf"""WITH {LEARNED}, pc AS (
+  SELECT doc_id, unnest(range(len(k))) AS i, unnest(list_zip(k, k[2:])) AS z FROM (SELECT doc_id, {_sentences(_clean('text'))} AS k FROM documents)
+), pq AS (
+  SELECT doc_id, i, z[1] AS piece, regexp_extract(z[1], '(\S+)$', 1) AS l, regexp_extract(z[2], '^(\S+)', 1) AS f, z[2] IS NOT NULL AS more FROM pc WHERE z[1] IS NOT NULL
+), pr AS (
+  SELECT doc_id, i, piece, more AND {_bare('l')} LIKE '%.' AND CASE WHEN {_word('l')} IN (SELECT word FROM ab)
+    THEN NOT (EXISTS (SELECT 1 FROM st WHERE score >= {segmenter.STARTER} AND st.word = {_word('f')}) AND regexp_matches(regexp_replace(f, '^[^\p{{L}}\p{{N}}]+', ''), '^\p{{Lu}}') AND NOT EXISTS (SELECT 1 FROM co WHERE score >= {segmenter.COLLOCATION} AND co.word = {_word('l')} AND co.nxt = {_word('f')}))
+    ELSE regexp_full_match({_word('l')}, '\p{{L}}|\p{{N}}+') AND EXISTS (SELECT 1 FROM co WHERE score >= {segmenter.COLLOCATION} AND co.word = {_word('l')} AND co.nxt = {_word('f')}) END AS glued FROM pq
+), pg AS (
+  SELECT *, coalesce(count(*) FILTER (NOT glued) OVER (PARTITION BY doc_id ORDER BY i {BEFORE}), 0) AS g FROM pr
+), ps AS (
+  SELECT doc_id, g, string_agg(piece, ' ' ORDER BY i) AS text FROM pg GROUP BY ALL
+) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1)::INT AS pos, text FROM ps WHERE length(text) BETWEEN 15 AND 300""",
         "sentence_ids": f"WITH {SENTENCES} SELECT *, row_number() OVER (ORDER BY doc_id, pos) - 1 AS sent_id FROM s",
         "sentence_forms": f"SELECT doc_id, {_first_sentence('text')} AS first_sentence, {_first_dot('text')} AS first_dot, len(list_filter({_sentences(_clean('text'))}, lambda s: length(s) >= 5))::INT AS n_inference FROM documents",
         "paragraphs": f"WITH {PARAGRAPHS} SELECT doc_id, unnest(range(len(ps)))::INT AS pos, unnest(ps) AS paragraph FROM p",

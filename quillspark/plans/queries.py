@@ -12,7 +12,7 @@ from quillspark.functions import codes as K
 from quillspark.functions import text as T
 from quillspark.models import generation as G
 from quillspark.models import planner as P
-from quillspark.operators import filters, metrics, rvq, sample, windows
+from quillspark.operators import filters, metrics, rvq, sample, segmenter, windows
 from quillspark.sources import readers
 
 STAGES, CENTRES = 4, 16
@@ -46,6 +46,22 @@ def split_sentences(spark, d):
     return windows.split_sentences(_docs(spark, d))
 
 
+def _learned(spark, d):
+    return segmenter.learn(_docs(spark, d))
+
+
+def abbreviations(spark, d):
+    """Words that the documents show to be abbreviations, with their scores, and what else they say of words around periods."""
+    made = _learned(spark, d)
+    named = [(made.abbreviations.withColumn("next", F.lit("")), "abbreviation"), (made.collocations, "collocation"), (made.starters.withColumn("next", F.lit("")), "starter")]
+    parts = [rows.select(F.lit(kind).alias("kind"), "word", "next", F.round("score", 4).alias("score")) for rows, kind in named]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def learned_sentences(spark, d):
+    return segmenter.sentences(_docs(spark, d), _learned(spark, d))
+
+
 def sentence_ids(spark, d):
     return windows.number(windows.split_sentences(_docs(spark, d)), ["doc_id", "pos"], "sent_id")
 
@@ -437,7 +453,7 @@ def flagship(spark, d):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
-        clean_whitespace, clean_messages, clean_qa_text, split_sentences, sentence_ids, sentence_forms, paragraphs, clean_paragraphs, clean_reason_counts, symbol_ratio, markup_flags, decoder_targets,
+        clean_whitespace, clean_messages, clean_qa_text, split_sentences, abbreviations, learned_sentences, sentence_ids, sentence_forms, paragraphs, clean_paragraphs, clean_reason_counts, symbol_ratio, markup_flags, decoder_targets,
         control_token_check, mix_validation, strip_control_tokens, role_norm, conversation_docs, normalized_conversations, prompt_of_messages, instruction_texts, question_messages, prompts,
         qa_pairs_filtered, qa_reason_counts, qa_first_dot, qa_items, qa_dedup, doc_hash_split, first_row_id, document_ids, stage_counters, context_windows, context_windows_stripped, document_runs, pad_context,
         split_report, chat_history_full, chat_history_kept, chat_reason_counts, seeded_shuffle, positional_split, sample_without_replacement, reservoir_sample, select_ordinals, head_limit, ratio_mix,
