@@ -152,7 +152,7 @@ def attach_embeddings(sentences: DataFrame, vectors: DataFrame, order: str | lis
     """
     import warnings
 
-    from quillspark.operators.windows import number
+    from quillspark.operators.order import number
 
     placed = number(sentences, [order] if isinstance(order, str) else order, row)
     lacking = placed.join(vectors, row, "left_anti").count()

@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.order import FEW, before, nth_place, number
+
 
 def place(seed: int, key: Column) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(key.cast("string"), F.lit(""))))
 
 
 def ranked(rows: DataFrame, key: str, seed: int, out: str = "rank") -> DataFrame:
@@ -31,8 +33,10 @@ def shuffled(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
 
 
 def head(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """The first n rows by key; all if n is not positive."""
-    return rows.orderBy(key).limit(n) if n > 0 else rows
+    """The first n rows by key; all if n is not positive. Beyond some thousands, rows are numbered, so no task gathers n."""
+    if n <= 0:
+        return rows
+    return rows.orderBy(key).limit(n) if n <= FEW else number(rows, [key], "__no").filter(F.col("__no") < n).drop("__no")
 
 
 def positional_split(rows: DataFrame, key: str, fraction: float = 0.98, seed: int = 0) -> DataFrame:
@@ -42,9 +46,23 @@ def positional_split(rows: DataFrame, key: str, fraction: float = 0.98, seed: in
 
 
 def sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows without replacement: those first in the seeded order, by rank, so no task gathers them all."""
-    rank = "__rank"
-    return ranked(rows, key, seed, rank).filter(F.col(rank) <= n).drop(rank)
+    """n rows without replacement: those first in the seeded order. The place of the n-th is found by counts, so taking
+    them is a filter, without a shuffle. If rows of one key straddle the end, any of them are taken.
+    """
+    if n <= 0:
+        return rows.limit(0)
+    at = place(seed, F.col(key))
+    found = nth_place(rows, at, key, n)
+    if found is None:
+        return rows
+    p, k = found
+    ahead = (F.col(key).isNull() | (F.col(key) < F.lit(k))) if k is not None else F.lit(False)
+    low = (at < p) | ((at == p) & ahead)
+    same = (at == p) & F.col(key).eqNullSafe(F.lit(k))
+    told = rows.agg(F.count(F.when(low, 1)).alias("low"), F.count(F.when(same, 1)).alias("same")).first()
+    if told.low + told.same == n:
+        return rows.filter(low | same)
+    return rows.filter(low).unionByName(rows.filter(same).limit(n - told.low))
 
 
 def weighted_count(n_a: int, n_b: int, weight: float) -> int:
@@ -67,29 +85,35 @@ def quotas(total: int, a: float, b: float) -> tuple[int, int]:
     return first, total - first
 
 
-def ratio_mix(base: DataFrame, aux: DataFrame | None, base_key: str, aux_key: str, ratio: float = 0.3, seed: int = 0) -> DataFrame:
-    """All base rows and a sample of aux rows, interleaved evenly, each kind in its own order: (slot, kind, key).
+def ratio_mix(base: DataFrame, aux: DataFrame | None, base_key: str, aux_key: str, ratio: float = 0.3, seed: int = 0, max_rows: int = -1) -> DataFrame:
+    """All base rows and a sample of aux rows, interleaved evenly, each kind in its own order: (slot, kind, key); of these
+    the first max_rows, if that is positive.
 
-    Of all slots, those first in the seeded order are for aux rows; the i-th aux slot gets the i-th chosen aux row.
+    Of all slots, those first in the seeded order are for aux rows; the i-th aux slot gets the i-th chosen aux row. Slots
+    are dense, so their numbers among those of a kind are sums over ranges.
     """
+    base = _ordinal(base.select(F.col(base_key).alias("key")), "key")
     n = base.count()
     k = min(ratio_count(n, ratio), aux.count()) if aux is not None else 0
-    base = _ordinal(base.select(F.col(base_key).alias("key")), "key")
     if not k:
-        return base.select((F.col("ordinal") - 1).alias("slot"), F.lit("base").alias("kind"), "key")
-    slots = ranked(base.sparkSession.range(n + k).withColumnRenamed("id", "slot"), "slot", seed)
-    slots = slots.select("slot", F.when(F.col("rank") <= k, "aux").otherwise("base").alias("kind"))
+        out = base.select((F.col("ordinal") - 1).alias("slot"), F.lit("base").alias("kind"), "key")
+        return out.filter(F.col("slot") < max_rows) if max_rows > 0 else out
+    slots = base.sparkSession.range(n + k).withColumnRenamed("id", "slot")
+    at = place(seed, F.col("slot"))
+    p, s = nth_place(slots, at, "slot", k)
+    slots = slots.withColumns({"__aux": ((at < p) | ((at == p) & (F.col("slot") <= s))).cast("long"), "__part": F.floor(F.col("slot") / 100_000)})
+    ahead = before(slots.groupBy("__part").agg(F.sum("__aux").alias("n")), "__part", "n", "__before").select("__part", "__before")
+    so_far = F.sum("__aux").over(Window.partitionBy("__part").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0))
+    slots = slots.withColumn("__own", so_far).join(ahead, "__part").withColumn("__n", F.col("__before") + F.col("__own"))
+    slots = slots.select("slot", F.when(F.col("__aux") == 1, "aux").otherwise("base").alias("kind"), F.when(F.col("__aux") == 1, F.col("__n")).otherwise(F.col("slot") + 1 - F.col("__n")).alias("ordinal"))
+    if max_rows > 0:
+        slots = slots.filter(F.col("slot") < max_rows)
     chosen = _ordinal(sample(aux.select(F.col(aux_key).alias("key")), "key", k, seed), "key")
     both = base.withColumn("kind", F.lit("base")).unionByName(chosen.withColumn("kind", F.lit("aux")))
-    parts = []
-    for kind in ("base", "aux"):
-        parts.append(_ordinal(slots.filter(F.col("kind") == kind), "slot"))
-    return parts[0].unionByName(parts[1]).join(both, ["kind", "ordinal"]).select("slot", "kind", "key")
+    return slots.join(both, ["kind", "ordinal"]).select("slot", "kind", "key")
 
 
 def _ordinal(rows: DataFrame, key: str) -> DataFrame:
-    from quillspark.operators.windows import number
-
     return number(rows, [key], "ordinal").withColumn("ordinal", F.col("ordinal") + 1)
 
 

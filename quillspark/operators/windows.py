@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import chat as C
 from quillspark.functions import text as T
 from quillspark.operators.filters import sentence_reason
+from quillspark.operators.order import before, number
 
 
 def split_sentences(docs: DataFrame, least: int = 15, most: int = 300) -> DataFrame:
@@ -16,44 +17,23 @@ def split_sentences(docs: DataFrame, least: int = 15, most: int = 300) -> DataFr
     return docs.select("doc_id", F.posexplode(kept).alias("pos", "text"))
 
 
-def number(rows: DataFrame, keys: list[str], out: str, parts: int = 64) -> DataFrame:
-    """``rows`` numbered from 0 by the first key and then the others, without gaps, in two steps that no task does alone.
-
-    Rows are dealt into ranges of the first key (an integer); a range's numbers begin where the ranges before it end.
-    """
-    key, most = keys[0], 4096
-    found = rows.agg(F.percentile_approx(key, [i / most for i in range(1, most)], 10_000).alias("cuts"), F.count(F.lit(1)).alias("n")).first()
-    parts = min(most, max(parts, 1 << max(0, (found["n"] // 1_000_000).bit_length())))  # a million rows a part, as far as that goes
-    cuts = (found["cuts"] or [])[most // parts - 1 :: most // parts]
-    cut = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<long>")
-    part = F.when(F.col(key).isNull(), -1).otherwise(F.size(F.filter(cut, lambda c: c <= F.col(key))))
-    rows = rows.withColumn("__part", part)
-    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).select("__part", before.alias("__before"))  # a row per part
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(*keys)) - 1
-    return rows.withColumn("__own", own).join(F.broadcast(sizes), "__part").withColumn(out, F.col("__before") + F.col("__own")).drop("__part", "__own", "__before")
-
-
 def runs(rows: DataFrame, doc: str, order: str, out: str = "run") -> DataFrame:
     """Marks runs of consecutive rows with one document by the order of their first row; a document that comes again starts anew.
 
-    A row starts a run where the row before it, in order, has another document. Rows are cut into ranges of the order
-    (its numbers are dense); what stands before a range is the last row of the one before.
+    A row starts a run where the row before it, in order, has another document. Rows are cut into ranges of the order;
+    what stands before a range, and the run that is open there, come from the ranges before.
     """
     width = 100_000
     rows = rows.withColumn("__part", F.floor(F.col(order) / width))
     w = Window.partitionBy("__part").orderBy(order)
-    last = rows.groupBy("__part").agg(F.max_by(doc, order).alias("__last"))
-    last = last.select("__part", F.lag("__last").over(Window.orderBy("__part")).alias("__last"), F.lit(True).alias("__has"))
+    last = before(rows.groupBy("__part").agg(F.max_by(F.struct(doc), order).alias("__end")), "__part", "__end", "__last", "last").select("__part", "__last")
     rows = rows.join(last, "__part")
     first = F.row_number().over(w) == 1
-    before = F.when(first, F.col("__last")).otherwise(F.lag(doc).over(w))
-    new = ~F.col(doc).eqNullSafe(before) | (first & (F.col("__part") == 0))
-    rows = rows.withColumn("__start", F.when(new, F.col(order)))
+    rows = rows.withColumn("__ahead", F.when(first, F.col("__last")[doc]).otherwise(F.lag(doc).over(w))).withColumn("__new", (first & F.col("__last").isNull()) | ~F.col(doc).eqNullSafe(F.col("__ahead")))
+    rows = rows.withColumn("__start", F.when(F.col("__new"), F.col(order)))
     rows = rows.withColumn(out, F.last("__start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    carry = rows.groupBy("__part").agg(F.max("__start").alias("__s"))
-    carry = carry.select("__part", F.max("__s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__carry"))
-    return rows.join(carry, "__part").withColumn(out, F.coalesce(out, "__carry")).drop("__part", "__last", "__has", "__start", "__carry")
+    carry = before(rows.groupBy("__part").agg(F.max("__start").alias("__s")), "__part", "__s", "__carry", "max").select("__part", "__carry")
+    return rows.join(carry, "__part").withColumn(out, F.coalesce(out, "__carry")).drop("__part", "__last", "__ahead", "__new", "__start", "__carry")
 
 
 def sliding(rows: DataFrame, group: str, order: str, columns: dict[str, str], n: int = 6) -> DataFrame:
@@ -79,8 +59,7 @@ def context_rows_stripped(sentences: DataFrame, n: int = 6) -> DataFrame:
     part = F.floor(F.col("sent_id") / width)
     here = F.last("doc_id", ignorenulls=True).over(Window.partitionBy("__part").orderBy("sent_id").rowsBetween(Window.unboundedPreceding, 0))
     named = sentences.withColumn("__part", part).withColumn("__here", here)
-    carry = named.groupBy("__part").agg(F.max_by("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("sent_id"))).alias("d"))
-    carry = carry.select("__part", F.last("d", ignorenulls=True).over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__carry"))
+    carry = before(named.groupBy("__part").agg(F.max_by("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("sent_id"))).alias("d")), "__part", "d", "__carry", "last").select("__part", "__carry")
     named = named.join(carry, "__part").withColumn("__doc", F.coalesce("__here", "__carry"))
     full = named.withColumn("text", T.strip(F.coalesce("text", F.lit("")))).filter("text <> ''")
     made = sliding(full, "__doc", "sent_id", {"text": "ctx"}, n)

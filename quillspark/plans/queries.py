@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +14,7 @@ from quillspark.functions import text as T
 from quillspark.models import generation as G
 from quillspark.models import planner as P
 from quillspark.operators import filters, metrics, rvq, sample, segmenter, windows
+from quillspark.operators.tables import shared_dir
 from quillspark.sources import readers
 
 STAGES, CENTRES = 4, 16
@@ -441,6 +443,18 @@ def generated_plain(spark, d):
     return G.generate(prompts_, rows, library, STAGES, 2, rerank=False, do_sample=False).select("prompt_id", "step", "text", "match")
 
 
+def documents_from_json_lines(spark, d):
+    """The documents as JSON lines in order of doc_id, some without a text, with odd ids or no JSON at all, written and read again."""
+    kind = F.col("doc_id") % 10
+    given = F.when(kind == 1, F.concat(F.col("doc_id").cast("string"), F.lit(".5"))).when(kind == 2, "a-b").otherwise(F.col("doc_id").cast("string"))
+    record = F.to_json(F.struct(given.alias("doc_id"), F.col("lang").alias("title"), F.when(kind == 3, " \t").otherwise(F.col("text")).alias("text")))
+    lines = _docs(spark, d).orderBy("doc_id").select(F.when(kind == 4, F.concat(F.lit("{"), record)).otherwise(record).alias("value"))
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    lines.write.text(path)
+    made = readers.documents(spark, path)
+    return made.select("ord", "doc_id", "title", F.length("text").alias("chars"), "status")
+
+
 def line_corpus(spark, d):
     """Lines of all documents as one corpus; every line that starts a document follows a blank one."""
     lines = _docs(spark, d).select("doc_id", F.posexplode(F.split(F.concat(F.lit("\n"), F.coalesce("text", F.lit(""))), "\n")).alias("pos", "value"))
@@ -458,6 +472,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         qa_pairs_filtered, qa_reason_counts, qa_first_dot, qa_items, qa_dedup, doc_hash_split, first_row_id, document_ids, stage_counters, context_windows, context_windows_stripped, document_runs, pad_context,
         split_report, chat_history_full, chat_history_kept, chat_reason_counts, seeded_shuffle, positional_split, sample_without_replacement, reservoir_sample, select_ordinals, head_limit, ratio_mix,
         quota_allocation, export_documents, rerank_top1, codebook_norms, rvq_encode, rvq_encode_raw, rvq_encode_native, rvq_recon_error, rvq_fit, nearest_centroid, code_strings, parse_codes, special_tokens,
-        code_prompts, attached_codes, zipped_embeddings, planner_rows, valid_code_rows, planner_table, head_accuracy, tuple_accuracy, planner_perplexity, code_agreement, match_scores, hashed_embeddings, generated, generated_plain, line_corpus,
+        code_prompts, attached_codes, zipped_embeddings, planner_rows, valid_code_rows, planner_table, head_accuracy, tuple_accuracy, planner_perplexity, code_agreement, match_scores, hashed_embeddings, generated, generated_plain, documents_from_json_lines, line_corpus,
     ]
     return {f.__name__: f for f in named}

@@ -9,16 +9,42 @@ from pyspark.sql import types as T
 from quillspark.functions import chat as C
 from quillspark.functions.text import clean_qa, strip
 from quillspark.operators.filters import keep_answer
+from quillspark.operators.order import before, first_rows, number
+from quillspark.operators.tables import written
 
 DOCUMENT = "doc_id string, title string, url string, text string, content string"
 
 
+def ordered_lines(spark: SparkSession, path: str, blank: bool = False) -> DataFrame:
+    """(ord, value): lines of all files at path, numbered from 0 as one reader would: by file, then place in it. Lines of
+    white space are left out unless ``blank``.
+
+    A file is read in blocks; a block's lines follow each other in its task, and sums of the sizes of the blocks before it
+    tell where they begin. Lines aren't shuffled.
+    """
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select("value", meta["file_path"].alias("__file"), meta["file_block_start"].alias("__block"))
+    if not blank:
+        lines = lines.filter(strip(F.col("value")) != "")
+    lines = lines.withColumn("__id", F.monotonically_increasing_id())
+    blocks = written(lines.groupBy("__file", "__block").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n")))
+    files = blocks.groupBy("__file").agg(F.sum("__n").alias("n"))
+    files = files.select("__file", F.coalesce(F.sum("n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))  # a row per file
+    inside = F.coalesce(F.sum("__n").over(Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = written(blocks.withColumn("__inside", inside).join(files, "__file").select("__file", "__block", "__first", "__n", (F.col("__ahead") + F.col("__inside")).alias("__before")))
+    if places.count() <= 100_000:
+        places = F.broadcast(places)
+    own = F.col("__id") - F.col("__first")
+    checked = F.when((own >= 0) & (own < F.col("__n")), F.col("__before") + own).otherwise(F.raise_error(F.lit("the files were cut into other blocks than before")).cast("long"))
+    return lines.join(places, ["__file", "__block"]).select(checked.alias("ord"), "value")
+
+
 def json_lines(spark: SparkSession, path: str, schema: str, number: str | None = None) -> DataFrame:
-    """Rows of ``schema`` with ``ord`` (order of lines) and ``bad`` (not JSON); blank lines are left out.
+    """Rows of ``schema`` with ``ord`` (numbers of lines that aren't blank, over all files) and ``bad`` (not JSON).
 
     With ``number``, the column is_number tells whether that name has a JSON number.
     """
-    lines = spark.read.text(path).filter(strip(F.col("value")) != "").withColumn("ord", F.monotonically_increasing_id())
+    lines = ordered_lines(spark, path)
     kinds = spark.createDataFrame([], schema).schema.add("__bad", T.StringType())
     kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("value"), f"$.{number}", "variant"))
     extra = [F.coalesce(kind.rlike("^(BIGINT|DECIMAL|DOUBLE)"), F.lit(False)).alias("is_number")] if number else []
@@ -33,8 +59,8 @@ def documents(spark: SparkSession, path: str, max_docs: int = -1, max_chars: int
     """
     rows = json_lines(spark, path, DOCUMENT, "doc_id")
     if max_docs > 0:
-        rows = rows.orderBy("ord").limit(max_docs)
-    return judged_documents(rows, max_chars)
+        rows = rows.filter(F.col("ord") < max_docs)
+    return judged_documents(rows, max_chars, dense=True)
 
 
 def document_id(given: Column, ordinal: Column, is_number: Column | None = None) -> Column:
@@ -46,11 +72,11 @@ def document_id(given: Column, ordinal: Column, is_number: Column | None = None)
     return F.coalesce(given.try_cast("bigint"), F.when(number, given.try_cast("double").cast("bigint")), ordinal.cast("bigint"))
 
 
-def judged_documents(rows: DataFrame, max_chars: int = 200_000) -> DataFrame:
-    from quillspark.operators.windows import number
-
+def judged_documents(rows: DataFrame, max_chars: int = 200_000, dense: bool = False) -> DataFrame:
+    """``dense`` says that ``ord`` counts documents from 0, without gaps; else they are numbered by it."""
     text = F.coalesce(F.nullif(F.col("text"), F.lit("")), F.col("content"), F.lit(""))
-    numbered = number(rows.withColumn("text", text), ["ord"], "ordinal")
+    rows = rows.withColumn("text", text)
+    numbered = rows.withColumn("ordinal", F.col("ord")) if dense else number(rows, ["ord"], "ordinal")
     long = (F.length("text") > max_chars) if max_chars > 0 else F.lit(False)
     status = F.when(F.col("bad"), "bad_json").when(strip(F.col("text")) == "", "empty").when(long, "too_long").otherwise("ok")
     return numbered.select("ord", document_id(F.col("doc_id"), F.col("ordinal"), F.col("is_number") if "is_number" in rows.columns else None).alias("doc_id"), "title", "url", "text", status.alias("status"))
@@ -65,12 +91,9 @@ def line_corpus(lines: DataFrame, order: str = "ord", line: str = "value") -> Da
     width = 100_000
     rows = lines.select(F.col(order).alias("ord"), strip(F.coalesce(F.col(line), F.lit(""))).alias("line")).withColumn("part", F.floor(F.col("ord") / width))
     here = F.max(F.when(F.col("line") == "", F.col("ord"))).over(Window.partitionBy("part").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
-    ends = rows.groupBy("part").agg(F.max(F.when(F.col("line") == "", F.col("ord"))).alias("e"))
-    ends = ends.select("part", F.max("e").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    ends = before(rows.groupBy("part").agg(F.max(F.when(F.col("line") == "", F.col("ord"))).alias("e")), "part", "e", "before", "max").select("part", "before")
     rows = rows.withColumn("here", here).join(ends, "part").withColumn("start", F.coalesce("here", "before", F.lit(-1))).filter("line <> ''")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), " ")
-    from quillspark.operators.windows import number
-
     return number(rows.groupBy("start").agg(text.alias("text")), ["start"], "doc").select("doc", "text")
 
 
@@ -152,7 +175,7 @@ def decoder_rows(spark: SparkSession, path: str, max_rows: int = 0) -> DataFrame
         return spark.createDataFrame([], "ord long, ctx_text string, tgt_text string, codes array<int>")
     rows = json_lines(spark, path, schema).filter("not bad")
     if max_rows > 0:
-        rows = rows.orderBy("ord").limit(max_rows)
+        rows = first_rows(rows, "ord", max_rows)
     return rows.select("ord", "ctx_text", "tgt_text", F.coalesce("tgt_codes", parse_codes(F.col("tgt_codes_str"))).alias("codes"))
 
 
