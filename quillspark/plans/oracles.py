@@ -329,6 +329,7 @@ def oracle_sql() -> dict[str, str]:
         "match_scores": f"WITH {CODED}, {RAW} SELECT vec_id, len(list_filter(list_zip(e.codes, w.codes), lambda x: x[1] = x[2]))::INT AS score FROM e JOIN w USING (vec_id)",
         "generated": f"WITH {_generated(3, 4, True)} " + " UNION ALL ".join(f"SELECT prompt_id, step, pred_codes, text, match, match_str, candidates FROM x{i}" for i in (1, 2, 3)),
         "generated_plain": f"WITH {_generated(2, 1, False)} " + " UNION ALL ".join(f"SELECT prompt_id, step, text, match FROM x{i}" for i in (1, 2)),
+        "array_files": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row_id, len(embedding)::INT AS size, round(list_sum(list_transform(embedding, lambda x: x::FLOAT::DOUBLE)), 5) AS total FROM embeddings",
         "documents_from_json_lines": f"WITH r AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ord, doc_id % 10 AS k, * FROM documents) SELECT ord, CASE WHEN k IN (1, 2, 4) THEN ord ELSE doc_id END AS doc_id, CASE WHEN k <> 4 THEN lang END AS title, CASE k WHEN 3 THEN 2 WHEN 4 THEN 0 ELSE length(coalesce(text, '')) END::INT AS chars, CASE WHEN k = 4 THEN 'bad_json' WHEN k = 3 OR {_strip("coalesce(text, '')")} = '' THEN 'empty' WHEN length(text) > 200000 THEN 'too_long' ELSE 'ok' END AS status FROM r",
         "line_corpus": f"SELECT row_number() OVER (ORDER BY doc_id, part) - 1 AS doc, text FROM (SELECT doc_id, part, string_agg(line, ' ' ORDER BY pos) AS text FROM (SELECT doc_id, pos, line, count(*) FILTER (line = '') OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM (SELECT doc_id, unnest(range(len(k))) AS pos, {_strip('unnest(k)')} AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS k FROM documents))) WHERE line <> '' GROUP BY ALL)",
     }

@@ -15,7 +15,7 @@ from quillspark.models import generation as G
 from quillspark.models import planner as P
 from quillspark.operators import filters, metrics, rvq, sample, segmenter, windows
 from quillspark.operators.tables import shared_dir
-from quillspark.sources import readers
+from quillspark.sources import arrays, readers
 
 STAGES, CENTRES = 4, 16
 
@@ -443,6 +443,14 @@ def generated_plain(spark, d):
     return G.generate(prompts_, rows, library, STAGES, 2, rerank=False, do_sample=False).select("prompt_id", "step", "text", "match")
 
 
+def array_files(spark, d):
+    """The embeddings by vec_id as .npz files of 32-bit numbers, written and read again: each row's place, size and sum."""
+    path = f"{shared_dir(spark)}/arrays-{uuid.uuid4().hex}"
+    arrays.write_arrays(_vectors(spark, d), path, "embedding", "vec_id", member="emb")
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return arrays.read_arrays(spark, path, "emb").select("row_id", F.size("vector").alias("size"), F.round(total, 5).alias("total"))
+
+
 def documents_from_json_lines(spark, d):
     """The documents as JSON lines in order of doc_id, some without a text, with odd ids or no JSON at all, written and read again."""
     kind = F.col("doc_id") % 10
@@ -472,6 +480,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         qa_pairs_filtered, qa_reason_counts, qa_first_dot, qa_items, qa_dedup, doc_hash_split, first_row_id, document_ids, stage_counters, context_windows, context_windows_stripped, document_runs, pad_context,
         split_report, chat_history_full, chat_history_kept, chat_reason_counts, seeded_shuffle, positional_split, sample_without_replacement, reservoir_sample, select_ordinals, head_limit, ratio_mix,
         quota_allocation, export_documents, rerank_top1, codebook_norms, rvq_encode, rvq_encode_raw, rvq_encode_native, rvq_recon_error, rvq_fit, nearest_centroid, code_strings, parse_codes, special_tokens,
-        code_prompts, attached_codes, zipped_embeddings, planner_rows, valid_code_rows, planner_table, head_accuracy, tuple_accuracy, planner_perplexity, code_agreement, match_scores, hashed_embeddings, generated, generated_plain, documents_from_json_lines, line_corpus,
+        code_prompts, attached_codes, zipped_embeddings, planner_rows, valid_code_rows, planner_table, head_accuracy, tuple_accuracy, planner_perplexity, code_agreement, match_scores, hashed_embeddings, generated, generated_plain, array_files, documents_from_json_lines, line_corpus,
     ]
     return {f.__name__: f for f in named}

@@ -182,12 +182,3 @@ def decoder_rows(spark: SparkSession, path: str, max_rows: int = 0) -> DataFrame
 def code_rows(rows: DataFrame, k: int, context: int = 6) -> DataFrame:
     """Rows whose ctx_codes and tgt_codes have the right lengths."""
     return rows.filter((F.size("ctx_codes") == k * context) & (F.size("tgt_codes") == k))
-
-
-def numpy_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """(row_id, vector) of an .npy file the executors can read at ``path``; parquet is the form for large ones."""
-    import numpy as np
-    import pandas as pd
-
-    x = np.load(path, mmap_mode="r")
-    return spark.createDataFrame(pd.DataFrame({"row_id": np.arange(len(x)), "vector": [r.astype("float64").tolist() for r in x]}), "row_id long, vector array<double>")
