@@ -43,31 +43,56 @@ def before(parts: DataFrame, order: str, value: str, out: str, how: str = "sum")
 
 
 def nth_place(rows: DataFrame, place: Column, key: str, n: int) -> tuple[str, object] | None:
-    """The place and key of the n-th row by hexadecimal place, then key; null if there are fewer.
+    """The place and key of the n-th row by hexadecimal place, then key; None if there are fewer."""
+    return nth_places(rows, F.lit(0), place, F.col(key), {0: n})[0]
 
-    Counts by the next three digits find the bucket that has it, and again inside that one, until it holds few rows.
+
+def nth_places(rows: DataFrame, group: Column, place: Column, key: Column, wanted: dict) -> dict:
+    """For each group, the place and key of its n-th row by hexadecimal place, then key; None where there are fewer.
+
+    Counts by the next three digits find the bucket that has it, for all groups in one pass, and again inside these
+    buckets until they hold few rows. Groups are few: their counts, at most 4096 each a pass, are collected.
     """
-    rows = rows.select(place.alias("p"), F.col(key).alias("k"))
-    prefix, left = "", n
-    while True:
-        inside = rows.filter(F.col("p").startswith(prefix)) if prefix else rows
-        sizes = inside.groupBy(F.substring("p", len(prefix) + 1, 3).alias("d")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("k").alias("keys") if len(prefix) >= 30 else F.lit(2).alias("keys")).collect()  # at most 4096 rows
-        for r in sorted(sizes, key=lambda r: r.d):
-            if left <= r.n:
-                break
-            left -= r.n
-        else:
-            return None
-        prefix += r.d
-        if r.n <= FEW:
-            found = sorted(rows.filter(F.col("p").startswith(prefix)).collect(), key=lambda x: (x.p, x.k is not None, x.k))[left - 1]
-            return found.p, found.k
-        if len(prefix) >= 32:  # very many rows of one place: one key, but for clashes
-            found = rows.filter(F.col("p") == prefix).groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()
-            for x in sorted(found, key=lambda x: (x.k is not None, x.k)):
-                if left <= x.n:
-                    return prefix, x.k
-                left -= x.n
+    rows = rows.select(group.alias("g"), place.alias("p"), key.alias("k"))
+    out = {g: None for g in wanted}
+    open_ = {g: ("", n) for g, n in wanted.items() if n > 0}
+    ends: dict = {}
+
+    def inside(at: dict) -> DataFrame:
+        found = F.lit(False)
+        for g, (prefix, _) in at.items():
+            found = found | (F.col("g").eqNullSafe(F.lit(g)) & F.col("p").startswith(prefix))
+        return rows.filter(found)
+
+    def in_order(x):
+        return x.k is not None, x.k
+
+    while open_:
+        digits = len(next(iter(open_.values()))[0])
+        if digits >= 32:  # very many rows of one place: of one key, but for clashes
+            found = inside(open_).groupBy("g", "k").agg(F.count(F.lit(1)).alias("n")).collect()
+            for g, (prefix, left) in open_.items():
+                for x in sorted((x for x in found if x.g == g), key=in_order):
+                    if left <= x.n:
+                        out[g] = prefix, x.k
+                        break
+                    left -= x.n
+            break
+        sizes = inside(open_).groupBy("g", F.substring("p", digits + 1, 3).alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()
+        following = {}
+        for g, (prefix, left) in open_.items():
+            for r in sorted((r for r in sizes if r.g == g), key=lambda r: r.d):
+                if left <= r.n:
+                    (ends if r.n <= FEW else following)[g] = (prefix + r.d, left)
+                    break
+                left -= r.n
+        open_ = following
+    if ends:
+        found = inside(ends).collect()  # at most FEW a group
+        for g, (_, left) in ends.items():
+            x = sorted((x for x in found if x.g == g), key=lambda x: (x.p, *in_order(x)))[left - 1]
+            out[g] = x.p, x.k
+    return out
 
 
 def first_rows(rows: DataFrame, order: str, n: int, width: int = 100_000) -> DataFrame:

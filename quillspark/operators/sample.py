@@ -47,7 +47,8 @@ def positional_split(rows: DataFrame, key: str, fraction: float = 0.98, seed: in
 
 def sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows without replacement: those first in the seeded order. The place of the n-th is found by counts, so taking
-    them is a filter, without a shuffle. If rows of one key straddle the end, any of them are taken.
+    them is a filter, without a shuffle. If rows of one key straddle the end, any of them are taken. Null keys come first
+    of those with their place.
     """
     if n <= 0:
         return rows.limit(0)
@@ -86,18 +87,19 @@ def quotas(total: int, a: float, b: float) -> tuple[int, int]:
 
 
 def ratio_mix(base: DataFrame, aux: DataFrame | None, base_key: str, aux_key: str, ratio: float = 0.3, seed: int = 0, max_rows: int = -1) -> DataFrame:
-    """All base rows and a sample of aux rows, interleaved evenly, each kind in its own order: (slot, kind, key); of these
-    the first max_rows, if that is positive.
+    """All base rows and a sample of aux rows, interleaved evenly, each kind in its own order: (slot, kind, key).
+
+    Only the first max_rows base rows, by key, are taken if that is positive; the ratio holds for these.
 
     Of all slots, those first in the seeded order are for aux rows; the i-th aux slot gets the i-th chosen aux row. Slots
     are dense, so their numbers among those of a kind are sums over ranges.
     """
     base = _ordinal(base.select(F.col(base_key).alias("key")), "key")
+    base = base.filter(F.col("ordinal") <= max_rows) if max_rows > 0 else base
     n = base.count()
     k = min(ratio_count(n, ratio), aux.count()) if aux is not None else 0
     if not k:
-        out = base.select((F.col("ordinal") - 1).alias("slot"), F.lit("base").alias("kind"), "key")
-        return out.filter(F.col("slot") < max_rows) if max_rows > 0 else out
+        return base.select((F.col("ordinal") - 1).alias("slot"), F.lit("base").alias("kind"), "key")
     slots = base.sparkSession.range(n + k).withColumnRenamed("id", "slot")
     at = place(seed, F.col("slot"))
     p, s = nth_place(slots, at, "slot", k)
@@ -106,8 +108,6 @@ def ratio_mix(base: DataFrame, aux: DataFrame | None, base_key: str, aux_key: st
     so_far = F.sum("__aux").over(Window.partitionBy("__part").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0))
     slots = slots.withColumn("__own", so_far).join(ahead, "__part").withColumn("__n", F.col("__before") + F.col("__own"))
     slots = slots.select("slot", F.when(F.col("__aux") == 1, "aux").otherwise("base").alias("kind"), F.when(F.col("__aux") == 1, F.col("__n")).otherwise(F.col("slot") + 1 - F.col("__n")).alias("ordinal"))
-    if max_rows > 0:
-        slots = slots.filter(F.col("slot") < max_rows)
     chosen = _ordinal(sample(aux.select(F.col(aux_key).alias("key")), "key", k, seed), "key")
     both = base.withColumn("kind", F.lit("base")).unionByName(chosen.withColumn("kind", F.lit("aux")))
     return slots.join(both, ["kind", "ordinal"]).select("slot", "kind", "key")

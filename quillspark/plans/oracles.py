@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quillspark.functions.text import CHAT_MARKUP, MARKUP
 from quillspark.operators import segmenter
-from quillspark.plans.queries import CENTRES, STAGES
+from quillspark.plans.queries import CENTRES, QUOTAS, STAGES
 
 #: CRC-32 of ASCII text. The table comes from the polynomial: eight shift steps of each byte value.
 CRC = (
@@ -234,6 +234,25 @@ def _history(empty: str) -> str:
 )"""
 
 
+def _pulled() -> str:
+    normal = f"list_transform(m, lambda x: {{'role': {_role_pull('x.role')}, 'content': {_message('x.content', 2000)}}})"
+    quotas = " ".join(f"WHEN source = '{s}' AND split = '{p}' THEN {n}" for (s, p), n in QUOTAS.items())
+    seeds = " ".join(f"WHEN source = '{s}' AND split = '{p}' THEN {40 + i}" for i, (s, p) in enumerate(QUOTAS))
+    return f"""{CRC}, {PAIRS}, m0 AS (
+  SELECT conv_id, list({{'role': role, 'content': CASE WHEN conv_id % 7 = 3 AND turn = 0 THEN '' ELSE text END}} ORDER BY turn) AS m FROM conversations GROUP BY conv_id
+), u AS (
+  SELECT 'chats' AS source, conv_id::VARCHAR AS key, CASE WHEN len(list_filter(n, lambda x: x.content = '')) = 0 THEN n END AS messages FROM (SELECT conv_id, {normal} AS n FROM m0)
+  UNION ALL
+  SELECT 'pairs', (conv_id * 1000 + turn)::VARCHAR, CASE WHEN {_message('question', 2000)} <> '' AND {_message('answer', 2000)} <> '' THEN [{{'role': 'system', 'content': 'Be brief.'}}, {{'role': 'user', 'content': {_message('question', 2000)}}}, {{'role': 'assistant', 'content': {_message('answer', 2000)}}}] END FROM q
+), v AS (
+  SELECT source, key, messages, CASE WHEN {_crc("'0|' || key")} < {int(0.05 * 2**32)} THEN 'val' ELSE 'train' END AS split FROM u, tb
+), y AS (
+  SELECT *, CASE {quotas} END AS quota, md5((CASE {seeds} END) || '|' || key) AS place FROM v
+), z AS (
+  SELECT *, coalesce(count(messages) OVER (PARTITION BY source, split ORDER BY place, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had FROM y
+)"""
+
+
 BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 MESSAGES = "g AS (SELECT conv_id, list({'role': role, 'content': text} ORDER BY turn) AS m FROM conversations GROUP BY conv_id)"
 
@@ -329,6 +348,8 @@ def oracle_sql() -> dict[str, str]:
         "match_scores": f"WITH {CODED}, {RAW} SELECT vec_id, len(list_filter(list_zip(e.codes, w.codes), lambda x: x[1] = x[2]))::INT AS score FROM e JOIN w USING (vec_id)",
         "generated": f"WITH {_generated(3, 4, True)} " + " UNION ALL ".join(f"SELECT prompt_id, step, pred_codes, text, match, match_str, candidates FROM x{i}" for i in (1, 2, 3)),
         "generated_plain": f"WITH {_generated(2, 1, False)} " + " UNION ALL ".join(f"SELECT prompt_id, step, text, match FROM x{i}" for i in (1, 2)),
+        "pulled_instruct": f"WITH {_pulled().removeprefix('WITH ')} SELECT source, split, key, len(messages)::INT AS n, array_to_string(list_transform(messages, lambda x: x.role || '=' || x.content), '|') AS text FROM z WHERE messages IS NOT NULL AND had < quota",
+        "pull_counters": f"WITH {_pulled().removeprefix('WITH ')} SELECT source, split, count(*) AS rows_in, count(messages) AS rows_out, count(*) - count(messages) AS rows_dropped FROM z WHERE had < quota GROUP BY ALL",
         "array_files": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row_id, len(embedding)::INT AS size, round(list_sum(list_transform(embedding, lambda x: x::FLOAT::DOUBLE)), 5) AS total FROM embeddings",
         "documents_from_json_lines": f"WITH r AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ord, doc_id % 10 AS k, * FROM documents) SELECT ord, CASE WHEN k IN (1, 2, 4) THEN ord ELSE doc_id END AS doc_id, CASE WHEN k <> 4 THEN lang END AS title, CASE k WHEN 3 THEN 2 WHEN 4 THEN 0 ELSE length(coalesce(text, '')) END::INT AS chars, CASE WHEN k = 4 THEN 'bad_json' WHEN k = 3 OR {_strip("coalesce(text, '')")} = '' THEN 'empty' WHEN length(text) > 200000 THEN 'too_long' ELSE 'ok' END AS status FROM r",
         "line_corpus": f"SELECT row_number() OVER (ORDER BY doc_id, part) - 1 AS doc, text FROM (SELECT doc_id, part, string_agg(line, ' ' ORDER BY pos) AS text FROM (SELECT doc_id, pos, line, count(*) FILTER (line = '') OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM (SELECT doc_id, unnest(range(len(k))) AS pos, {_strip('unnest(k)')} AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS k FROM documents))) WHERE line <> '' GROUP BY ALL)",

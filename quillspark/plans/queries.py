@@ -15,7 +15,7 @@ from quillspark.models import generation as G
 from quillspark.models import planner as P
 from quillspark.operators import filters, metrics, rvq, sample, segmenter, windows
 from quillspark.operators.tables import shared_dir
-from quillspark.sources import arrays, readers
+from quillspark.sources import arrays, instruct, readers
 
 STAGES, CENTRES = 4, 16
 
@@ -443,6 +443,27 @@ def generated_plain(spark, d):
     return G.generate(prompts_, rows, library, STAGES, 2, rerank=False, do_sample=False).select("prompt_id", "step", "text", "match")
 
 
+QUOTAS = instruct.plan_quotas(("chats", "pairs"), 150, 8, (0.3, 0.7))
+
+
+def _hubs(spark, d):
+    """Whole conversations, of which some have an empty turn, and questions with answers and a system text."""
+    chats = _chats(spark, d).withColumn("text", F.when((F.col("conv_id") % 7 == 3) & (F.col("turn") == 0), "").otherwise(F.col("text")))
+    one = F.struct("turn", "role", F.col("text").alias("content"))
+    chats = chats.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+    pairs = _pairs(spark, d).withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    return instruct.gathered({"chats": instruct.Hub(chats, "conv_id", C.normalize_messages(F.col("messages"))), "pairs": instruct.Hub(pairs, "id", C.question_messages(F.lit("Be brief."), F.col("question"), F.col("answer")))})
+
+
+def pulled_instruct(spark, d):
+    made = instruct.pulled(_hubs(spark, d), QUOTAS, 40)
+    return made.select("source", "split", "key", F.size("messages").alias("n"), F.array_join(F.transform("messages", lambda x: F.concat(x["role"], F.lit("="), x["content"])), "|").alias("text"))
+
+
+def pull_counters(spark, d):
+    return instruct.pull_counters(_hubs(spark, d), QUOTAS, 40)
+
+
 def array_files(spark, d):
     """The embeddings by vec_id as .npz files of 32-bit numbers, written and read again: each row's place, size and sum."""
     path = f"{shared_dir(spark)}/arrays-{uuid.uuid4().hex}"
@@ -480,6 +501,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         qa_pairs_filtered, qa_reason_counts, qa_first_dot, qa_items, qa_dedup, doc_hash_split, first_row_id, document_ids, stage_counters, context_windows, context_windows_stripped, document_runs, pad_context,
         split_report, chat_history_full, chat_history_kept, chat_reason_counts, seeded_shuffle, positional_split, sample_without_replacement, reservoir_sample, select_ordinals, head_limit, ratio_mix,
         quota_allocation, export_documents, rerank_top1, codebook_norms, rvq_encode, rvq_encode_raw, rvq_encode_native, rvq_recon_error, rvq_fit, nearest_centroid, code_strings, parse_codes, special_tokens,
-        code_prompts, attached_codes, zipped_embeddings, planner_rows, valid_code_rows, planner_table, head_accuracy, tuple_accuracy, planner_perplexity, code_agreement, match_scores, hashed_embeddings, generated, generated_plain, array_files, documents_from_json_lines, line_corpus,
+        code_prompts, attached_codes, zipped_embeddings, planner_rows, valid_code_rows, planner_table, head_accuracy, tuple_accuracy, planner_perplexity, code_agreement, match_scores, hashed_embeddings, generated, generated_plain, pulled_instruct, pull_counters, array_files, documents_from_json_lines, line_corpus,
     ]
     return {f.__name__: f for f in named}

@@ -157,14 +157,6 @@ def _items(rows: DataFrame, source: str, question: Column, answer: Column) -> Da
     return made.filter(keep_answer(F.col("question"), F.col("answer")))
 
 
-def pulled_messages(rows: DataFrame, key: str, quota: int, seed: int) -> DataFrame:
-    """(key, messages): normalised conversations in a seeded order, at most ``quota`` (none if 0)."""
-    from quillspark.operators.sample import sample
-
-    good = rows.select(key, C.normalize_messages(F.col("messages")).alias("messages")).filter("messages is not null")
-    return sample(good, key, quota, seed)
-
-
 def decoder_rows(spark: SparkSession, path: str, max_rows: int = 0) -> DataFrame:
     """ctx_text, tgt_text, codes: tgt_codes if there, else parsed from their text. A missing path has no rows."""
     from quillspark.functions.codes import parse_codes
