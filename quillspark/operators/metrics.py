@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as T
+
 
 def head_accuracy(rows: DataFrame, pred: str = "pred_codes", tgt: str = "tgt_codes") -> DataFrame:
     """(head, head_acc) of each place of the tuple."""
@@ -43,7 +45,8 @@ def split_report(rows: DataFrame, is_val: str, ctx: str, tgt: str) -> DataFrame:
 
 
 def stage_counters(docs: DataFrame, most_chars: int = 200_000) -> DataFrame:
-    """One row: documents seen, empty, too long and written."""
-    n = F.length(F.coalesce("text", F.lit("")))
-    long = (n > most_chars) if most_chars > 0 else F.lit(False)
-    return docs.agg(F.count(F.lit(1)).alias("seen"), F.count_if(n == 0).alias("empty"), F.count_if(long).alias("too_long"), F.count_if((n > 0) & ~long).alias("written"))
+    """One row: documents seen, empty (or blank), too long and written."""
+    text = F.coalesce("text", F.lit(""))
+    blank = T.strip(text) == ""
+    long = ~blank & (F.length(text) > most_chars) if most_chars > 0 else F.lit(False)
+    return docs.agg(F.count(F.lit(1)).alias("seen"), F.count_if(blank).alias("empty"), F.count_if(long).alias("too_long"), F.count_if(~blank & ~long).alias("written"))

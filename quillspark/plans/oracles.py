@@ -258,7 +258,7 @@ MESSAGES = "g AS (SELECT conv_id, list({'role': role, 'content': text} ORDER BY
 
 
 def oracle_sql() -> dict[str, str]:
-    strip_t = _strip("coalesce(x.content, '')")
+    strip_t, strip_text = _strip("coalesce(x.content, '')"), _strip("coalesce(text, '')")
     normal = f"list_transform(m, lambda x: {{'role': {_role_pull('x.role')}, 'content': {_message('x.content', 2000)}}})"
     control = "regexp_matches(t, '(\\|\\||<c\\d+_\\d{4}>|c\\d+_\\d+>)')"
     return {
@@ -306,7 +306,7 @@ def oracle_sql() -> dict[str, str]:
         "doc_hash_split": f"{CRC} SELECT doc_id, {_crc(chr(39) + '0|' + chr(39) + ' || doc_id')} < {int(0.05 * 2**32)} AS is_val FROM documents, tb",
         "first_row_id": "SELECT event_id, coalesce(nullif((user_id % 2)::VARCHAR, '0'), nullif(nullif(event_type, 'click'), ''), nullif(event_id::VARCHAR, '0')) AS row_id FROM events",
         "document_ids": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN doc_id WHEN 1 THEN -doc_id ELSE doc_id + 1000000 END AS new_id FROM documents",
-        "stage_counters": "SELECT count(*) AS seen, count(*) FILTER (coalesce(text, '') = '') AS empty, count(*) FILTER (length(text) > 200000) AS too_long, count(*) FILTER (length(coalesce(text, '')) BETWEEN 1 AND 200000) AS written FROM documents",
+        "stage_counters": f"SELECT count(*) AS seen, count(*) FILTER (b) AS empty, count(*) FILTER (NOT b AND n > 200000) AS too_long, count(*) FILTER (NOT b AND n <= 200000) AS written FROM (SELECT {strip_text} = '' AS b, length(coalesce(text, '')) AS n FROM documents)",
         "context_windows": f"{CRC}, {CONTEXTS} SELECT doc_id, pos, array_to_string(ctx, ' ') AS ctx_text, text AS tgt_text, {_crc(chr(39) + '0|' + chr(39) + ' || doc_id')} < {int(0.05 * 2**32)} AS is_val FROM c, tb WHERE len(ctx) = 6",
         "context_windows_stripped": f"WITH l AS (SELECT doc_id, unnest(range(len(k))) AS pos, unnest(k) AS raw FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS k FROM documents)), m AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id, pos) - 1 AS sent_id, {_strip('raw')} AS text FROM l), c AS (SELECT doc_id, sent_id, text, list(text) OVER (PARTITION BY doc_id ORDER BY sent_id ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS ctx FROM m WHERE text <> '') SELECT doc_id, sent_id, array_to_string(ctx, ' ') AS ctx_text, text AS tgt_text FROM c WHERE len(ctx) = 6",
         "document_runs": "WITH a AS (SELECT event_id, user_id % 3 AS doc, CASE WHEN user_id % 3 IS DISTINCT FROM lag(user_id % 3) OVER (ORDER BY event_id) OR row_number() OVER (ORDER BY event_id) = 1 THEN event_id END AS s FROM events) SELECT event_id, doc, max(s) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM a",
@@ -350,6 +350,10 @@ def oracle_sql() -> dict[str, str]:
         "generated_plain": f"WITH {_generated(2, 1, False)} " + " UNION ALL ".join(f"SELECT prompt_id, step, text, match FROM x{i}" for i in (1, 2)),
         "pulled_instruct": f"WITH {_pulled().removeprefix('WITH ')} SELECT source, split, key, len(messages)::INT AS n, array_to_string(list_transform(messages, lambda x: x.role || '=' || x.content), '|') AS text FROM z WHERE messages IS NOT NULL AND had < quota",
         "pull_counters": f"WITH {_pulled().removeprefix('WITH ')} SELECT source, split, count(*) AS rows_in, count(messages) AS rows_out, count(*) - count(messages) AS rows_dropped FROM z WHERE had < quota GROUP BY ALL",
+        "written_documents": f"SELECT count(*) AS seen, count(*) FILTER (b) AS empty, count(*) FILTER (NOT b AND n > 200000) AS too_long, count(*) FILTER (NOT b AND n <= 200000) AS written FROM (SELECT {strip_text} = '' AS b, length(coalesce(text, '')) AS n FROM (SELECT CASE WHEN doc_id % 10 = 3 THEN ' ' || chr(9) || ' ' ELSE text END AS text FROM documents))",
+        "written_reasons": f"WITH {PARAGRAPHS}, u AS (SELECT unnest(ps) AS x FROM p), r AS (SELECT {REASON} AS reason FROM u) SELECT coalesce(reason, 'kept') AS reason, count(*) AS rows FROM r GROUP BY 1",
+        "written_mix": f"WITH {CODED}, b AS (SELECT 'base' AS kind, CASE WHEN conv_id % 9 = 2 THEN ' ' ELSE text END AS t FROM conversations), a AS (SELECT 'aux' AS kind, {TEXT_CODES} AS t FROM e), r AS (SELECT kind, t, {_strip('t')} <> '' AS f FROM (SELECT * FROM b UNION ALL SELECT * FROM a)), k AS (SELECT count(*) FILTER (kind = 'base') AS rows_in_base, count(*) FILTER (kind = 'aux') AS rows_in_aux, count(*) FILTER (f) AS rows_out, count(*) FILTER (f AND kind = 'base') AS rows_out_base, count(*) FILTER (f AND kind = 'aux') AS rows_out_aux, count(*) FILTER (NOT f) AS skipped_empty, count(*) FILTER (f AND regexp_matches(t, '(<c\\d+_\\d+>|\\bc\\d+=\\d+)')) AS control_in_tgt FROM r) SELECT *, round(100.0::DOUBLE * control_in_tgt / greatest(rows_out, 1), 4) AS control_pct FROM k",
+        "routed_rows": f"{CRC}, {PLANNER.removeprefix('WITH ')}, ro AS (SELECT label, vec_id, ctx_codes, tgt_codes, {_crc(chr(39) + '0|' + chr(39) + ' || label')} < {int(0.5 * 2**32)} AS is_val FROM pl, tb WHERE label IS NOT NULL) SELECT kind, CASE WHEN is_val THEN 'val' ELSE 'train' END AS split, CASE kind WHEN 'dec' THEN vec_id ELSE -1 END AS vec_id, ctx_codes, tgt_codes FROM ro, (SELECT unnest(['lm', 'dec']) AS kind)",
         "array_files": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row_id, len(embedding)::INT AS size, round(list_sum(list_transform(embedding, lambda x: x::FLOAT::DOUBLE)), 5) AS total FROM embeddings",
         "documents_from_json_lines": f"WITH r AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ord, doc_id % 10 AS k, * FROM documents) SELECT ord, CASE WHEN k IN (1, 2, 4) THEN ord ELSE doc_id END AS doc_id, CASE WHEN k <> 4 THEN lang END AS title, CASE k WHEN 3 THEN 2 WHEN 4 THEN 0 ELSE length(coalesce(text, '')) END::INT AS chars, CASE WHEN k = 4 THEN 'bad_json' WHEN k = 3 OR {_strip("coalesce(text, '')")} = '' THEN 'empty' WHEN length(text) > 200000 THEN 'too_long' ELSE 'ok' END AS status FROM r",
         "line_corpus": f"SELECT row_number() OVER (ORDER BY doc_id, part) - 1 AS doc, text FROM (SELECT doc_id, part, string_agg(line, ' ' ORDER BY pos) AS text FROM (SELECT doc_id, pos, line, count(*) FILTER (line = '') OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM (SELECT doc_id, unnest(range(len(k))) AS pos, {_strip('unnest(k)')} AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS k FROM documents))) WHERE line <> '' GROUP BY ALL)",

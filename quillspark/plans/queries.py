@@ -15,7 +15,7 @@ from quillspark.models import generation as G
 from quillspark.models import planner as P
 from quillspark.operators import filters, metrics, rvq, sample, segmenter, windows
 from quillspark.operators.tables import shared_dir
-from quillspark.sources import arrays, instruct, readers
+from quillspark.sources import arrays, instruct, readers, sinks
 
 STAGES, CENTRES = 4, 16
 
@@ -443,6 +443,39 @@ def generated_plain(spark, d):
     return G.generate(prompts_, rows, library, STAGES, 2, rerank=False, do_sample=False).select("prompt_id", "step", "text", "match")
 
 
+def _folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written_documents(spark, d):
+    """What is counted while the documents (some of them blanked) are written: one job, no second scan."""
+    docs = _docs(spark, d).withColumn("text", F.when(F.col("doc_id") % 10 == 3, " \t ").otherwise(F.col("text")))
+    return spark.createDataFrame([sinks.write_documents(docs, _folder(spark, "documents"))], "seen long, empty long, too_long long, written long")
+
+
+def written_reasons(spark, d):
+    """Why paragraphs are dropped, counted while the others are written."""
+    reasons = ["empty", "markup", "pipe_eq", "short", "symbol_ratio"]
+    seen = sinks.write_reasons(filters.judged_paragraphs(_docs(spark, d)), _folder(spark, "paragraphs"), "reason", reasons)
+    return spark.createDataFrame([x for x in seen.items() if x[1]], "reason string, rows long")
+
+
+def written_mix(spark, d):
+    """The counters of a mix of turns (some blanked) and code texts, from its writing."""
+    base = _chats(spark, d).select(F.lit("base").alias("kind"), F.when(F.col("conv_id") % 9 == 2, " ").otherwise(F.col("text")).alias("tgt_text"))
+    aux = _coded(spark, d).select(F.lit("aux").alias("kind"), K.codes_to_text(F.col("codes")).alias("tgt_text"))
+    seen = sinks.write_mix(base.unionByName(aux), _folder(spark, "mix"))
+    return spark.createDataFrame([seen], "rows_in_base long, rows_in_aux long, rows_out long, rows_out_base long, rows_out_aux long, skipped_empty long, control_in_tgt long, control_pct double")
+
+
+def routed_rows(spark, d):
+    """Planner and decoder rows of both splits, written in one job and read again from their four places."""
+    path = _folder(spark, "routed")
+    sinks.write_routed(planner_rows(spark, d).filter("label is not null").withColumn("is_val", K.is_val(F.col("label"), 0.5)), path)
+    rows = spark.read.schema("label int, vec_id long, ctx_codes array<int>, tgt_codes array<int>, kind string, split string").json(path)
+    return rows.select("kind", "split", F.coalesce("vec_id", F.lit(-1)).alias("vec_id"), "ctx_codes", "tgt_codes")  # planner rows have none
+
+
 QUOTAS = instruct.plan_quotas(("chats", "pairs"), 150, 8, (0.3, 0.7))
 
 
@@ -501,6 +534,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         qa_pairs_filtered, qa_reason_counts, qa_first_dot, qa_items, qa_dedup, doc_hash_split, first_row_id, document_ids, stage_counters, context_windows, context_windows_stripped, document_runs, pad_context,
         split_report, chat_history_full, chat_history_kept, chat_reason_counts, seeded_shuffle, positional_split, sample_without_replacement, reservoir_sample, select_ordinals, head_limit, ratio_mix,
         quota_allocation, export_documents, rerank_top1, codebook_norms, rvq_encode, rvq_encode_raw, rvq_encode_native, rvq_recon_error, rvq_fit, nearest_centroid, code_strings, parse_codes, special_tokens,
-        code_prompts, attached_codes, zipped_embeddings, planner_rows, valid_code_rows, planner_table, head_accuracy, tuple_accuracy, planner_perplexity, code_agreement, match_scores, hashed_embeddings, generated, generated_plain, pulled_instruct, pull_counters, array_files, documents_from_json_lines, line_corpus,
+        code_prompts, attached_codes, zipped_embeddings, planner_rows, valid_code_rows, planner_table, head_accuracy, tuple_accuracy, planner_perplexity, code_agreement, match_scores, hashed_embeddings, generated, generated_plain, pulled_instruct, pull_counters, written_documents, written_reasons, written_mix, routed_rows, array_files, documents_from_json_lines, line_corpus,
     ]
     return {f.__name__: f for f in named}
