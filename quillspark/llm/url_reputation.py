@@ -3,7 +3,9 @@
 Labelled pages are good or bad. The bad share of a suffix is shrunk towards that of all pages, of a registered domain
 towards its suffix, of a host towards its domain: each is a beta-binomial posterior whose prior has the mean of the level
 above and a strength estimated from the spread of the shares of its level (method of moments). A url is blocked if the
-lower bound of its host's posterior is above a threshold.
+lower bound of its host's posterior, a quantile of the beta distribution, is above a threshold: a multiple of the bad share
+of all pages, as what is a bad host depends on how common bad pages are. The quantile is above the threshold where the
+distribution has less than its part below it, which is an incomplete beta function, written as a continued fraction.
 
 Tables of hosts are made by aggregation and met by joins, so their number may grow with the input; Spark may split a host
 that has a great part of all pages, as its side of the last join is not aggregated again.
@@ -23,10 +25,10 @@ from quillspark.llm.common import materialise, read_table
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host and path); the longest that fits decides.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Block above this lower bound of the bad share.
-THRESHOLD = 0.5
-#: Standard deviations from the mean to the bound.
-WIDTH = 1.645
+#: Block hosts whose bad share is above so many times that of all pages, but for a probability of RISK.
+TIMES, RISK = 1.25, 0.05
+#: Terms of the continued fraction: beyond the root of the greatest strength and of what labels a host may have (250,000).
+TERMS = 500
 LEAST_STRENGTH, MOST_STRENGTH = 1.0, 10_000.0
 #: Labels that registries put below a country's, so that the suffix has two labels.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
@@ -76,8 +78,42 @@ def _strength(groups: DataFrame) -> float:
     return min(MOST_STRENGTH, max(LEAST_STRENGTH, 1 / share - 1)) if share > 0 else MOST_STRENGTH
 
 
-def reputations(labelled: DataFrame) -> DataFrame:
-    """(host, mean, bound) of all hosts, from one row per page: host and bad (0, 1 or null)."""
+#: Lanczos' coefficients of the gamma function (g = 7).
+LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+
+
+def _log_gamma(x: Column) -> Column:
+    """For positive numbers, from that of the next one (which keeps small ones exact)."""
+    total = F.lit(LANCZOS[0])
+    for i, c in enumerate(LANCZOS[1:], 1):
+        total = total + F.lit(c) / (x + i)
+    t = x + 7.5
+    return 0.9189385332046727 + (x + 0.5) * F.log(t) - t + F.log(total) - F.log(x)  # log of the root of 2 pi first
+
+
+def _fraction(a: Column, b: Column, x: Column) -> Column:
+    """The continued fraction of the incomplete beta function, from its last term to its first."""
+    def term(m: Column) -> Column:
+        k = F.floor(m / 2).cast("double")
+        odd = -(a + k) * (a + b + k) * x / ((a + 2 * k) * (a + 2 * k + 1))
+        return F.when(m % 2 == 1, odd).otherwise(k * (b - k) * x / ((a + 2 * k - 1) * (a + 2 * k)))
+
+    return F.aggregate(F.sequence(F.lit(TERMS), F.lit(1), F.lit(-1)), F.lit(1.0), lambda v, m: 1 + term(m) / v)
+
+
+def beta_below(a: Column, b: Column, x: Column) -> Column:
+    """How much of the beta distribution of a and b is below x."""
+    front = F.exp(a * F.log(x) + b * F.log(1 - x) + _log_gamma(a + b) - _log_gamma(a) - _log_gamma(b))
+    left = x < (a + 1) / (a + b + 2)
+    p, q, y = F.when(left, a).otherwise(b), F.when(left, b).otherwise(a), F.when(left, x).otherwise(1 - x)
+    part = front / p / _fraction(p, q, y)
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(left, part).otherwise(1 - part)
+
+
+def reputations(labelled: DataFrame, times: float = TIMES) -> DataFrame:
+    """(host, mean, below) of all hosts, from one row per page: host and bad (0, 1 or null). below: the probability that the
+    host's bad share is no more than ``times`` that of all pages; 1 where there are no bad pages or no labels.
+    """
     hosts = labelled.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     hosts = materialise(with_levels(hosts))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
@@ -89,19 +125,21 @@ def reputations(labelled: DataFrame) -> DataFrame:
         above = materialise(above.drop("mu").join(groups, level))
     m = _strength(above.filter("n > 0"))
     a, b = F.col("mu") * m + F.col("bad"), (1 - F.col("mu")) * m + F.col("n") - F.col("bad")
-    spread = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return above.select("host", (a / (a + b)).alias("mean"), (a / (a + b) - WIDTH * spread).alias("bound"))
+    limit = times * (total.bad or 0) / total.n if total.n else 0.0
+    rows = above.select("host", a.alias("a"), b.alias("b"))
+    below = beta_below(F.col("a"), F.col("b"), F.lit(float(limit))) if 0 < limit < 1 else F.lit(1.0)
+    return rows.select("host", (F.col("a") / (F.col("a") + F.col("b"))).alias("mean"), below.alias("below"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, bad_mean, bad_bound."""
+def judge(pages: DataFrame, labels: DataFrame, rules=RULES, times: float = TIMES, risk: float = RISK) -> DataFrame:
+    """One row per page: page_id, host, path, rule, verdict, bad_mean, bad_certainty (that the share is above the threshold)."""
     cut = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     bad = F.max(((F.col("quality") == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")).alias("bad")
     known = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("page_id")).agg(bad)
-    found = materialise(reputations(cut.join(known, "page_id", "left")))
+    found = materialise(reputations(cut.join(known, "page_id", "left"), times))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    own = F.when(F.col("bound") > threshold, "block").otherwise("allow")
-    return cut.join(found, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.round("mean", 6).alias("bad_mean"), F.round("bound", 6).alias("bad_bound"))
+    own = F.when(F.col("below") < risk, "block").otherwise("allow")  # the quantile is above the threshold
+    return cut.join(found, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.round("mean", 6).alias("bad_mean"), F.round(1 - F.col("below"), 6).alias("bad_certainty"))
 
 
 def op1_url_filters(spark, sf_dir: str) -> DataFrame:
@@ -150,9 +188,16 @@ WITH cut AS (
     (SELECT CASE WHEN sum(n) > 0 THEN sum(bad) / sum(n) ELSE 0 END FROM h) AS mu FROM q
 ), {_sql_level("s", "l", "suffix")}, {_sql_level("d", "s", "domain")}, {_sql_strength("e", "d")}, f AS (
   SELECT host, mu * m + bad AS a, (1 - mu) * m + n - bad AS b FROM d, e_m
+), t AS (
+  SELECT host, a, b, x, x < (a + 1) / (a + b + 2) AS near FROM f, (SELECT {TIMES} * coalesce(sum(bad), 0) / nullif(sum(n), 0)::DOUBLE AS x FROM h)
+), u AS (
+  SELECT *, CASE WHEN near THEN a ELSE b END AS p, CASE WHEN near THEN b ELSE a END AS q, CASE WHEN near THEN x ELSE 1 - x END AS y FROM t
+), v AS (
+  SELECT host, a, b, x, near, exp(a * ln(x) + b * ln(1 - x) + lgamma(a + b) - lgamma(a) - lgamma(b)) / p / list_reduce(list_prepend(1.0::DOUBLE, list_transform(range({TERMS}, 0, -1), lambda m: m::DOUBLE)),
+    lambda w, m: 1 + CASE WHEN m % 2 = 1 THEN -(p + (m - 1) / 2) * (p + q + (m - 1) / 2) * y / ((p + m - 1) * (p + m)) ELSE (m / 2) * (q - m / 2) * y / ((p + m - 1) * (p + m)) END / w) AS part FROM u WHERE x > 0 AND x < 1
 ), r AS (
-  SELECT host, a / (a + b) AS mean, a / (a + b) - {WIDTH} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM f
+  SELECT f.host, f.a / (f.a + f.b) AS mean, coalesce(CASE WHEN near THEN part ELSE 1 - part END, 1) AS below FROM f LEFT JOIN v ON f.host = v.host
 )
-SELECT page_id, host, path, {_sql_rules(1)} AS rule, coalesce({_sql_rules(0)}, CASE WHEN bound > {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict, round(mean, 6) AS bad_mean, round(bound, 6) AS bad_bound
+SELECT page_id, host, path, {_sql_rules(1)} AS rule, coalesce({_sql_rules(0)}, CASE WHEN below < {RISK} THEN 'block' ELSE 'allow' END) AS verdict, round(mean, 6) AS bad_mean, round(1 - below, 6) AS bad_certainty
 FROM cut JOIN r USING (host)
 """
