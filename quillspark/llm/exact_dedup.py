@@ -6,9 +6,10 @@ straight through; only the others are grouped by SHA-256 and compared. The filte
 not depend on its size; false positives only move a few more rows.
 
 Each block is the result of ``bit_or``, ``bit_xor`` and ``count``, which Spark combines before the shuffle, so a text
-that a third of all rows share is one row per task. The number of blocks follows the number of rows up to
-``max_blocks``, which bounds what is broadcast; beyond ``max_blocks * 64`` rows the filter fills, more rows take the
-exact way, and the result stays the same.
+that a third of all rows share is one row per task. The number of blocks follows the number of rows, four rows a block at
+any size. Up to ``max_blocks`` blocks are broadcast. A larger filter stays where it is, in shards: hashes alone (8 bytes a
+row) go to the blocks of their first probe, those that may be repeated there to the blocks of their second, and the few
+that are left are counted. Repeated hashes come back as a list, broadcast if it is short.
 
 Nulls: a null text is the empty text. A null doc_id comes after all others. Of rows that agree in text and doc_id, one
 stays. Texts of any length are taken whole. Empty tables give empty results. Extra columns pass through unchanged.
@@ -24,6 +25,8 @@ from quillspark.llm.common import free_name, materialise, read_table, squeeze
 PROBES = 2
 ROWS_PER_BLOCK = 4
 MAX_BLOCKS = 1 << 20
+#: Repeated hashes that may be broadcast.
+SMALL = 1_000_000
 
 
 def _place(h, probe: int, n_blocks: int):
@@ -49,8 +52,10 @@ def repeat_filter(df: DataFrame, hash_col: str, n_blocks: int) -> DataFrame:
 def possibly_repeated(df: DataFrame, hash_col: str, out: str, hashes: DataFrame | None = None, max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """``df`` with a boolean column ``out``: false only where no other row of ``hashes`` (default: df) has that hash."""
     hashes = df if hashes is None else hashes
-    n_blocks = max(1024, min(max_blocks, hashes.count() // ROWS_PER_BLOCK))
+    n_blocks = max(1024, hashes.count() // ROWS_PER_BLOCK)
     found = materialise(repeat_filter(hashes, hash_col, n_blocks))
+    if n_blocks > max_blocks:
+        return _by_shards(df, hash_col, out, hashes, found, n_blocks)
     maybe = F.lit(True)
     drop = []
     for p in range(PROBES):
@@ -64,6 +69,23 @@ def possibly_repeated(df: DataFrame, hash_col: str, out: str, hashes: DataFrame
     return df.withColumn(out, maybe).drop(*drop)
 
 
+def _by_shards(df: DataFrame, hash_col: str, out: str, hashes: DataFrame, found: DataFrame, n_blocks: int) -> DataFrame:
+    """possibly_repeated() for a filter too large to broadcast. Both joins have plain exchanges, so Spark splits
+    the rows of a hash that very many have; the count is combined in each task.
+    """
+    rows = hashes.select(F.col(hash_col).alias("h"))
+    for p in range(PROBES):
+        block, bit = _place(F.col("h"), p, n_blocks)
+        side = found.filter(F.col("probe") == p).select("block", "repeated")
+        rows = rows.withColumns({"block": block, "bit": bit}).join(side, "block").filter(F.col("repeated").bitwiseAND(F.col("bit")) != 0).select("h")
+    repeated = materialise(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("h").alias(free_name(df, "repeated_hash"))))
+    key = repeated.columns[0]
+    side = repeated.withColumn(out, F.lit(True))
+    if repeated.count() <= SMALL:
+        side = F.broadcast(side)
+    return df.join(side, F.col(hash_col) == F.col(key), "left").withColumn(out, F.coalesce(F.col(out), F.lit(False))).drop(key)
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256."""
     text = squeeze(F.col(text_col))
