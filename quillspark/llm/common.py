@@ -76,8 +76,13 @@ def discard(*tables: DataFrame) -> None:
         for path in {p for f in df.inputFiles() for p in _written if f"/{p.rsplit('/', 1)[1]}/" in f}:
             _written.remove(path)
             _delete(df.sparkSession, path)
+    forget(tables[0].sparkSession)
+
+
+def forget(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, so that executors delete the shuffle files of finished jobs before larger ones begin."""
     gc.collect()
-    tables[0].sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
 
 
 def release(spark: SparkSession, *keep: DataFrame) -> None:
@@ -88,8 +93,7 @@ def release(spark: SparkSession, *keep: DataFrame) -> None:
     for path in [p for p in _written if not any(f"/{p.rsplit('/', 1)[1]}/" in f for f in files)]:
         _written.remove(path)
         _delete(spark, path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    forget(spark)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import block_shingles, blocks, discard, free_name, materialise, mix, read_table, small_batches
+from quillspark.llm.common import block_shingles, blocks, discard, forget, free_name, materialise, mix, read_table, small_batches
 from quillspark.llm.components import components
 
 #: Shingles that are counted together in one task before the frequent ones are handed on.
@@ -457,6 +457,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, links
 
     lists = materialise(postings(docs, width, percent, bound, frequent))
     heads = lists.groupBy("key").agg(F.min("s").alias("lead"), F.max("s").alias("last")).filter("lead <> last").select("key")
+    heads = bounded(heads)  # far fewer than lists, as most have one member
+    forget(spark)
     shared = materialise(lists.join(heads, "key").select("key", "s").distinct())
     discard(lists)
 
@@ -474,6 +476,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, links
     star = members.join(bounded(leads), "key").filter(f"s <> b and {fits}").select(F.col("s").alias("a"), "b")
     star = materialise(possible(star, nodes, percent))
     sets = materialise(sets_of(docs, nodes.join(_ends(star), "s", "left_semi"), width))
+    forget(spark)
     linked = materialise(verify(star, sets, percent))
     discard(star)
     found = materialise(components(linked))

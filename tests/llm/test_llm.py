@@ -608,3 +608,63 @@ def test_pipeline_on_no_rows(spark):
     for name, stage in pipeline.STAGES:
         step = stage(spark, step, sf).checkpoint()
         assert step.count() == 0 and (name == "packing" or step.columns == columns)
+
+
+def test_beta_quantiles(spark):
+    """The incomplete beta function against a sum over a fine grid, for small and for great parameters."""
+    cases = [(a, b, x) for a in (0.06, 0.5, 1.0, 3.7, 40.0, 2600.5, 150_000.0) for b in (0.9, 2.0, 17.3, 7400.0) for x in (0.01, 0.24, 0.5, 0.97)]
+    df = spark.createDataFrame(cases, "a double, b double, x double").withColumn("p", url_reputation.beta_below(F.col("a"), F.col("b"), F.col("x")))
+    for r in df.collect():
+        low, high = -60 / min(r.a, 1) - 10, 60 / min(r.b, 1) + 10
+        mid = math.log(r.a / r.b)
+        width = 14 * math.sqrt((r.a + r.b) / (r.a * r.b))
+        z = np.linspace(max(low, mid - width) if r.a > 30 else low, min(high, mid + width) if r.b > 30 else high, 2_000_001)
+        density = -r.a * np.logaddexp(0, -z) - r.b * np.logaddexp(0, z)
+        density = np.exp(density - density.max())
+        assert r.p == pytest.approx(density[z <= math.log(r.x / (1 - r.x))].sum() / density.sum(), abs=2e-4)
+
+
+def test_reputations_by_brute_force(spark):
+    """Means are shrunk level by level, and a host that is bad for certain is blocked, one that is bad by chance isn't."""
+    rng = random.Random(12)
+    shares = {f"h{i}.site{i % 7}.{'org' if i % 2 else 'co.uk'}": (0.85 if i % 7 == 3 else 0.15) for i in range(40)}
+    rows = [(h, int(rng.random() < p) if rng.random() < 0.8 else None) for h, p in shares.items() for _ in range(rng.choice([2, 30, 90]))]
+    found = {r.host: r for r in url_reputation.reputations(spark.createDataFrame(rows, "host string, bad int")).collect()}
+
+    def strength(groups):
+        groups = [(n, k, mu) for n, k, mu in groups if n]
+        n, s = sum(g[0] for g in groups), sum((k - n * mu) ** 2 / n for n, k, mu in groups)
+        v, nv = sum(mu * (1 - mu) for _, _, mu in groups), sum(n * mu * (1 - mu) for n, _, mu in groups)
+        share = (s - v) / ((n - len(groups)) * nv / n)
+        return min(10_000.0, max(1.0, 1 / share - 1)) if share > 0 else 10_000.0
+
+    known = defaultdict(lambda: [0, 0])
+    for h, bad in rows:
+        known[h][0] += bad is not None
+        known[h][1] += bad or 0
+    total = [sum(x[i] for x in known.values()) for i in (0, 1)]
+    mean = dict.fromkeys(known, total[1] / total[0])
+    for level in (lambda h: "co.uk" if h.endswith("uk") else "org", lambda h: h.split(".", 1)[1]):
+        groups = {}
+        for h, (n, k) in known.items():
+            g = groups.setdefault(level(h), [0, 0, mean[h]])
+            g[0], g[1] = g[0] + n, g[1] + k
+        m = strength(groups.values())
+        mean = {h: (groups[level(h)][2] * m + groups[level(h)][1]) / (m + groups[level(h)][0]) for h in known}
+    m = strength([(n, k, mean[h]) for h, (n, k) in known.items()])
+    for h, (n, k) in known.items():
+        assert found[h].mean == pytest.approx((mean[h] * m + k) / (m + n))
+        assert (found[h].below < url_reputation.RISK) == (shares[h] > 0.5)
+
+
+def test_filter_in_shards(spark):
+    """400,000 hashes over a bound of 1,024 blocks: repeated ones are found, and under 5 in 100 of the others with them."""
+    df = spark.range(400_000).select(F.xxhash64("id").alias("h"), "id").unionByName(spark.range(0, 400_000, 40).select(F.xxhash64("id").alias("h"), "id"))
+    df = df.unionByName(spark.range(30_000).select(F.xxhash64(F.lit(7).cast("long")).alias("h"), F.lit(7).cast("long").alias("id"))).withColumn("repeated_hash", F.lit("clash"))
+    found = exact_dedup.possibly_repeated(df, "h", "maybe", max_blocks=1024)
+    told = found.withColumn("is", (F.col("id") % 40 == 0) | (F.col("id") == 7)).groupBy("is").agg(F.count(F.lit(1)).alias("n"), F.count_if("maybe").alias("maybe")).collect()
+    assert found.columns == [*df.columns, "maybe"]
+    for r in told:
+        assert (r.maybe == r.n) if r["is"] else r.maybe < 0.05 * r.n
+    few = exact_dedup.possibly_repeated(df, "h", "maybe", max_blocks=1 << 20).filter("id % 40 <> 0 and id <> 7")
+    assert few.filter("maybe").count() < 0.05 * few.count()  # the broadcast filter, too
