@@ -335,7 +335,21 @@ def oracle_sql() -> dict[str, str]:
         "rvq_fit": f"SELECT k::INT AS k, v::INT AS v, 1.0::DOUBLE AS norm, (SELECT count(embedding) FROM embeddings) AS dealt, true AS fell FROM (SELECT unnest(range({STAGES})) AS k), (SELECT unnest(range({CENTRES})) AS v)",
         "code_strings": f"WITH {CODED} SELECT vec_id, {TEXT_CODES} AS text, {_special(2)} AS special FROM e",
         "parse_codes": f"WITH {CODED} SELECT vec_id, codes FROM e",
-        "special_tokens": "SELECT k::INT AS k, v::INT AS v, '<c' || k || '_' || lpad(v::VARCHAR, 4, '0') || '>' AS token FROM (SELECT unnest(range(8)) AS k), (SELECT unnest(range(1024)) AS v)",
+        "special_tokens": f"WITH {CODED}, c AS (SELECT unnest(range({STAGES})) AS k, unnest(codes) AS v FROM e), n AS (SELECT k, v, count(*) AS uses FROM c GROUP BY ALL) SELECT k::INT AS k, v::INT AS v, '<c' || k || '_' || lpad(v::VARCHAR, {len(str(CENTRES - 1))}, '0') || '>' AS token, coalesce(uses, 0) AS uses FROM (SELECT k, v FROM (SELECT unnest(range({STAGES})) AS k), (SELECT unnest(range({CENTRES})) AS v)) LEFT JOIN n USING (k, v)",
+        "hashed_embeddings": f"""{CRC}, wd AS (
+  SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS w FROM benchmark
+), hx AS (
+  SELECT item_id, hex(encode(w)) AS h FROM wd
+), hh AS (
+  SELECT item_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT)), lambda a, b: xor(a >> 8, tb[(xor(a, b) & 255) + 1])), 4294967295::BIGINT) AS h FROM hx, tb
+), sm AS (
+  SELECT item_id, h % 64 AS i, sum(CASE WHEN h & 2147483648 <> 0 THEN 1 ELSE -1 END)::DOUBLE AS x FROM hh GROUP BY ALL
+), nm AS (
+  SELECT item_id, sqrt(sum(x * x)) AS norm FROM sm GROUP BY item_id
+) SELECT item_id, i::INT AS i, round(coalesce(x, 0) / greatest(coalesce(norm, 0), 1e-12), 6) AS x FROM (SELECT item_id, i FROM benchmark, (SELECT unnest(range(64)) AS i)) LEFT JOIN sm USING (item_id, i) LEFT JOIN nm USING (item_id)""",
+        "qa_more_items": f"WITH {PAIRS}, z AS (SELECT 'values' AS source, question AS qu, CASE WHEN conv_id % 3 = 0 THEN answer[1:40] || '!' ELSE answer END AS an FROM q UNION ALL SELECT 'best', question, answer[1:90] FROM q), k AS (SELECT source, {_qa('qu')} AS question, {_qa('an')} AS answer FROM z) SELECT * FROM k WHERE question <> '' AND length(answer) BETWEEN 2 AND 220 AND {_count('answer', '|')} < 2",
+        "shaped_documents": f"WITH {MESSAGES} SELECT conv_id::VARCHAR AS id, CASE conv_id % 3 WHEN 0 THEN {_strip(f"array_to_string(list_transform(list_filter(m, lambda x: {strip_t} <> ''), lambda x: {_role_export('x.role')} || ': ' || {strip_t}), chr(10))")} WHEN 1 THEN {_strip(f"CASE WHEN {_strip("coalesce(m[1].content, '')")} <> '' THEN 'Instruction: ' || {_strip("coalesce(m[1].content, '')")} || chr(10) ELSE '' END || 'Assistant: Yes.'")} ELSE 'plain ' || conv_id END AS text FROM g",
+        "decoder_row_files": f"WITH {CODED} SELECT row_number() OVER (ORDER BY 'tgt ' || vec_id) - 1 AS ord, 'ctx ' || vec_id AS ctx_text, 'tgt ' || vec_id AS tgt_text, codes FROM e",
         "code_prompts": f"WITH {CODED}, f AS (SELECT vec_id, 'CTX: v' || vec_id || chr(10) AS a, chr(10) || 'Write exactly one next sentence:' AS z, {TEXT_CODES} AS t, {_special(2)} AS s FROM e) SELECT vec_id, a || z[2:] AS plain, a || 'CODES: ' || t || z AS text, a || 'CODES: ' || s || z AS special FROM f",
         "attached_codes": f"WITH {CODED} SELECT vec_id, label, codes FROM e JOIN embeddings USING (vec_id)",
         "planner_rows": f"WITH {PLANNER} SELECT * FROM pl",

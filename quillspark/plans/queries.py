@@ -178,6 +178,30 @@ def qa_items(spark, d):
     return spans.unionByName(lists).unionByName(choices)
 
 
+def qa_more_items(spark, d):
+    """The other two shapes: answers as a value with a normalised form, which counts where the value is empty, and best answers."""
+    rows = _pairs(spark, d)
+    value = F.when(F.col("conv_id") % 3 == 0, "").otherwise(F.col("answer"))
+    values = readers.qa_values(rows.select("question", F.struct(value.alias("value"), F.concat(F.substring("answer", 1, 40), F.lit("!")).alias("normalized_value")).alias("answer")), "values")
+    return values.unionByName(readers.qa_best(rows.select("question", F.substring("answer", 1, 90).alias("best_answer")), "best"))
+
+
+def shaped_documents(spark, d):
+    """Texts of rows that have messages, or an instruction with a response, or a text, each by what it has."""
+    chats = _messages(spark, d).select(F.col("conv_id").cast("string").alias("id"), F.when(F.col("conv_id") % 3 == 0, F.col("messages")).alias("messages"), F.when(F.col("conv_id") % 3 == 1, F.element_at("messages", 1)["content"]).alias("instruction"))
+    rows = chats.select("id", "messages", "instruction", F.when(F.col("instruction").isNotNull(), "Yes. ").alias("response"), F.concat(F.lit("  plain "), "id").alias("text"))
+    return rows.select("id", readers.shaped_text(rows).alias("text"))
+
+
+def decoder_row_files(spark, d):
+    """Decoder rows as JSON lines, some with their codes as text only, written and read again."""
+    coded = _coded(spark, d).select("vec_id", "codes")
+    rows = coded.select(F.concat(F.lit("ctx "), "vec_id").alias("ctx_text"), F.concat(F.lit("tgt "), "vec_id").alias("tgt_text"), F.when(F.col("vec_id") % 2 == 0, F.col("codes")).alias("tgt_codes"), K.codes_to_text(F.col("codes")).alias("tgt_codes_str"))
+    path = _folder(spark, "decoder")
+    sinks.write_json_lines(rows.repartitionByRange("tgt_text").sortWithinPartitions("tgt_text"), path)
+    return readers.decoder_rows(spark, path).select("ord", "ctx_text", "tgt_text", "codes")
+
+
 def qa_dedup(spark, d):
     rows = _docs(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("question"))
     return sample.dedup_questions(rows, "question", ["doc_id"]).select("doc_id")
@@ -350,7 +374,9 @@ def parse_codes(spark, d):
 
 
 def special_tokens(spark, d):
-    return K.code_tokens(spark, 8, 1024)
+    """The vocabulary of code tokens, with how many vectors use each."""
+    used = _coded(spark, d).select(F.posexplode("codes").alias("k", "v")).groupBy("k", "v").agg(F.count(F.lit(1)).alias("uses"))
+    return K.code_tokens(spark, STAGES, CENTRES).join(used, ["k", "v"], "left").select("k", "v", "token", F.coalesce("uses", F.lit(0)).alias("uses"))
 
 
 def code_prompts(spark, d):
@@ -422,8 +448,9 @@ def match_scores(spark, d):
 
 
 def hashed_embeddings(spark, d):
+    """The stand-in encoder's vector of every benchmark text, a row a number."""
     made = P.embed(table(spark, d, "benchmark"), "text", P.HashingEncoder())
-    return made.select("item_id", F.round(rvq.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm"))
+    return made.select("item_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
 def generated(spark, d):
@@ -531,7 +558,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         clean_whitespace, clean_messages, clean_qa_text, split_sentences, abbreviations, learned_sentences, sentence_ids, sentence_forms, paragraphs, clean_paragraphs, clean_reason_counts, symbol_ratio, markup_flags, decoder_targets,
         control_token_check, mix_validation, strip_control_tokens, role_norm, conversation_docs, normalized_conversations, prompt_of_messages, instruction_texts, question_messages, prompts,
-        qa_pairs_filtered, qa_reason_counts, qa_first_dot, qa_items, qa_dedup, doc_hash_split, first_row_id, document_ids, stage_counters, context_windows, context_windows_stripped, document_runs, pad_context,
+        qa_pairs_filtered, qa_reason_counts, qa_first_dot, qa_items, qa_more_items, shaped_documents, decoder_row_files, qa_dedup, doc_hash_split, first_row_id, document_ids, stage_counters, context_windows, context_windows_stripped, document_runs, pad_context,
         split_report, chat_history_full, chat_history_kept, chat_reason_counts, seeded_shuffle, positional_split, sample_without_replacement, reservoir_sample, select_ordinals, head_limit, ratio_mix,
         quota_allocation, export_documents, rerank_top1, codebook_norms, rvq_encode, rvq_encode_raw, rvq_encode_native, rvq_recon_error, rvq_fit, nearest_centroid, code_strings, parse_codes, special_tokens,
         code_prompts, attached_codes, zipped_embeddings, planner_rows, valid_code_rows, planner_table, head_accuracy, tuple_accuracy, planner_perplexity, code_agreement, match_scores, hashed_embeddings, generated, generated_plain, pulled_instruct, pull_counters, written_documents, written_reasons, written_mix, routed_rows, array_files, documents_from_json_lines, line_corpus,
