@@ -57,6 +57,15 @@ def embed(rows: DataFrame, text: str, encoder: Encoder, out: str = "embedding",
     return rows.withColumn(out, run(F.col(text)))
 
 
+def encoded_contexts(sentences: DataFrame, encoder: Encoder, book: np.ndarray, n: int = 6) -> DataFrame:
+    """The older form of training rows with codes made on the way: (doc_id, sent_id, ctx_codes, tgt_codes, ctx_text, tgt_text)."""
+    from quillspark.operators import rvq, windows
+
+    coded = rvq.encode(embed(windows.named_sentences(sentences), "text", encoder), "embedding", book)
+    made = windows.sliding(coded.drop("embedding"), "doc_id", "sent_id", {"text": "ctx", "codes": "ctx_codes"}, n)
+    return made.select("doc_id", "sent_id", F.flatten("ctx_codes").alias("ctx_codes"), F.col("codes").alias("tgt_codes"), F.array_join("ctx", " ").alias("ctx_text"), F.col("text").alias("tgt_text"))
+
+
 def count_planner(rows: DataFrame, k: int) -> DataFrame:
     """(head, ctx, pred, p): for each head the likeliest next code after its last context code; ctx null: after any.
 

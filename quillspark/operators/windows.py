@@ -49,10 +49,9 @@ def context_rows(sentences: DataFrame, n: int = 6, order: str = "pos") -> DataFr
     return made.select("doc_id", order, F.array_join("ctx", " ").alias("ctx_text"), F.col("text").alias("tgt_text"))
 
 
-def context_rows_stripped(sentences: DataFrame, n: int = 6) -> DataFrame:
-    """The older form: blank sentences neither count nor are targets, texts are stripped, a missing doc_id is the last one's.
-
-    sentences: sent_id, doc_id, text.
+def named_sentences(sentences: DataFrame) -> DataFrame:
+    """(doc_id, sent_id, text) of the sentences that aren't blank, stripped; an empty text is that of ``content``, if there is
+    such a column, and a missing doc_id the last one's.
     """
     # a gap is filled within its range of 100,000 sent_ids, and from the ranges before it
     width = 100_000
@@ -61,9 +60,17 @@ def context_rows_stripped(sentences: DataFrame, n: int = 6) -> DataFrame:
     named = sentences.withColumn("__part", part).withColumn("__here", here)
     carry = before(named.groupBy("__part").agg(F.max_by("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("sent_id"))).alias("d")), "__part", "d", "__carry", "last").select("__part", "__carry")
     named = named.join(carry, "__part").withColumn("__doc", F.coalesce("__here", "__carry"))
-    full = named.withColumn("text", T.strip(F.coalesce("text", F.lit("")))).filter("text <> ''")
-    made = sliding(full, "__doc", "sent_id", {"text": "ctx"}, n)
-    return made.select(F.col("__doc").alias("doc_id"), "sent_id", F.array_join("ctx", " ").alias("ctx_text"), F.col("text").alias("tgt_text"))
+    text = F.coalesce(F.nullif("text", F.lit("")), *["content"] * ("content" in sentences.columns), F.lit(""))
+    return named.select(F.col("__doc").alias("doc_id"), "sent_id", T.strip(text).alias("text")).filter("text <> ''")
+
+
+def context_rows_stripped(sentences: DataFrame, n: int = 6) -> DataFrame:
+    """The older form, over named_sentences: blank sentences neither count nor are targets.
+
+    sentences: sent_id, doc_id, text, and perhaps content.
+    """
+    made = sliding(named_sentences(sentences), "doc_id", "sent_id", {"text": "ctx"}, n)
+    return made.select("doc_id", "sent_id", F.array_join("ctx", " ").alias("ctx_text"), F.col("text").alias("tgt_text"))
 
 
 def _turns(conversations: DataFrame, empty: str) -> DataFrame:

@@ -32,6 +32,21 @@ def test_older_contexts_inherit_documents(spark):
     assert [(r.doc_id, r.sent_id, r.ctx_text) for r in found] == [(1, 6, "s0 s1 s2 s3 s4 s5"), (1, 7, "s1 s2 s3 s4 s5 s6")]
 
 
+def test_older_contexts_fall_back_and_encode(spark):
+    """An empty text is its content; codes are made from the texts that count."""
+    rows = [(i, 1, "" if i % 2 else f"a{i}", f" c{i}" if i != 3 else "  ") for i in range(9)]
+    df = spark.createDataFrame(rows, "sent_id long, doc_id long, text string, content string")
+    texts = [(i, (t or c).strip()) for i, _, t, c in rows if (t or c).strip()]
+    found = windows.context_rows_stripped(df, 3).orderBy("sent_id").collect()
+    assert [(r.sent_id, r.ctx_text, r.tgt_text) for r in found] == [(texts[j][0], " ".join(x for _, x in texts[j - 3 : j]), texts[j][1]) for j in range(3, len(texts))]
+    encoder, book = P.HashingEncoder(8), np.random.default_rng(1).normal(size=(2, 4, 8))
+    codes = dict(zip([i for i, _ in texts], rvq.encode_matrix(encoder.encode([t for _, t in texts]), book).tolist(), strict=True))
+    coded = P.encoded_contexts(df, encoder, book, 3).orderBy("sent_id").collect()
+    assert [(r.sent_id, r.ctx_text) for r in coded] == [(r.sent_id, r.ctx_text) for r in found]
+    for j, r in enumerate(coded, 3):
+        assert list(r.tgt_codes) == codes[r.sent_id] and list(r.ctx_codes) == [c for i, _ in texts[j - 3 : j] for c in codes[i]]
+
+
 def test_runs_restart(spark):
     rows = [(0, 1), (1, 1), (2, 2), (3, 1), (99_999, 1), (100_000, 1), (100_001, 3)]
     found = windows.runs(spark.createDataFrame(rows, "o long, d long"), "d", "o").orderBy("o").collect()
