@@ -1,11 +1,12 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
-The model is fitted on a bounded number of trusted documents (of one half by hash, those with the least hashes of their
-ids), so that others are always left to set thresholds by. Words seen twice are kept; all others become the shape of their
+The model is fitted on all trusted documents of one half by hash, and those of the other half set the thresholds. Words seen twice are kept; all others become the shape of their
 letters, digits and signs, so that shouting or decorated words stay unlikely.
 
 Counts stay sharded on the executors, from the words to the probabilities: n-grams are grouped by key, and discounts,
-continuation counts and back-off weights are aggregations and joins of these tables. In back-off form the log10
+continuation counts and back-off weights are aggregations and joins of these tables. Trigrams are counted in ``SLICES`` by
+their second token, one after the other, so that the disk holds one slice's shuffle: all trigrams of a context or around a
+bigram are in one slice. Documents meet the model in as many parts, for the same reason. In back-off form the log10
 probability of a text is a sum over its n-grams: each adds what it changes against its shorter ones, and n-grams that the
 model does not have add nothing. So a text's score is a join of its n-grams with one table (key, delta), summed by text.
 
@@ -30,7 +31,8 @@ read whole; extra columns pass through.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -39,10 +41,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import blocks, free_name, hashes, materialise, mix, read_table, small_batches, word_ids
+from quillspark.llm.common import blocks, discard, forget, free_name, hashes, materialise, mix, read_table, small_batches, word_ids
 
-#: Documents that the model is fitted on: a bound on labelled rows.
-TRUSTED = 4_000
+#: Parts in which trigrams are counted and documents are scored; all of them are.
+SLICES = 4
 LEAST_SEEN = 2
 #: Trigrams seen less often are left to bigrams.
 LEAST_TRIGRAM = 2
@@ -57,8 +59,8 @@ OWN = 300
 LEAST = 200
 #: The bound on repeats is this at least.
 REPEATS = 0.1
-#: Rows that may be broadcast: 32 MB.
-SMALL = 1_000_000
+#: Rows that may be broadcast: some 20 MB as the driver holds them, for each of a few joins.
+SMALL = 300_000
 
 _SHAPE = bytes(ord("X") if 65 <= c <= 90 else ord("x") if 97 <= c <= 122 or c >= 128 else ord("9") if 48 <= c <= 57 else ord("p") if chr(c) in ".,;:'\"()-" else ord("s") for c in range(256))
 _START = hashes([b"\1"])[0]
@@ -102,6 +104,10 @@ def _two(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix(mix(first) + second)
 
 
+def _three(pair: np.ndarray, third: np.ndarray) -> np.ndarray:
+    return mix(pair + mix(third ^ np.uint64(0x5EED)))
+
+
 _START_2 = _two(np.array([_START]), np.array([_START]))[0]
 
 
@@ -112,7 +118,7 @@ def n_grams(token: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     pair = _two(one, token)
     before = np.concatenate([[_START_2], pair[:-1]]).astype(np.uint64)
     before[starts[:-1]] = _START_2
-    return one, pair, before, mix(before + mix(token ^ np.uint64(0x5EED)))
+    return one, pair, before, _three(before, token)
 
 
 def repeats(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -139,10 +145,14 @@ def discounts(n: list[int]) -> list[float]:
     return [min(max(x, 0.05), most) for x, most in zip(d, (0.95, 1.9, 2.85), strict=True)]
 
 
-def _discount(rows: DataFrame, count: str) -> Column:
+def _seen(rows: DataFrame, count: str) -> np.ndarray:
+    """How many rows have a count of 1, 2, 3 and 4."""
+    return np.array([x or 0 for x in rows.agg(*[F.count_if(F.col(count) == k) for k in (1, 2, 3, 4)]).first()])
+
+
+def _discount(seen: np.ndarray, count: str) -> Column:
     """The discount of a row's count."""
-    seen = rows.agg(*[F.count_if(F.col(count) == k) for k in (1, 2, 3, 4)]).first()
-    one, two, more = discounts([x or 0 for x in seen])
+    one, two, more = discounts(seen.tolist())
     return F.when(F.col(count) == 1, one).when(F.col(count) == 2, two).otherwise(more)
 
 
@@ -150,35 +160,67 @@ def _signed(x) -> int:
     return int(np.uint64(x).view(np.int64))
 
 
-def deltas(grams: DataFrame) -> tuple[DataFrame, float, float]:
+def keyed(rows: DataFrame, before: str) -> DataFrame:
+    """(key, delta, n) of rows with these two, w and ``before``: v of a bigram, c of a trigram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first, token = (b.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+            key = _two(first, token) if before == "v" else _three(first, token)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(2), b.column(3)], names=["key", "delta", "n"])
+
+    return rows.select(before, "w", F.col("delta").cast("float").alias("delta"), "n").mapInArrow(run, "key long, delta float, n long")
+
+
+def deltas(slices: Iterable[DataFrame]) -> tuple[DataFrame, float, float]:
     """((key, delta, n), the log10 of an unseen word's probability, what each text adds at its start).
 
-    grams: t, b, c, v, w (keys of the trigram, of the bigrams that end and begin it, and of its last two tokens), n.
+    slices: written tables of c, v, w (key of the bigram that begins a trigram, and its last two tokens) and n; all of one v
+    are in one slice. Each is deleted before the next one is made.
     """
-    grams = grams.withColumn("d", _discount(grams, "n"))
-    often = F.col("n") >= LEAST_TRIGRAM
-    left = F.sum(F.when(often, F.col("d")).otherwise(F.col("n"))) / F.sum("n")
-    after_two = materialise(grams.groupBy("c").agg(left.alias("rest3"), F.sum("n").alias("total3"), F.max("n").alias("most")).filter(F.col("most") >= LEAST_TRIGRAM).drop("most"))
-    # bigrams count the distinct tokens before them; those at a text's start have none, and count themselves
-    kinds = F.when(F.col("v") == _signed(_START), F.sum("n")).otherwise(F.count(F.lit(1)))
-    pairs = materialise(grams.groupBy("b", "v", "w").agg(kinds.alias("kinds"), F.sum("n").alias("n")))
-    pairs = pairs.withColumn("d", _discount(pairs, "kinds"))
-    after_one = bounded(pairs.groupBy("v").agg((F.sum("d") / F.sum("kinds")).alias("rest2"), F.sum("kinds").alias("total2")))
+    seen, contexts, often, both = np.zeros(4, dtype=np.int64), [], [], []
+    for grams in slices:
+        seen += _seen(grams, "n")
+        classes = [F.count_if(F.col("n") == 1).alias("n_1"), F.count_if(F.col("n") == 2).alias("n_2"), F.count_if(F.col("n") > 2).alias("n_3")]
+        contexts.append(materialise(grams.groupBy("c").agg(*classes, F.sum("n").alias("total3"), F.max("n").alias("most")).filter(F.col("most") >= LEAST_TRIGRAM).drop("most")))
+        # bigrams count the distinct tokens before them; those at a text's start have none, and count themselves
+        kinds = F.when(F.col("v") == _signed(_START), F.sum("n")).otherwise(F.count(F.lit(1)))
+        pairs = materialise(grams.groupBy("v", "w").agg(kinds.alias("kinds"), F.sum("n").alias("n")))
+        threes = bounded(grams.filter(F.col("n") >= LEAST_TRIGRAM))
+        often.append(materialise(pairs.filter(F.col("n") >= LEAST_TRIGRAM).select("v", "w", "kinds").join(threes, ["v", "w"])))
+        both.append(pairs)
+        discard(grams, threes)
+    contexts, pairs = (reduce(DataFrame.unionByName, x) for x in (contexts, both))
+    taken = [d if k >= LEAST_TRIGRAM else k for k, d in enumerate(discounts(seen.tolist()), 1)]
+    left = sum(F.col(f"n_{k}") * d for k, d in enumerate(taken, 1)) / F.col("total3")
+    after_two = bounded(contexts.select("c", left.alias("rest3"), "total3"))
+    d2, d3 = _discount(_seen(pairs, "kinds"), "kinds"), _discount(seen, "n")
     ones = materialise(pairs.groupBy("w").agg(F.count(F.lit(1)).alias("seen"), F.sum("n").alias("n")))
-    ones = ones.withColumn("d", _discount(ones, "seen"))
+    ones = ones.withColumn("d", _discount(_seen(ones, "seen"), "seen"))
     sums = ones.agg(F.sum("seen").alias("seen"), F.sum("d").alias("d"), F.count(F.lit(1)).alias("words")).first()
     unseen = sums["d"] / sums["seen"] / (sums["words"] + 1)
     ones = bounded(ones.select("w", F.col("n").alias("n1"), ((F.col("seen") - F.col("d")) / sums["seen"] + unseen).alias("p1")))
-    p2 = (F.col("kinds") - F.col("d")) / F.col("total2") + F.col("rest2") * F.col("p1")
-    pairs = materialise(pairs.join(after_one, "v").join(ones.select("w", "p1"), "w").select("b", "n", "rest2", "p1", p2.alias("p2")))
-    p3 = (F.col("n") - F.col("d")) / F.col("total3") + F.col("rest3") * F.col("p2")
-    threes = grams.filter(often).join(after_two, "c").join(pairs.select("b", "p2"), "b").select(F.col("t").alias("key"), (F.log10(p3) - F.log10("rest3") - F.log10("p2")).alias("delta"), "n")
+    p2 = (F.col("kinds") - d2) / F.col("total2") + F.col("rest2") * F.col("p1")
+
+    p3 = (F.col("n") - d3) / F.col("total3") + F.col("rest3") * F.col("p2")
     onward = F.coalesce(F.log10("rest3"), F.lit(0.0))
-    twos = pairs.join(after_two.withColumnRenamed("c", "b"), "b", "left").select(F.col("b").alias("key"), (F.log10("p2") - F.log10("rest2") - F.log10("p1") + onward).alias("delta"), "n")
-    onward = F.coalesce(F.log10("rest2"), F.lit(0.0))
-    ones = ones.join(after_one.withColumnRenamed("v", "w"), "w", "left").select(F.col("w").alias("key"), (F.log10("p1") - float(np.log10(unseen)) + onward).alias("delta"), F.col("n1").alias("n"))
+    delta, firsts = [], []
+    for pairs, threes in zip(both, often, strict=True):
+        after_one = bounded(pairs.groupBy("v").agg((F.sum(d2) / F.sum("kinds")).alias("rest2"), F.sum("kinds").alias("total2")))
+        twos, threes_2 = (x.join(after_one, "v").join(ones.select("w", "p1"), "w").withColumn("p2", p2) for x in (pairs, threes.join(after_two, "c")))
+        twos = keyed(twos.withColumn("delta", F.log10("p2") - F.log10("rest2") - F.log10("p1")), "v")
+        twos = twos.join(after_two.select(F.col("c").alias("key"), "rest3"), "key", "left").select("key", (F.col("delta") + onward).cast("float").alias("delta"), "n")
+        delta += [materialise(twos), materialise(keyed(threes_2.withColumn("delta", F.log10(p3) - F.log10("rest3") - F.log10("p2")), "c"))]
+        firsts.append(after_one)
+        discard(pairs, threes)
+    after_one = reduce(DataFrame.unionByName, firsts)
+    each = ones.join(after_one.withColumnRenamed("v", "w"), "w", "left")
+    each = each.select(F.col("w").alias("key"), (F.log10("p1") - float(np.log10(unseen)) + F.coalesce(F.log10("rest2"), F.lit(0.0))).cast("float").alias("delta"), F.col("n1").alias("n"))
     start = after_one.filter(F.col("v") == _signed(_START)).select(F.log10("rest2").alias("x")).unionAll(after_two.filter(F.col("c") == _signed(_START_2)).select(F.log10("rest3")))
-    return materialise(ones.unionByName(twos).unionByName(threes)), float(np.log10(unseen)), float(start.agg(F.sum("x")).first()[0] or 0.0)
+    at_start = float(start.agg(F.sum("x")).first()[0] or 0.0)
+    delta.append(materialise(each))
+    discard(contexts, after_two, ones, *firsts)
+    return reduce(DataFrame.unionByName, delta), float(np.log10(unseen)), at_start
 
 
 def bounded(rows: DataFrame) -> DataFrame:
@@ -211,9 +253,11 @@ def maybe_known(bloom: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: DataFrame) -> Model | None:
-    """The model of the (bounded) texts."""
+    """The model of all texts, which are written first, as they are read once a slice."""
     spark = texts.sparkSession
-    texts = small_batches(texts.select("text"))
+    texts = small_batches(materialise(texts.select("text")))
+    if texts.isEmpty():
+        return None
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, part in blocks(batches):
@@ -232,19 +276,20 @@ def fit(texts: DataFrame) -> Model | None:
     known = np.unique(np.concatenate([known.view(np.uint64), hashes([b""])]))
     shared = spark.sparkContext.broadcast(known)
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, part in blocks(batches):
-            found, ids, starts = word_ids(part, end=True, lower=False)
-            token = tokens(found, shared.value)[ids]
-            one, pair, before, three = n_grams(token, starts)
-            three, first, count = np.unique(three, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (three, pair[first], before[first], one[first], token[first])), pa.array(count)], names=["t", "b", "c", "v", "w", "n"])
-
-    table = texts.mapInArrow(grams, "t long, b long, c long, v long, w long, n long").groupBy("t", "b", "c", "v", "w").agg(F.sum("n").alias("n"))
-    table = materialise(table)
-    if table.isEmpty():
-        return None
-    delta, unseen, start = deltas(table)
+    def grams(at: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, part in blocks(batches):
+                found, ids, starts = word_ids(part, end=True, lower=False)
+                token = tokens(found, shared.value)[ids]
+                one, _, before, three = n_grams(token, starts)
+                own = np.flatnonzero(mix(one) % np.uint64(SLICES) == at)
+                _, first, count = np.unique(three[own], return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[own[first]].view(np.int64)) for x in (before, one, token)), pa.array(count)], names=["c", "v", "w", "n"])
+
+        return materialise(texts.mapInArrow(run, "c long, v long, w long, n long").groupBy("c", "v", "w").agg(F.sum("n").alias("n")))
+
+    delta, unseen, start = deltas(grams(at) for at in range(SLICES))
+    discard(texts, counted)
     # most frequent first; equal counts are told apart by 64 classes of their keys
     level = (F.floor(F.log2("n") * 16) * 64 + F.shiftrightunsigned("key", 40).bitwiseAND(63)).cast("int")
     held, least = 0, 1 << 30
@@ -311,13 +356,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(rows[where[i : i + len(part)]]), pa.array(part), *none], names=names)
 
     hashed = docs.select("doc_id", "lang", "text").withColumns(text_hashes(F.col("text")))
-    parts = small_batches(hashed.select("t1", "t2", "text")).mapInArrow(run, "row long, key long, t1 long, t2 long, n_tokens long, total double, repeats double")
-    met = parts.join(model.table.hint("shuffle_hash"), "key", "left")
-    one = [F.max(c).alias(c) for c in names[2:]]  # all but one are null
-    summed = met.groupBy("row").agg(*one, F.coalesce(F.sum("delta"), F.lit(0.0)).alias("more"))
-    mean = (F.col("total") + F.col("more")) / F.col("n_tokens")
-    # equal texts have equal scores; documents meet them by the hashes of their texts
-    texts = materialise(summed.select("t1", "t2", mean.alias("log10_mean"), "n_tokens", "repeats").groupBy("t1", "t2").agg(*[F.max(c).alias(c) for c in ("log10_mean", "n_tokens", "repeats")]))
+    scored = []
+    for at in range(SLICES):  # equal texts are in one part
+        part = hashed.select("t1", "t2", "text").filter(F.pmod("t1", F.lit(SLICES)) == at)
+        part = small_batches(part).mapInArrow(run, "row long, key long, t1 long, t2 long, n_tokens long, total double, repeats double")
+        met = part.join(model.table.hint("shuffle_hash"), "key", "left")
+        one = [F.max(c).alias(c) for c in names[2:]]  # all but one are null
+        summed = met.groupBy("row").agg(*one, F.coalesce(F.sum(F.col("delta").cast("double")), F.lit(0.0)).alias("more"))
+        mean = (F.col("total") + F.col("more")) / F.col("n_tokens")
+        # equal texts have equal scores; documents meet them by the hashes of their texts
+        scored.append(materialise(summed.select("t1", "t2", mean.alias("log10_mean"), "n_tokens", "repeats").groupBy("t1", "t2").agg(*[F.max(c).alias(c) for c in ("log10_mean", "n_tokens", "repeats")])))
+        forget(docs.sparkSession)
+    texts = reduce(DataFrame.unionByName, scored)
     return hashed.drop("text").join(texts, ["t1", "t2"]).select("doc_id", "lang", "t1", "t2", "log10_mean", "n_tokens", "repeats")
 
 
@@ -357,18 +407,21 @@ class Thresholds:
         return scored.withColumn("deviation", self.deviation()).withColumn("keep", (F.col("deviation") >= low) & ((again <= most) | (F.round(again * F.col("n_tokens")) <= 2)))
 
 
-def judged(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED, quantile: float = QUANTILE, least: int = LEAST, margin: float = MARGIN) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, trusted: int | None = None, quantile: float = QUANTILE, least: int = LEAST, margin: float = MARGIN) -> DataFrame:
     """(doc_id, lang, t1, t2, log10_mean, n_tokens, repeats, deviation, keep) of all documents.
 
-    labels: (doc_id, quality); those of quality 1 are trusted. Each document is scored once, trusted or not.
+    labels: (doc_id, quality); those of quality 1 are trusted. Each document is scored once, trusted or not. The model is
+    fitted on one half of the trusted documents by hash, all of it unless a number is given.
     """
     good = materialise(labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct())
-    chosen = F.broadcast(materialise(good.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(2)) == 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted)))
+    chosen = good.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(2)) == 0)
+    chosen = bounded(chosen if trusted is None else chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted))
     model = fit(docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi"))
     if model is None:
         none = F.lit(None).cast("double")
         return docs.select("doc_id", "lang", *[c.alias(k) for k, c in text_hashes(F.col("text")).items()], none.alias("log10_mean"), F.lit(None).cast("long").alias("n_tokens"), none.alias("repeats"), none.alias("deviation"), F.lit(True).alias("keep"))
     scored = materialise(score(docs.select("doc_id", "lang", "text"), model))
+    discard(model.table)
     held = good.join(chosen, "doc_id", "left_anti")
     if good.count() <= SMALL:
         held = F.broadcast(held)

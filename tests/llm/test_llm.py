@@ -668,3 +668,13 @@ def test_filter_in_shards(spark):
         assert (r.maybe == r.n) if r["is"] else r.maybe < 0.05 * r.n
     few = exact_dedup.possibly_repeated(df, "h", "maybe", max_blocks=1 << 20).filter("id % 40 <> 0 and id <> 7")
     assert few.filter("maybe").count() < 0.05 * few.count()  # the broadcast filter, too
+
+
+def test_quality_is_fitted_on_all_trusted_documents(spark, monkeypatch):
+    """Of 9,000 trusted documents one half is learned from, whatever its size."""
+    df = frame(spark, [(i, "a text") for i in range(9_000)])
+    labels = df.select("doc_id", F.lit(1).alias("quality"))
+    learned = []
+    monkeypatch.setattr(kneser_ney, "fit", lambda texts: learned.append(texts.count()))
+    assert kneser_ney.judged(df, labels).count() == 9_000
+    assert learned == [df.filter("pmod(xxhash64(doc_id, 9), 2) = 0").count()] and learned[0] > 4_000
