@@ -23,6 +23,9 @@ BLOCK_BYTES = 2 << 20
 #: Rows that go to Python at once.
 BATCH_ROWS = 1000
 
+#: Spark's setting under which an execution deletes its shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _written: list[str] = []
 
 
@@ -55,10 +58,17 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
+    """Writes ``df`` to the shared folder and reads it back: lineage ends there, and a lost executor costs nothing. The
+    shuffle files of the write go when it ends, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -37,6 +37,7 @@ Texts of any length are taken whole; extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import block_shingles, blocks, discard, forget, free_name, materialise, mix, read_table, small_batches
+from quillspark.llm.common import block_shingles, blocks, discard, forget, free_name, materialise, mix, read_table, small_batches, tidy
 from quillspark.llm.components import components
 
 #: Shingles that are counted together in one task before the frequent ones are handed on.
@@ -63,6 +64,8 @@ LINK_BLOCK = 512
 BLOCK_SHINGLES = 250_000
 #: Sets that meet one set in one task.
 MEET = 256
+#: Parts in which the lists' keys are met; all of them are.
+SLICES = 4
 #: Rows of a few longs that may be broadcast: up to 32 MB.
 SMALL = 1_000_000
 
@@ -343,6 +346,7 @@ def block_pairs(members: DataFrame, nodes: DataFrame, percent: int, forest: bool
                 a, b = a[used], b[used]
             found_a.append(a)
             found_b.append(b)
+        tidy()
         return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
 
     return dealt.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long")
@@ -441,6 +445,21 @@ def _shared(value: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.unique(group[often], return_inverse=True)[1], row[often]
 
 
+def shared_lists(lists: DataFrame) -> DataFrame:
+    """The distinct (key, s) of keys that two sets or more have. Keys are taken in SLICES, one after the other, so the disk
+    holds the shuffle of one slice beside the lists; every key is in one.
+    """
+    found = []
+    for at in range(SLICES):
+        own = lists.filter(F.pmod("key", F.lit(SLICES)) == at)
+        heads = own.groupBy("key").agg(F.min("s").alias("lead"), F.max("s").alias("last")).filter("lead <> last").select("key")
+        heads = bounded(heads)  # far fewer than lists, as most have one member
+        forget(lists.sparkSession)
+        found.append(materialise(own.join(heads, "key").select("key", "s").distinct()))
+        discard(heads)
+    return reduce(DataFrame.unionByName, found)
+
+
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, links: bool = True) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, and with ``links`` n_links, the documents it is linked with."""
     spark = docs.sparkSession
@@ -456,10 +475,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, links
     bound = boundary(sizes, others, percent)
 
     lists = materialise(postings(docs, width, percent, bound, frequent))
-    heads = lists.groupBy("key").agg(F.min("s").alias("lead"), F.max("s").alias("last")).filter("lead <> last").select("key")
-    heads = bounded(heads)  # far fewer than lists, as most have one member
-    forget(spark)
-    shared = materialise(lists.join(heads, "key").select("key", "s").distinct())
+    shared = shared_lists(lists)
     discard(lists)
 
     # a class: the documents with one set, known by the first half of its signature

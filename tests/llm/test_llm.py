@@ -1,5 +1,6 @@
 """Operators of quillspark.llm on edge rows and against brute force."""
 
+import gc
 import hashlib
 import math
 import os
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import boosting, exact_dedup, jaccard_join, kneser_ney, lbl_lm, line_dedup, minhash, mixing, packing, toxicity, url_reputation
-from quillspark.llm.common import shingles, words_of
+from quillspark.llm.common import materialise, shingles, words_of
 from quillspark.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -678,3 +679,22 @@ def test_quality_is_fitted_on_all_trusted_documents(spark, monkeypatch):
     monkeypatch.setattr(kneser_ney, "fit", lambda texts: learned.append(texts.count()))
     assert kneser_ney.judged(df, labels).count() == 9_000
     assert learned == [df.filter("pmod(xxhash64(doc_id, 9), 2) = 0").count()] and learned[0] > 4_000
+
+def test_near_copies_meet_in_slices(spark):
+    """Each key that two sets have is met once, in whichever slice it is."""
+    rows = [(k, s) for k in range(-40, 40) for s in range(1 + k % 3)] + [(7, 5), (7, 5)]
+    lists = materialise(spark.createDataFrame(rows, "key long, s long"))
+    found = sorted(tuple(r) for r in jaccard_join.shared_lists(lists).collect())
+    assert found == sorted({(k, s) for k, s in rows if len({b for a, b in rows if a == k}) > 1})
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """Without waiting for a collection of the driver's garbage; the user's setting stays."""
+    from quillspark.llm.common import CLEANUP
+
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    gc.collect()
+    before = set(tracker.shuffleStatuses().keys().mkString(",").split(","))
+    made = materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert set(tracker.shuffleStatuses().keys().mkString(",").split(",")) <= before | {""}
+    assert made.count() == 7 and spark.conf.get(CLEANUP) == "false"
