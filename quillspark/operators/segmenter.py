@@ -73,9 +73,11 @@ def learn(docs: DataFrame, text: str = "text") -> Learned:
     tokens = docs.select(F.split(T.clean(F.col(text)), " ").alias("t"))
     # marks alone are no words; each word meets the word after it
     pairs = tokens.select(F.filter("t", lambda x: _is_word(x)).alias("t")).filter("size(t) > 0")
-    each = F.transform("t", lambda x, i: F.struct(x.alias("token"), F.get("t", i + 1).alias("next")))
-    pairs = pairs.select(F.explode(each).alias("x")).select(word(F.col("x.token")).alias("word"), _dotted(F.col("x.token")).alias("dot"), word(F.col("x.next")).alias("next"))
-    pairs = written(pairs.groupBy("word", "dot", F.when(F.col("dot"), F.col("next")).alias("next")).agg(F.count(F.lit(1)).alias("n")))
+    # the next token matters after a period only; tokens are counted as they stand, and bared once each
+    each = F.transform("t", lambda x, i: F.struct(x.alias("token"), F.when(x.contains("."), F.get("t", i + 1)).alias("next")))
+    raw = pairs.select(F.explode(each).alias("x")).groupBy("x.token", "x.next").agg(F.count(F.lit(1)).alias("n"))
+    bare = raw.select(word(F.col("token")).alias("word"), _dotted(F.col("token")).alias("dot"), word(F.col("next")).alias("next"), "n")
+    pairs = written(bare.groupBy("word", "dot", F.when(F.col("dot"), F.col("next")).alias("next")).agg(F.sum("n").alias("n")))
     counts = written(pairs.groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("dot"), F.col("n")).otherwise(0)).alias("dots")))
     total = counts.agg(F.sum("n").alias("all"), F.sum("dots").alias("periods"))  # one row
 
