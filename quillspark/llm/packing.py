@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,28 @@ from quillspark.llm.common import blocks, materialise, read_table, small_batches
 WINDOW = 2048
 END_ID = 1
 #: Chunks that a worker remembers; beyond, those that were used least are given up.
-CACHE = 500_000
+CACHE = 250_000
+#: Chunks that are encoded at once.
+LEARN = 4_000
 
 #: What the byte-level pre-tokeniser treats alike wherever it stands: a run of non-space with the space before it, and
 #: white space up to the last one before a word.
 _S = r"\t\n\x0b\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_CHUNK = re.compile(rf" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+#: Some letters; whatever the pre-tokeniser finds, a token's letters end at the first other character, so a run of these
+#: is cut off before an ASCII character that is none.
+_L = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+_CHUNK = re.compile(rf" ?[{_L}]+(?=[\x00-@\[-`{{-\x7f]|\Z)| ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_LETTERS = re.compile(rf" ?[{_L}]+")
+
+
+def _byte_signs() -> list[str]:
+    """The sign that byte-level vocabularies write for each byte: itself if Latin-1 prints it, else one from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = iter(range(0x100, 0x200))
+    return [chr(b) if b in own else chr(next(other)) for b in range(256)]
+
+
+_SIGNS = dict(enumerate(_byte_signs()))
 
 
 class ByteBpe:
@@ -44,6 +61,7 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        self.plain = Tokenizer(self.model.model)  # the same vocabulary without a pre-tokeniser
         self.special = [str(t) for t in (x.content for x in self.model.get_added_tokens_decoder().values())]
         self._remember([], np.zeros(0, dtype=np.int64), np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64))
 
@@ -52,13 +70,18 @@ class ByteBpe:
         self.size, self.flat, self.uses = size, flat, uses
 
     def _learn(self, new: list[str]) -> None:
-        """Encodes and numbers chunks; each is a text of its own."""
+        """Encodes and numbers chunks; each is a text of its own. The pre-tokeniser would leave chunks of letters whole, so these go without it."""
         sizes, flat = [self.size], [self.flat]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            found = self.model.encode(part, is_pretokenized=True, add_special_tokens=False)
-            sizes.append(np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(part)))
-            flat.append(np.array(found.ids, dtype="<u4"))
+        new.sort(key=lambda c: _LETTERS.fullmatch(c) is None)
+        letters = sum(_LETTERS.fullmatch(c) is not None for c in new)
+        for model, chunks in ((self.plain, new[:letters]), (self.model, new[letters:])):
+            for i in range(0, len(chunks), LEARN):
+                part = chunks[i : i + LEARN]
+                if model is self.plain:
+                    part = "\0".join(part).encode("utf-8").decode("latin-1").translate(_SIGNS).split(_SIGNS[0])
+                found = model.encode(part, is_pretokenized=True, add_special_tokens=False)
+                sizes.append(np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(part)))
+                flat.append(np.array(found.ids, dtype="<u4"))
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         self.size, self.flat = np.concatenate(sizes), np.concatenate(flat)
         self.uses = np.concatenate([self.uses, np.zeros(len(new), dtype=np.int64)])
@@ -78,11 +101,11 @@ class ByteBpe:
             else:
                 cut += _CHUNK.findall(t)
             ends.append(len(cut))
-        places = list(map(self.known.get, cut))
-        if None in places:
-            self._learn(list(dict.fromkeys(c for c, n in zip(cut, places, strict=True) if n is None)))
-            places = list(map(self.known.__getitem__, cut))
-        places = np.array(places, dtype=np.int64)
+        places = np.fromiter(map(self.known.get, cut, repeat(-1)), dtype=np.int64, count=len(cut))
+        if len(new := np.flatnonzero(places < 0)):
+            chunks = [cut[i] for i in new]
+            self._learn(list(dict.fromkeys(chunks)))
+            places[new] = list(map(self.known.__getitem__, chunks))
         size = self.size[places]
         ids = self.flat[_runs((np.cumsum(self.size) - self.size)[places], size)]
         self.uses += np.bincount(places, minlength=len(self.uses))

@@ -330,6 +330,14 @@ def test_chunks_are_whole_texts(docs):
         assert np.frombuffer(ids, "<u4").tolist() == bpe.model.encode(t, add_special_tokens=False).ids
 
 
+def test_marks_make_no_new_chunks():
+    bpe = packing.ByteBpe(packing.tokenizer_path())
+    texts = ["one word, a word. the word! (a word) größte? größte; größte", "a word's ʼword word́ word² wordж word١ <word>"]
+    for t, ids in zip(texts, bpe.encode(texts), strict=True):
+        assert ids.tolist() == bpe.model.encode(t, add_special_tokens=False).ids
+    assert {c for c in bpe.known if c.startswith((" word,", " word.", " word!", " word)", " größte;"))} == set() and {" word", " größte"} <= set(bpe.known)
+
+
 def test_fingerprints(spark, docs, empty):
     rows = {r.doc_id: r for r in minhash.compare(docs).collect()}
     all_docs = [(i, t or "") for i, t in corpus()]
