@@ -25,7 +25,8 @@ SENTENCE_GAP = r"(?<=[.!?])(?U)[\s\x1c-\x1f]+"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    ends = F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1))  # most texts have no white space there, and are not searched
+    return F.when(ends.rlike(r"(?U)[\s\x1c-\x1f]"), F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")).otherwise(c)
 
 
 def collapse(c: Column) -> Column:
@@ -38,8 +39,13 @@ def clean(c: Column) -> Column:
 
 
 def contains_any(c: Column, marks: tuple[str, ...]) -> Column:
-    """Whether a text has one of the marks (ASCII), in any case; one pattern, so the text is read once."""
-    return F.coalesce(c, F.lit("")).rlike("(?i)" + "|".join(re.escape(m) for m in marks))
+    """Whether a text has one of the marks (ASCII), in any case. Marks without letters are plain searches, others patterns for texts that have their first sign."""
+    c = F.coalesce(c, F.lit(""))
+    found = F.lit(False)
+    for m in sorted(marks, key=lambda m: m.upper() != m.lower()):
+        sign = next((x for x in m if not x.isalpha()), "")
+        found = found | (c.contains(m) if m.upper() == m.lower() else c.contains(sign) & c.rlike("(?i)" + re.escape(m)))
+    return found
 
 
 def has_markup(c: Column) -> Column:
@@ -85,10 +91,16 @@ def paragraphs(c: Column) -> Column:
 
 def symbol_ratio(c: Column) -> Column:
     """The share of characters that are neither letters nor numbers among those that aren't white space; 1 if none."""
-    c = F.coalesce(c, F.lit(""))
-    seen = F.length(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]", ""))
-    symbols = F.length(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f\p{L}\p{N}]", ""))
-    return F.when(seen == 0, 1.0).otherwise(symbols / seen)
+    # plain classes first: little is left for the Unicode ones. A lambda's variable is computed once
+    dense = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x09-\x0D\x1c-\x20]+", "")
+
+    def ratio(d: Column, rest: Column) -> Column:
+        white = F.length(rest) - F.length(F.regexp_replace(rest, r"(?U)\s+", ""))
+        symbols = F.length(F.regexp_replace(rest, r"(?U)[\s\p{L}\p{N}]+", ""))
+        return F.coalesce(F.try_divide(symbols, F.length(d) - white), F.lit(1.0))
+
+    inner = F.transform(F.array(dense), lambda d: F.transform(F.array(F.regexp_replace(d, "[A-Za-z0-9]+", "")), lambda rest: ratio(d, rest))[0])
+    return inner[0]
 
 
 def count_of(c: Column, char: str) -> Column:

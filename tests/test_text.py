@@ -125,3 +125,17 @@ def test_first_id_and_pad(spark):
 
 def test_target_regex_matches_python():
     assert re.search(T.CONTROL_TARGET, "<c0_0001>") and not re.search(T.CONTROL_TARGET, "<c0_001")
+
+
+def test_few_texts_are_searched_by_slow_patterns(spark):
+    white = " \t\n\x0b\x0c\r\x1c\x1f\x85\xa0\u1680\u2003\u2028\u3000"
+    texts = ["", "a", *white, *[f"{w}a b{w}" for w in white], *[f"a{w}" for w in white], "<REF x", "Align=", "a=b-c <x", "DATA-SORT-VALUE", "[[", "[ [", "é²Ⅷ_日!", "\xa0!\u2003é", "a-b", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    old = [F.regexp_replace("t", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""), F.coalesce("t", F.lit("")).rlike("(?i)" + "|".join(re.escape(m) for m in T.MARKUP))]
+    seen, symbols = (F.length(F.regexp_replace(F.coalesce("t", F.lit("")), rf"(?U)[\s\x1c-\x1f{more}]", "")) for more in ("", r"\p{L}\p{N}"))
+    old.append(F.when(seen == 0, 1.0).otherwise(symbols / seen))
+    t = F.col("t")
+    for r in df.select(F.array(*[F.to_json(F.struct(c)) for c in (x.alias("x") for x in old)]).alias("old"), F.array(*[F.to_json(F.struct(c)) for c in (x.alias("x") for x in (T.strip(t), T.has_markup(t), T.symbol_ratio(t)))]).alias("new"), "t").collect():
+        assert r.old == r.new, repr(r.t)
+    plan = df.select(T.symbol_ratio(t).alias("x"), T.has_markup(t).alias("y"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("(?U)") == 2 and "Contains" in plan or "contains" in plan
