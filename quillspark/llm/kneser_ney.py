@@ -199,7 +199,8 @@ def deltas(slices: Iterable[DataFrame]) -> tuple[DataFrame, float, float]:
     ones = ones.withColumn("d", _discount(_seen(ones, "seen"), "seen"))
     sums = ones.agg(F.sum("seen").alias("seen"), F.sum("d").alias("d"), F.count(F.lit(1)).alias("words")).first()
     unseen = sums["d"] / sums["seen"] / (sums["words"] + 1)
-    ones = bounded(ones.select("w", F.col("n").alias("n1"), ((F.col("seen") - F.col("d")) / sums["seen"] + unseen).alias("p1")))
+    # a row for each word that is told apart and each shape, at any size of the input, so bigrams need not move to meet them
+    ones = bounded(ones.select("w", F.col("n").alias("n1"), ((F.col("seen") - F.col("d")) / sums["seen"] + unseen).alias("p1")), WORDS + SMALL)
     p2 = (F.col("kinds") - d2) / F.col("total2") + F.col("rest2") * F.col("p1")
 
     p3 = (F.col("n") - d3) / F.col("total3") + F.col("rest3") * F.col("p2")
@@ -223,10 +224,10 @@ def deltas(slices: Iterable[DataFrame]) -> tuple[DataFrame, float, float]:
     return reduce(DataFrame.unionByName, delta), float(np.log10(unseen)), at_start
 
 
-def bounded(rows: DataFrame) -> DataFrame:
-    """The rows, written; marked for a broadcast if there are at most SMALL of them."""
+def bounded(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """The rows, written; marked for a broadcast if there are at most ``most`` (SMALL) of them."""
     rows = materialise(rows)
-    return F.broadcast(rows) if rows.count() <= SMALL else rows
+    return F.broadcast(rows) if rows.count() <= (SMALL if most is None else most) else rows
 
 
 class Model(NamedTuple):
@@ -288,8 +289,11 @@ def fit(texts: DataFrame) -> Model | None:
 
         return materialise(texts.mapInArrow(run, "c long, v long, w long, n long").groupBy("c", "v", "w").agg(F.sum("n").alias("n")))
 
-    delta, unseen, start = deltas(grams(at) for at in range(SLICES))
-    discard(texts, counted)
+    def slices() -> Iterator[DataFrame]:
+        yield from (grams(at) for at in range(SLICES))
+        discard(texts, counted)  # no slice is left to read them
+
+    delta, unseen, start = deltas(slices())
     # most frequent first; equal counts are told apart by 64 classes of their keys
     level = (F.floor(F.log2("n") * 16) * 64 + F.shiftrightunsigned("key", 40).bitwiseAND(63)).cast("int")
     held, least = 0, 1 << 30
@@ -308,6 +312,7 @@ def fit(texts: DataFrame) -> Model | None:
     found = delta.groupBy(place.alias("place")).agg(F.bit_or(mask).alias("mask")).toArrow()  # at most BLOOM rows
     bloom = np.zeros(BLOOM, dtype=np.uint64)
     bloom[found["place"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
+    forget(spark)  # what was collected here was no write, so its shuffle files would lie beside those of the scoring
     return Model(spark.sparkContext.broadcast((known, key, value, bloom)), delta.select("key", "delta"), unseen, start)
 
 

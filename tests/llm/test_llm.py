@@ -5,6 +5,7 @@ import hashlib
 import math
 import os
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -706,3 +707,17 @@ def test_written_tables_leave_no_shuffle_files(spark):
     made = materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
     assert set(tracker.shuffleStatuses().keys().mkString(",").split(",")) <= before | {""}
     assert made.count() == 7 and spark.conf.get(CLEANUP) == "false"
+
+
+def test_bigrams_stay_where_they_are(spark, docs, monkeypatch):
+    """The table of words has a bound of its own, so more of them than SMALL are still broadcast, and slices' texts go after the last slice."""
+    plans, write = [], kneser_ney.materialise
+    monkeypatch.setattr(kneser_ney, "SMALL", 10)
+    monkeypatch.setattr(kneser_ney, "materialise", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert kneser_ney.fit(docs).table.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not [p for p in plans if "Join" in p and "MapInArrow" in p and re.search(r"hashpartitioning\(w#\d+L?, ", p)]
