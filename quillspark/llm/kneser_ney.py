@@ -130,7 +130,7 @@ def repeats(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     one[starts[:-1]] = two[starts[:-1]] = 0
     second = starts[:-1] + 1
     two[second[second < starts[1:]]] = 0
-    key = text.astype(np.uint64)
+    key = mix(text.astype(np.uint64))  # not the bare number, or another text with a nearby word would have the same sum
     for part in (two, one, word):
         key = mix(key + part.astype(np.uint64))
     first = np.unique(key, return_index=True)[1]

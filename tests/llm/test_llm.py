@@ -721,3 +721,12 @@ def test_bigrams_stay_where_they_are(spark, docs, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert not [p for p in plans if "Join" in p and "MapInArrow" in p and re.search(r"hashpartitioning\(w#\d+L?, ", p)]
+
+
+def test_repeats_know_their_own_text_only():
+    ids, starts = np.array([9, 3, 4, 5, 8, 3, 4, 5], dtype=np.int32), np.array([0, 4, 8])
+    whole = kneser_ney.repeats(ids, starts)
+    assert whole.tolist() == [0, 0]
+    rng = np.random.default_rng(1)
+    ids, starts = rng.integers(0, 12, 3000).astype(np.int32), np.arange(0, 3001, 15)
+    assert kneser_ney.repeats(ids, starts).tolist() == [kneser_ney.repeats(ids[a : a + 15], np.array([0, 15]))[0] for a in starts[:-1]]
