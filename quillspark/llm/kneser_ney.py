@@ -12,8 +12,10 @@ model does not have add nothing. So a text's score is a join of its n-grams with
 
 That join is narrowed on the map side by two arrays of fixed size, whatever the model's: up to ``HEAD`` frequent
 n-grams are summed at once, and a Bloom filter of 2^26 bits leaves out n-grams that the model does not have. What remains
-(rare n-grams of the model) is shuffled by key, and meets its shard of the counts. As is usual, trigrams seen once are not
-in the model; their counts go to what their context leaves to bigrams.
+(rare n-grams of the model) goes to its shard of the counts, a range of keys: a block of texts sends each shard one row
+with all its n-grams there as an array, and gets back what they add to each text. The model is written as such arrays once,
+and a task holds one shard of it, of some ``SHARD`` n-grams. As is usual, trigrams seen once are not in the model; their
+counts go to what their context leaves to bigrams.
 
 A document's deviation is its mean log10 probability a token less its language's median, over its spread by chance, so
 that short texts may vary more. It is rejected below a low quantile (of perplexity: above a high one) of the trusted
@@ -41,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import blocks, discard, forget, free_name, hashes, materialise, mix, read_table, small_batches, word_ids
+from quillspark.llm.common import blocks, discard, forget, free_name, hashes, materialise, mix, partitions, read_table, small_batches, tidy, word_ids
 
 #: Parts in which trigrams are counted and documents are scored; all of them are.
 SLICES = 4
@@ -52,6 +54,8 @@ LEAST_TRIGRAM = 2
 WORDS = 1 << 20
 #: Frequent n-grams, the slots they are looked up in, and 64-bit blocks of the Bloom filter.
 HEAD, SLOTS, BLOOM = 1 << 20, 1 << 21, 1 << 20
+#: N-grams of the model that a task holds in scoring, more or less, and rows that are dealt to shards at once.
+SHARD, DEALT = 1 << 20, 1 << 20
 QUANTILE = 0.002
 MARGIN = 1.4
 #: Texts differ among themselves as the means of so many tokens do by chance.
@@ -231,26 +235,87 @@ def bounded(rows: DataFrame, most: int | None = None) -> DataFrame:
 
 
 class Model(NamedTuple):
-    """shared: a broadcast of known words, head keys and deltas, and the Bloom filter. table: (key, delta)."""
+    """shared: a broadcast of known words, head keys and deltas, and the Bloom filter. table: (shard, keys, deltas), sorted arrays."""
 
     shared: object
     table: DataFrame
+    shards: int
     unseen: float
     start: float
 
 
-def _bloom_block(key: Column) -> tuple[Column, Column]:
-    """Block and mask (three bits) of a key."""
-    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(key, at).bitwiseAND(63).cast("int")) for at in (20, 26, 32)]
-    return F.shiftrightunsigned(key, 44).bitwiseAND(BLOOM - 1), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
+def _place(key: np.ndarray) -> np.ndarray:
+    """The block of the Bloom filter that a key is in: its first 20 bits, so sorted keys have sorted blocks."""
+    return (key >> np.uint64(44)).astype(np.int64)
 
 
-def maybe_known(bloom: np.ndarray, key: np.ndarray) -> np.ndarray:
-    one = np.uint64(1)
-    mask = np.zeros(len(key), dtype=np.uint64)
+def _bits(key: np.ndarray) -> np.ndarray:
+    """The three bits of a key in its block."""
+    out = np.zeros(len(key), dtype=np.uint64)
     for at in (20, 26, 32):
-        mask |= one << ((key >> np.uint64(at)) & np.uint64(63))
-    return bloom[(key >> np.uint64(44)) & np.uint64(BLOOM - 1)] & mask == mask
+        out |= np.uint64(1) << ((key >> np.uint64(at)) & np.uint64(63))
+    return out
+
+
+def dealt(key: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
+    """Each shard that has any of these sorted keys, and where they are. Shards are ranges of blocks of the Bloom filter."""
+    shard = _place(key) * shards // BLOOM
+    ends = [*np.flatnonzero(np.diff(shard, prepend=-1)).tolist(), len(key)]
+    for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+        yield int(shard[lo]), slice(lo, hi)
+
+
+def sharded(table: DataFrame, shards: int) -> DataFrame:
+    """(shard, keys, deltas) of a table (key, delta): arrays as bytes, sorted by key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            key, delta = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1))
+            order = np.argsort(key.view(np.uint64))
+            key, delta = key.view(np.uint64)[order], delta[order]
+            parts = list(dealt(key, shards))
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), *(pa.array([x[at].tobytes() for _, at in parts], pa.binary()) for x in (key, delta))], names=["shard", "keys", "deltas"])
+
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= DEALT:
+                yield rows(held)
+                held, n = [], 0
+        if n:
+            yield rows(held)
+
+    return table.select("key", "delta").mapInArrow(run, "shard int, keys binary, deltas binary")
+
+
+def bloom_filter(table: DataFrame, shards: int) -> np.ndarray:
+    """The Bloom filter of a sharded table; each shard makes its own range of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BLOOM, dtype=np.uint64)
+        for b in batches:
+            for x in b.column(0):
+                key = np.frombuffer(x.as_buffer(), dtype=np.uint64)
+                at, mask = _place(key), _bits(key)
+                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                bits[at[first]] |= np.bitwise_or.reduceat(mask, first)
+        found = np.flatnonzero(bits)
+        if len(found):
+            lo, hi = int(found[0]), int(found[-1]) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([lo]), pa.array([bits[lo:hi].tobytes()], pa.binary())], names=["at", "bits"])
+
+    out = np.zeros(BLOOM, dtype=np.uint64)
+    rows = table.repartitionById(shards, "shard").select("keys").mapInArrow(run, "at long, bits binary").toArrow()  # BLOOM words in all
+    for at, x in zip(rows["at"].to_pylist(), rows["bits"], strict=True):
+        part = np.frombuffer(x.as_buffer(), dtype=np.uint64)
+        out[at : at + len(part)] |= part
+    return out
+
+
+def maybe_known(bloom: np.ndarray, key: np.ndarray) -> np.ndarray:
+    mask = _bits(key)
+    return bloom[_place(key)] & mask == mask
 
 
 def fit(texts: DataFrame) -> Model | None:
@@ -297,7 +362,9 @@ def fit(texts: DataFrame) -> Model | None:
     # most frequent first; equal counts are told apart by 64 classes of their keys
     level = (F.floor(F.log2("n") * 16) * 64 + F.shiftrightunsigned("key", 40).bitwiseAND(63)).cast("int")
     held, least = 0, 1 << 30
-    for r in delta.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("level")).collect():  # under 65,536 rows
+    levels = delta.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("level")).collect()  # under 65,536 rows
+    total = sum(r.rows for r in levels)
+    for r in levels:
         held += r.rows
         if held > HEAD:
             break
@@ -308,12 +375,12 @@ def fit(texts: DataFrame) -> Model | None:
     key, value = np.zeros(SLOTS, dtype=np.uint64), np.zeros(SLOTS, dtype=np.float32)
     at = (keys & np.uint64(SLOTS - 1)).astype(np.int64)
     key[at], value[at] = keys, top["delta"].to_numpy()[order]
-    place, mask = _bloom_block(F.col("key"))
-    found = delta.groupBy(place.alias("place")).agg(F.bit_or(mask).alias("mask")).toArrow()  # at most BLOOM rows
-    bloom = np.zeros(BLOOM, dtype=np.uint64)
-    bloom[found["place"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
+    shards = max(partitions(spark), -(-total // SHARD))
+    table = materialise(sharded(delta, shards))
+    discard(delta)
+    bloom = bloom_filter(table, shards)
     forget(spark)  # what was collected here was no write, so its shuffle files would lie beside those of the scoring
-    return Model(spark.sparkContext.broadcast((known, key, value, bloom)), delta.select("key", "delta"), unseen, start)
+    return Model(spark.sparkContext.broadcast((known, key, value, bloom)), table, shards, unseen, start)
 
 
 def text_hashes(text: Column) -> dict[str, Column]:
@@ -321,13 +388,64 @@ def text_hashes(text: Column) -> dict[str, Column]:
     return {"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(1), text)}
 
 
+#: Kinds of rows in scoring: arrays of the model, n-grams of a block of texts, and what the block knows itself.
+_MODEL, _ASKED, _OWN = 0, 1, 2
+_ROW = {"shard": pa.int32(), "kind": pa.int32(), "block": pa.int64(), "a": pa.binary(), "b": pa.binary()}
+
+
+def _row_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), _ROW.values(), strict=True)], names=list(_ROW))
+
+
+def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers n-grams (a: sorted keys, b: their texts) by what they add (a: texts, b: sums), from rows of whole shards sorted by shard and kind. Rows that a block has of its own go through."""
+    shard, parts, keys, values = -1, [], np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.float32)
+    for batch in batches:
+        out = []
+        for at, kind, block, a, b in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if at != shard:
+                shard, parts, keys, values = at, [], keys[:0], values[:0]
+            if kind == _MODEL:
+                parts.append((np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.float32)))
+                continue
+            if kind == _OWN:
+                out.append((at, kind, block, a, b))
+                continue
+            if parts:
+                keys, values = (np.concatenate(x) for x in zip(*parts, strict=True))
+                order, parts = np.argsort(keys, kind="stable"), []
+                keys, values = keys[order], values[order]
+            if len(keys):
+                key = np.frombuffer(a, dtype=np.uint64)
+                text = np.frombuffer(b, dtype=f"u{len(b) // len(key)}")
+                place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                there = keys[place] == key
+                added = np.bincount(text[there], weights=values[place[there]])
+                to = np.flatnonzero(added)
+                out.append((at, kind, block, to.astype(np.uint32).tobytes(), added[to].tobytes()))
+        if out:
+            yield _row_batch(out)
+    tidy()
+
+
+def summed(table: pa.Table) -> pa.Table:
+    """The texts of one block, from its answers and its own row."""
+    kind, a, b = (table[c].to_pylist() for c in ("kind", "a", "b"))
+    own = kind.index(_OWN)
+    t1, t2, size = np.frombuffer(a[own], dtype=np.int64).reshape(3, -1)
+    total, again = np.frombuffer(b[own], dtype=np.float64).reshape(2, -1).copy()
+    for k, to, added in zip(kind, a, b, strict=True):
+        if k == _ASKED:
+            total[np.frombuffer(to, dtype=np.uint32)] += np.frombuffer(added, dtype=np.float64)
+    return pa.table({"t1": t1, "t2": t2, "log10_mean": total / size, "n_tokens": size, "repeats": again})
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang, t1, t2: hashes of the text, log10_mean, n_tokens, repeats) of docs: doc_id, lang, text. The end is a token."""
-    shared, unseen, start = model.shared, model.unseen, model.start
-    names = ["row", "key", "t1", "t2", "n_tokens", "total", "repeats"]
+    shared, shards, unseen, start = model.shared, model.shards, model.unseen, model.start
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 36
+        task = TaskContext.get().partitionId()
         known, head, value, bloom = shared.value
 
         def found(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -337,40 +455,41 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             rest = np.flatnonzero(~there)
             return np.where(there, value[at], 0.0), rest[maybe_known(bloom, key[rest])]
 
-        for block, texts in blocks(batches):
+        for nth, (block, texts) in enumerate(blocks(batches)):
             words, ids, starts = word_ids(texts, end=True, lower=False)
             n, size = len(texts), np.diff(starts)
-            rows = row + np.arange(n)
-            row += n
-            token = tokens(words, known)[ids]
-            _, pair, _, three = n_grams(token, starts)
-            text = np.repeat(np.arange(n), size)
+            distinct = tokens(words, known)
+            _, pair, _, three = n_grams(distinct[ids], starts)
+            text = np.repeat(np.arange(n, dtype=np.uint16 if n <= 1 << 16 else np.uint32), size)
             total, where, keys = unseen * size + start, [], []
-            for key in (token, pair, three):
+            for key, of in ((distinct, ids), (pair, None), (three, None)):
                 adds, rest = found(key)
+                if of is not None:  # words are looked up once
+                    there = np.zeros(len(key), dtype=bool)
+                    there[rest] = True
+                    key, adds, rest = key[of], adds[of], np.flatnonzero(there[of])
                 total += np.add.reduceat(adds, starts[:-1])
                 where.append(text[rest])
                 keys.append(key[rest])
-            # a text's own row has a key that no n-gram has, so that it goes with the others
-            own = [rows, mix(rows.astype(np.uint64)).view(np.int64), *(block.column(block.schema.get_field_index(c)) for c in ("t1", "t2")), size, total, repeats(ids, starts)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in own], names=names)
-            where, keys = np.concatenate(where), np.concatenate(keys).view(np.int64)
-            for i in range(0, len(keys), 1 << 16):
-                part = keys[i : i + (1 << 16)]
-                none = [pa.nulls(len(part), kind) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(rows[where[i : i + len(part)]]), pa.array(part), *none], names=names)
-
+            where, keys = np.concatenate(where), np.concatenate(keys)
+            order = np.argsort(keys)
+            where, keys = where[order], keys[order]
+            number = (task << 32) + nth
+            t1, t2 = (block.column(block.schema.get_field_index(c)).to_numpy() for c in ("t1", "t2"))
+            own = ((task + nth) % shards, _OWN, number, np.concatenate([t1, t2, size]).tobytes(), np.concatenate([total, repeats(ids, starts)]).tobytes())
+            yield _row_batch([own, *((shard, _ASKED, number, keys[at].tobytes(), where[at].tobytes()) for shard, at in dealt(keys, shards))])
+
+    rows = ", ".join(f"{k} {'binary' if v == pa.binary() else 'long' if v == pa.int64() else 'int'}" for k, v in _ROW.items())
+    table = model.table.select("shard", F.lit(_MODEL).alias("kind"), F.lit(0).cast("long").alias("block"), F.col("keys").alias("a"), F.col("deltas").alias("b"))
     hashed = docs.select("doc_id", "lang", "text").withColumns(text_hashes(F.col("text")))
     scored = []
     for at in range(SLICES):  # equal texts are in one part
         part = hashed.select("t1", "t2", "text").filter(F.pmod("t1", F.lit(SLICES)) == at)
-        part = small_batches(part).mapInArrow(run, "row long, key long, t1 long, t2 long, n_tokens long, total double, repeats double")
-        met = part.join(model.table.hint("shuffle_hash"), "key", "left")
-        one = [F.max(c).alias(c) for c in names[2:]]  # all but one are null
-        summed = met.groupBy("row").agg(*one, F.coalesce(F.sum(F.col("delta").cast("double")), F.lit(0.0)).alias("more"))
-        mean = (F.col("total") + F.col("more")) / F.col("n_tokens")
+        asked = small_batches(part).mapInArrow(run, rows)
+        told = table.unionAll(asked).repartitionById(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(looked_up, rows)
+        texts = told.groupBy("block").applyInArrow(summed, "t1 long, t2 long, log10_mean double, n_tokens long, repeats double")
         # equal texts have equal scores; documents meet them by the hashes of their texts
-        scored.append(materialise(summed.select("t1", "t2", mean.alias("log10_mean"), "n_tokens", "repeats").groupBy("t1", "t2").agg(*[F.max(c).alias(c) for c in ("log10_mean", "n_tokens", "repeats")])))
+        scored.append(materialise(texts.groupBy("t1", "t2").agg(*[F.max(c).alias(c) for c in ("log10_mean", "n_tokens", "repeats")])))
         forget(docs.sparkSession)
     texts = reduce(DataFrame.unionByName, scored)
     return hashed.drop("text").join(texts, ["t1", "t2"]).select("doc_id", "lang", "t1", "t2", "log10_mean", "n_tokens", "repeats")

@@ -730,3 +730,17 @@ def test_repeats_know_their_own_text_only():
     rng = np.random.default_rng(1)
     ids, starts = rng.integers(0, 12, 3000).astype(np.int32), np.arange(0, 3001, 15)
     assert kneser_ney.repeats(ids, starts).tolist() == [kneser_ney.repeats(ids[a : a + 15], np.array([0, 15]))[0] for a in starts[:-1]]
+
+
+def test_scoring_meets_the_model_in_arrays(spark, docs, monkeypatch):
+    """A block of texts asks each shard in one row; no n-gram is a row of a join, and each is found."""
+    monkeypatch.setattr(kneser_ney, "HEAD", 0)
+    model = kneser_ney.fit(docs)
+    rows = model.table.collect()
+    keys = np.concatenate([np.frombuffer(r["keys"], dtype=np.uint64) for r in rows])
+    assert len(set(keys.tolist())) == len(keys) and kneser_ney.maybe_known(model.shared.value[3], keys).all()
+    assert all(r["shard"] == s for r in rows for s, _ in kneser_ney.dealt(np.frombuffer(r["keys"], dtype=np.uint64), model.shards))
+    plans, write = [], kneser_ney.materialise
+    monkeypatch.setattr(kneser_ney, "materialise", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df))[1])
+    assert kneser_ney.score(docs, model).count() == docs.count()
+    assert len(plans) == kneser_ney.SLICES and not [p for p in plans if "Join" in p]
