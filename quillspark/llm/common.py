@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,9 +91,25 @@ def discard(*tables: DataFrame) -> None:
 
 
 def forget(spark: SparkSession) -> None:
-    """Has the driver collect its garbage, so that executors delete the shuffle files of finished jobs before larger ones begin."""
-    gc.collect()
+    """Has the driver collect its garbage, so that executors delete the shuffle files of finished jobs before larger ones
+    begin, and give back what it has freed: else its peak grows from job to job with what compilers and buffers leave.
+    """
+    tidy()
     spark.sparkContext._jvm.System.gc()
+    trim_driver(spark)
+
+
+def trim_driver(spark: SparkSession) -> str | None:
+    """Gives memory that the driver's JVM has freed outside its heap back to the machine, as ``jcmd System.trim_native_heap`` does; what it says, or None where a JVM has no such command."""
+    jvm = spark.sparkContext._jvm
+    try:
+        server = jvm.java.lang.Class.forName("javax.management.MBeanServerConnection")  # Py4J can't see the class behind it
+        call = next(m for m in server.getMethods() if m.getName() == "invoke")
+        values = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)  # the last two stay null: no arguments
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        return call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JError:
+        return None
 
 
 def release(spark: SparkSession, *keep: DataFrame) -> None:

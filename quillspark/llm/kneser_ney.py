@@ -357,6 +357,7 @@ def fit(texts: DataFrame) -> Model | None:
     def slices() -> Iterator[DataFrame]:
         yield from (grams(at) for at in range(SLICES))
         discard(texts, counted)  # no slice is left to read them
+        shared.destroy()
 
     delta, unseen, start = deltas(slices())
     # most frequent first; equal counts are told apart by 64 classes of their keys
@@ -546,6 +547,7 @@ def judged(docs: DataFrame, labels: DataFrame, trusted: int | None = None, quant
         return docs.select("doc_id", "lang", *[c.alias(k) for k, c in text_hashes(F.col("text")).items()], none.alias("log10_mean"), F.lit(None).cast("long").alias("n_tokens"), none.alias("repeats"), none.alias("deviation"), F.lit(True).alias("keep"))
     scored = materialise(score(docs.select("doc_id", "lang", "text"), model))
     discard(model.table)
+    model.shared.destroy()
     held = good.join(chosen, "doc_id", "left_anti")
     if good.count() <= SMALL:
         held = F.broadcast(held)

@@ -744,3 +744,16 @@ def test_scoring_meets_the_model_in_arrays(spark, docs, monkeypatch):
     monkeypatch.setattr(kneser_ney, "materialise", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df))[1])
     assert kneser_ney.score(docs, model).count() == docs.count()
     assert len(plans) == kneser_ney.SLICES and not [p for p in plans if "Join" in p]
+
+
+def test_driver_keeps_no_model(spark, monkeypatch):
+    """What was broadcast for the scoring is gone with it, and the driver's JVM gives back what it has freed."""
+    from quillspark.llm.common import trim_driver
+
+    models, fit = [], kneser_ney.fit
+    monkeypatch.setattr(kneser_ney, "fit", lambda texts: (models.append(fit(texts)), models[0])[1])
+    rows = frame(spark, [(i, " ".join(words(9, i))) for i in range(40)])
+    kept = kneser_ney.judged(rows, rows.select("doc_id", F.lit(1).alias("quality")))
+    assert not os.path.exists(models[0].shared._path)
+    assert kept.count() == 40
+    assert trim_driver(spark).startswith("Trim native heap")
