@@ -5,12 +5,17 @@ first, two sets that join share at least k shingles among the first |set| - ceil
 
 * Small sets (up to a boundary) enumerate all subsets of size 2 of that prefix for k = 2: few, and hardly ever shared by
   chance.
-* Large sets would have too many subsets; they go through inverted lists of their single prefix shingles (k = 1).
-  Small sets within reach of the boundary are entered there too, so no pair across it is lost.
+* Large sets would have too many subsets; they go through inverted lists of their single prefix shingles, and a pair must
+  meet in two lists (k = 2 again). Small sets within reach of the boundary are entered there too, so no pair across it is
+  lost.
 * The boundary is the size at which the total of rows written and list entries scanned is least, from the histogram of
-  sizes and the mean length of lists, both taken over all documents.
+  sizes and the mean length of lists, both taken over all documents. Lists are those of shingles that aren't known as
+  frequent, as prefixes hold hardly any others, and only sizes that can join scan each other.
 
-Equal sets are one class first. Each list then tries its members against its least one; what joins is one component, and
+Lists are split by size first: two sets that join are in one band of sizes or in two that follow each other, so a shingle
+that many sets of unlike sizes have makes short lists.
+
+Equal sets are one class first. Each list then tries its members against one of them; what joins is one component, and
 further steps try only pairs of a list that are still in different components: of long lists, compared in blocks, first
 those that would connect them, then all that are left. So thousands of near copies cost a few checks each, while any link
 between two components is found. All candidates are
@@ -36,13 +41,14 @@ Texts of any length are taken whole; extra columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import block_shingles, blocks, discard, forget, free_name, materialise, mix, read_table, small_batches, tidy
@@ -68,6 +74,7 @@ MEET = 256
 SLICES = 4
 #: Rows of a few longs that may be broadcast: up to 32 MB.
 SMALL = 1_000_000
+ONE = np.uint64(1)
 
 
 def least_overlap(n, percent: int):
@@ -127,27 +134,45 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
     return small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"kind int, doc_id {kind}, n long, s1 long, s2 long, bits array<long>")
 
 
+def band(size, percent: int, log=np.log, floor=np.floor):
+    """The band of a size: sizes that can join are at most one band apart, also by rounded logarithms."""
+    return floor(log(size) / math.log(100 / percent * (1 + 1e-9)))
+
+
 def boundary(sizes: dict[int, int], list_length: float, percent: int) -> int:
     """The largest size of sets that enumerate subsets, by least cost.
 
     Small sets write a row a subset; sets from 0.9 of the boundary write a row a prefix shingle; and sets beyond it scan
-    the lists of these.
+    those entries of the lists of these that are near them in size. list_length: other entries of all sizes in a list.
     """
     if not sizes:
         return 0
     n = np.array(sorted(sizes))
     h = np.array([sizes[v] for v in n], dtype=float)
     p = n - least_overlap(n, percent) + 1
+    bands, at = np.unique(band(n, percent), return_inverse=True)
+    held = np.bincount(at, weights=h * p)
+    near = np.concatenate([[0], np.cumsum(held)])
+    near = near[np.searchsorted(bands, bands + 1, "right")] - near[np.searchsorted(bands, bands - 1, "left")]
+    scanned = np.concatenate([[0], np.cumsum(h * p * (near / held.sum())[at])])
     light = np.concatenate([[0], np.cumsum(h * p * (p + 1) / 2)])
     listed = np.concatenate([[0], np.cumsum(h * p)])
     bounds = np.concatenate([[0], n])
     reach = np.searchsorted(n, least_overlap(bounds, percent), "left")
-    cost = light + (listed[-1] - listed[reach]) + list_length * (listed[-1] - listed)
+    cost = light + (listed[-1] - listed[reach]) + list_length * (scanned[-1] - scanned)
     return int(bounds[np.argmin(cost)])
 
 
+def others(occurrences: int, distinct: int, chunks: int, known: int, known_distinct: int) -> float:
+    """Other sets in the list of a shingle, as seen within chunks and carried to all of them. Those of known frequent shingles
+    are left out of both sums: they are last in each prefix.
+    """
+    rare = distinct - known_distinct
+    return ((occurrences - known) / rare - 1) * chunks if rare > 0 else 0.0
+
+
 def postings(docs: DataFrame, width: int, percent: int, bound: int, frequent) -> DataFrame:
-    """(key, s): the lists, with s the first half of a set's signature."""
+    """(key, s): the lists, with s the first half of a set's signature. Keys of two shingles are odd, of one are even: see weight()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = frequent.value
@@ -174,9 +199,11 @@ def postings(docs: DataFrame, width: int, percent: int, bound: int, frequent) ->
                     i, j = pairs[q] if q in pairs else np.triu_indices(q, 1)
                     if q <= 64:
                         pairs[q] = i, j
-                    own.append(mix(mix(rare[i]) + rare[j]))
+                    own.append(mix(mix(rare[i]) + rare[j]) | ONE)
                 if n >= least_overlap(bound, percent):
-                    own.append(rare[: n - least + 1])
+                    own.append(rare & ~ONE)
+                if least == 1:  # one shingle may be all that it shares
+                    own.append(rare | ONE)
                 sign = signature(s)[0]
                 for k in own:
                     keys.append(k.view(np.int64))
@@ -187,6 +214,25 @@ def postings(docs: DataFrame, width: int, percent: int, bound: int, frequent) ->
     return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "key long, s long")
 
 
+def weight(key: str = "key") -> Column:
+    """How many shingles of their prefixes two sets are known to share by a list; those that join share two."""
+    return (1 + F.pmod(key, F.lit(2))).cast("int")
+
+
+def by_size(members: DataFrame, percent: int) -> DataFrame:
+    """(key, s, size, own): the lists of members (key, s, size), split by bands of sizes; keys stay odd or even.
+
+    A set is in the list of its own band and in that of the next one, where it meets sets of that band only. Lists
+    without two sets, or without any of their own band, are left out: no two of them can join there.
+    """
+    at = band(F.col("size"), percent, F.log, F.floor)
+    both = members.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("band", F.when(F.col("own"), at).otherwise(at + 1))
+    key = F.xxhash64("key", "band").bitwiseAND(F.lit(-2)).bitwiseOR(F.pmod("key", F.lit(2)))
+    both = both.select(key.alias("key"), "s", "size", "own")
+    heads = both.groupBy("key").agg(F.min("s").alias("lead"), F.max("s").alias("last"), F.max("own").alias("has_own")).filter("lead <> last and has_own").select("key")
+    return both.join(bounded(heads), "key")
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(s, shingles) of wanted(s, doc_id): the sorted 64-bit hashes as bytes. Other texts of the same doc_id are left out."""
 
@@ -270,8 +316,10 @@ def flat(col: pa.Array | pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(found) if found else np.zeros(0, dtype=kind), np.array([len(x) for x in found], dtype=np.int64)
 
 
-def most_frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles and their counts, at most FREQUENT: those above the least count that keeps within it."""
+def most_frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted shingles of counted (s1, n, chunks) and their counts, at most FREQUENT: those above the least count that keeps
+    within it. And the sum of their chunks.
+    """
     level = F.floor(F.log2("n") * 8).cast("int")
     counted = materialise(counted)
     held, least = 0, 1 << 30
@@ -283,7 +331,7 @@ def most_frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     found = counted.filter(level >= least).toArrow()
     shingle = found["s1"].to_numpy().view(np.uint64)
     order = np.argsort(shingle)
-    return shingle[order], found["n"].to_numpy()[order]
+    return shingle[order], found["n"].to_numpy()[order], int(found["chunks"].to_numpy().sum())
 
 
 def bounded(rows: DataFrame) -> DataFrame:
@@ -293,7 +341,8 @@ def bounded(rows: DataFrame) -> DataFrame:
 
 
 def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that parities do not rule out. Sets of n and m that join differ in (n + m) (100 - p) / (100 + p) at most.
+    """The pairs (a, b) that parities do not rule out, of pairs (a, b, weight) whose weights come to two shingles or more.
+    Sets of n and m that join differ in (n + m) (100 - p) / (100 + p) at most.
 
     Both joins have plain exchanges on both sides, so Spark splits the pairs of a set that has many.
     """
@@ -308,14 +357,14 @@ def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     most = (F.col("size_a") + F.col("size_b")) * (100 - percent)
     both_wide = (F.size("bits_a") > narrow) & (F.size("bits_b") > narrow)
     fits = (differ(1, narrow) * (100 + percent) <= most) & (~both_wide | (differ(narrow + 1, wide) * (100 + percent) <= most))
-    pairs = materialise(pairs.select("a", "b").distinct())
+    pairs = materialise(pairs.groupBy("a", "b").agg(F.sum("weight").alias("weight")).filter("weight > 1").select("a", "b"))
     return pairs.join(a, "a").join(b, "b").filter(fits).select("a", "b")
 
 
 def block_pairs(members: DataFrame, nodes: DataFrame, percent: int, forest: bool, tried: np.ndarray) -> DataFrame:
-    """Pairs (a, b) of long lists that are in different components, not ruled out by parities and not among those tried.
+    """Pairs (a, b, weight) of long lists that are in different components, not ruled out by parities and not among those tried.
 
-    members: key, s, size, component and members (their number in the list). Blocks of about BLOCK members are compared by
+    members: key, s, size, own, component and members (their number in the list). Blocks of about BLOCK members are compared by
     matrix operations on their parities, so no pair that is ruled out is ever a row. With ``forest``, two blocks give only
     pairs that would connect what was not connected, those of least difference first: fewer than they have members.
     """
@@ -324,7 +373,7 @@ def block_pairs(members: DataFrame, nodes: DataFrame, percent: int, forest: bool
     dealt = in_blocks(members.join(bits, "s"), "key", "s", F.ceil(F.col("members") / BLOCK))
 
     def run(table: pa.Table) -> pa.Table:
-        s, size, component, block, lo, hi = (table[c].to_numpy() for c in ("s", "size", "component", "block", "lo", "hi"))
+        s, size, own, component, block, lo, hi = (table[c].to_numpy() for c in ("s", "size", "own", "component", "block", "lo", "hi"))
         bits = table["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, PARITY // 64)
         xs, y = np.flatnonzero(block == lo[0]), np.flatnonzero(block == hi[0])
         root: dict[int, int] = {}
@@ -335,7 +384,7 @@ def block_pairs(members: DataFrame, nodes: DataFrame, percent: int, forest: bool
             for w in range(PARITY // 64):
                 differ += np.bitwise_count(bits[x, w, None] ^ bits[None, y, w])
             big, small = np.maximum(size[x, None], size[None, y]), np.minimum(size[x, None], size[None, y])
-            ok = (differ * (100 + percent) <= (big.astype(np.int64) + small) * (100 - percent)) & (component[x, None] != component[None, y]) & (percent * big <= 100 * small)
+            ok = (differ * (100 + percent) <= (big.astype(np.int64) + small) * (100 - percent)) & (component[x, None] != component[None, y]) & (percent * big <= 100 * small) & (own[x, None] | own[None, y])
             i, j = np.nonzero(ok)
             a, b = np.minimum(s[x[i]], s[y[j]]), np.maximum(s[x[i]], s[y[j]])
             new = ~common(pair_hash(a, b), shared.value)
@@ -349,7 +398,8 @@ def block_pairs(members: DataFrame, nodes: DataFrame, percent: int, forest: bool
         tidy()
         return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
 
-    return dealt.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long")
+    found = dealt.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long")
+    return found.withColumn("weight", F.lit(2))  # their parities have been met
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -451,7 +501,7 @@ def shared_lists(lists: DataFrame) -> DataFrame:
     """
     found = []
     for at in range(SLICES):
-        own = lists.filter(F.pmod("key", F.lit(SLICES)) == at)
+        own = lists.filter(F.pmod(F.shiftright("key", 1), F.lit(SLICES)) == at)
         heads = own.groupBy("key").agg(F.min("s").alias("lead"), F.max("s").alias("last")).filter("lead <> last").select("key")
         heads = bounded(heads)  # far fewer than lists, as most have one member
         forget(lists.sparkSession)
@@ -465,14 +515,13 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, links
     spark = docs.sparkSession
     profile = materialise(profiles(docs, width))
     rows = profile.filter("kind = 0")
-    frequent = spark.sparkContext.broadcast(most_frequent(profile.filter("kind = 1").groupBy("s1").agg(F.sum("n").alias("n"))))
+    *known, seen = most_frequent(profile.filter("kind = 1").groupBy("s1").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("chunks")))
+    frequent = spark.sparkContext.broadcast(tuple(known))
     # sizes to 1 in 128: some 5000 rows at most
     level = F.when(F.col("n") < 256, F.col("n")).otherwise(F.expr("shiftright(n, cast(log2(n) as int) - 7) * shiftleft(1L, cast(log2(n) as int) - 7)"))
     sizes = {r.n: r.h for r in rows.filter("n > 0").groupBy(level.alias("n")).agg(F.count(F.lit(1)).alias("h")).collect()}
     chunk = profile.filter("kind = 2").agg(F.sum("n").alias("all"), F.sum("s1").alias("distinct"), F.count(F.lit(1)).alias("chunks")).first()
-    # others in a list, as seen within chunks, carried to all chunks
-    others = (chunk["all"] / chunk["distinct"] - 1) * chunk["chunks"] if chunk["chunks"] else 0.0
-    bound = boundary(sizes, others, percent)
+    bound = boundary(sizes, others(chunk["all"] or 0, chunk["distinct"] or 0, chunk["chunks"], int(known[1].sum()), seen), percent)
 
     lists = materialise(postings(docs, width, percent, bound, frequent))
     shared = shared_lists(lists)
@@ -484,12 +533,12 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, links
     classes = materialise(classes.select(F.col("s1").alias("s"), "s2", "doc_id", F.col("x.n").alias("size"), F.col("x.bits").alias("bits"), "copies"))
     nodes = classes.filter("doc_id is not null").join(shared.select("s").distinct(), "s", "left_semi")
     nodes = materialise(nodes.select("s", "doc_id", F.col("size").cast("int").alias("size"), "bits"))
-    members = materialise(shared.join(bounded(nodes.select("s", "size")), "s").select("key", "s", "size"))
+    members = materialise(by_size(shared.join(bounded(nodes.select("s", "size")), "s").select("key", "s", "size"), percent))
     discard(shared)
     fits = f"{percent} * greatest(size, size_b) <= 100 * least(size, size_b)"
 
-    leads = members.groupBy("key").agg(F.min(F.struct("s", "size")).alias("x")).select("key", F.col("x.s").alias("b"), F.col("x.size").alias("size_b"))
-    star = members.join(bounded(leads), "key").filter(f"s <> b and {fits}").select(F.col("s").alias("a"), "b")
+    leads = members.filter("own").groupBy("key").agg(F.min(F.struct("s", "size")).alias("x")).select("key", F.col("x.s").alias("b"), F.col("x.size").alias("size_b"))
+    star = members.join(bounded(leads), "key").filter(f"s <> b and {fits}").select(F.greatest("s", "b").alias("a"), F.least("s", "b").alias("b"), weight().alias("weight"))
     star = materialise(possible(star, nodes, percent))
     sets = materialise(sets_of(docs, nodes.join(_ends(star), "s", "left_semi"), width))
     forget(spark)
@@ -502,14 +551,15 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, links
     tried = np.zeros(0, dtype=np.uint64)
     for last in (False, True):
         placed = members.join(bounded(found.withColumnRenamed("node", "s")), "s", "left").withColumn("component", F.coalesce("component", "s"))
-        placed = materialise(placed.select("key", "s", "size", "component"))
+        placed = materialise(placed.select("key", "s", "size", "own", "component"))
         open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo <> hi").select("key", "members")
         left = materialise(placed.join(bounded(open_keys), "key"))
         rest = block_pairs(left.filter(F.col("members") > FEW), nodes, percent, not last, tried)
         if last:
             few = left.filter(F.col("members") <= FEW).drop("members")
-            other = few.select("key", F.col("s").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"))
-            rest = rest.unionByName(few.join(other, "key").filter(f"s < b and component <> component_b and {fits}").select(F.col("s").alias("a"), "b"))
+            other = few.select("key", F.col("s").alias("b"), F.col("size").alias("size_b"), F.col("own").alias("own_b"), F.col("component").alias("component_b"))
+            met_once = few.join(other, "key").filter(f"s < b and (own or own_b) and component <> component_b and {fits}")
+            rest = rest.unionByName(met_once.select(F.col("s").alias("a"), "b", weight().alias("weight")))
         rest = materialise(possible(rest, nodes, percent))
         discard(left, placed)
         if rest.isEmpty():

@@ -697,6 +697,55 @@ def test_near_copies_meet_in_slices(spark):
     assert found == sorted({(k, s) for k, s in rows if len({b for a, b in rows if a == k}) > 1})
 
 
+def test_boilerplate_is_no_reason_for_subsets(spark, monkeypatch):
+    """Lists are those of shingles that aren't known as frequent, so lines that all texts have don't make them look long."""
+
+    class Found(Exception):
+        pass
+
+    def stop(_, list_length, *__):
+        raise Found(list_length)
+
+    monkeypatch.setattr(jaccard_join, "CHUNK", 2000)
+    monkeypatch.setattr(jaccard_join, "boundary", stop)
+    line = " ".join(words(40, 1))
+    rows = [(i, " ".join(f"own{i}x{k}" for k in range(100)) + " " + line) for i in range(200)]
+    with pytest.raises(Found) as found:
+        jaccard_join.jaccard_components(frame(spark, rows))
+    assert found.value.args[0] < 0.1  # 1.5 before, and more with each chunk
+
+
+def test_boundary_scans_sizes_that_can_join():
+    sizes = {10 * 2**k: 100 for k in range(12)}
+    far = jaccard_join.boundary(sizes, 20.0, 90)
+    assert far < jaccard_join.boundary({n: 100 for n in range(1000, 1012)}, 2000.0, 90)
+    assert far <= 40  # 320 before: each set scanned lists of all sizes
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 99])
+def test_lists_are_split_by_size(spark, percent):
+    """Two sets of a list that can join meet once; lists of unlike sizes are gone."""
+    rng = random.Random(percent)
+    size = {s: rng.choice([rng.randrange(1, 40), rng.randrange(40, 3000), 90, 100, 9000, 10_000]) for s in range(60)}
+    rows = [(key, s, size[s]) for key in (-4, 7) for s in size] + [(2, 100, 10), (2, 101, 100), (2, 102, 1000)]
+    found = defaultdict(list)
+    for r in jaccard_join.by_size(spark.createDataFrame(rows, "key long, s long, size int"), percent).collect():
+        found[r.key].append(r)
+    met = Counter()
+    for key, members in found.items():
+        assert any(r.own for r in members) and len(members) > 1
+        met.update((key % 2, a.s, b.s) for a in members for b in members if a.s < b.s and (a.own or b.own))
+    assert max(met.values()) == 1 and not [s for _, s, _ in met if s >= 100 and percent > 50]
+    assert {(odd, a, b) for odd in (0, 1) for a in size for b in size if a < b and percent * max(size[a], size[b]) <= 100 * min(size[a], size[b])} <= set(met)
+
+
+def test_pairs_share_two_shingles(spark):
+    """A single list is no reason to try a pair, a list of two shingles or two lists are."""
+    nodes = spark.createDataFrame([(s, 50, [0] * 16) for s in range(6)], "s long, size int, bits array<long>")
+    pairs = spark.createDataFrame([(0, 1, 1), (2, 3, 1), (2, 3, 1), (4, 5, 2)], "a long, b long, weight int")
+    assert sorted(tuple(r) for r in jaccard_join.possible(pairs, nodes, 90).collect()) == [(2, 3), (4, 5)]
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     """Without waiting for a collection of the driver's garbage; the user's setting stays."""
     from quillspark.llm.common import CLEANUP
