@@ -51,7 +51,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import block_shingles, blocks, discard, forget, free_name, materialise, mix, read_table, small_batches, tidy
+from quillspark.llm.common import block_shingles, blocks, discard, forget, free_name, materialise, mix, partitions, read_table, small_batches, tidy
 from quillspark.llm.components import components
 
 #: Shingles that are counted together in one task before the frequent ones are handed on.
@@ -75,6 +75,8 @@ SLICES = 4
 #: Rows of a few longs that may be broadcast: up to 32 MB.
 SMALL = 1_000_000
 ONE = np.uint64(1)
+#: Pairs of sets that one list compares before its task gives memory back; after each list it would cost more than most lists do.
+TIDY_PAIRS = 1_000_000
 
 
 def least_overlap(n, percent: int):
@@ -395,13 +397,19 @@ def block_pairs(members: DataFrame, nodes: DataFrame, percent: int, forest: bool
                 a, b = a[used], b[used]
             found_a.append(a)
             found_b.append(b)
-        tidy()
+        if len(xs) * len(y) >= TIDY_PAIRS:
+            tidy()
         return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
 
-    found = dealt.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long")
+    found = spread(dealt, "key", "lo", "hi").groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long")
     return found.withColumn("weight", F.lit(2))  # their parities have been met
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys over all shuffle partitions: blocks are few bytes and much work, so they aren't put together by bytes."""
+    return rows.repartition(partitions(rows.sparkSession), *keys)
+
+
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(mix(a.view(np.uint64)) + b.view(np.uint64))
 
@@ -481,7 +489,7 @@ def linked_copies(found: DataFrame, classes: DataFrame, sets: DataFrame, percent
             out |= {int(v): int(n) for v, n in zip(s[y], joins.T @ copies[x], strict=True)}
         return pa.table({"s": pa.array(out.keys(), pa.int64()), "linked": pa.array(out.values(), pa.int64())})
 
-    counted = dealt.groupBy("component", "lo", "hi").applyInArrow(count, "s long, linked long").groupBy("s").agg(F.sum("linked").alias("linked"))
+    counted = spread(dealt, "component", "lo", "hi").groupBy("component", "lo", "hi").applyInArrow(count, "s long, linked long").groupBy("s").agg(F.sum("linked").alias("linked"))
     return two.unionByName(counted)
 
 

@@ -746,6 +746,20 @@ def test_pairs_share_two_shingles(spark):
     assert sorted(tuple(r) for r in jaccard_join.possible(pairs, nodes, 90).collect()) == [(2, 3), (4, 5)]
 
 
+def test_blocks_are_spread_and_tidied_by_work(spark, monkeypatch):
+    """A list's comparison is little work on few bytes: no clean-up after each, and no task with all of them."""
+
+    def tidied():
+        raise AssertionError("tidied after a small list")
+
+    monkeypatch.setattr(jaccard_join, "tidy", tidied)
+    nodes = spark.createDataFrame([(s, 50, [0] * 16) for s in range(40)], "s long, size int, bits array<long>")
+    members = spark.createDataFrame([(k, s, 50, True, s, 4) for k in range(10) for s in range(4 * k, 4 * k + 4)], "key long, s long, size int, own boolean, component long, members long")
+    found = jaccard_join.block_pairs(members, nodes, 90, False, np.zeros(0, dtype=np.uint64))
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()
+    assert {(r.a, r.b) for r in found.collect()} == {(a, b) for k in range(10) for a in range(4 * k, 4 * k + 4) for b in range(a + 1, 4 * k + 4)}
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     """Without waiting for a collection of the driver's garbage; the user's setting stays."""
     from quillspark.llm.common import CLEANUP
